@@ -1,17 +1,19 @@
 """Exact Jaccard self-join of documents on word shingles: a size-aware heavy-light join.
 
 Two sets that link share at least ceil(0.8 n) elements, n the size of either. In one global order (rare first) they
-therefore share one of their first n - ceil(0.8 n) + 1 elements, and, if n >= 2, two of their first
-n - ceil(0.8 n) + 2. Small sets post every 2-subset of the latter (few, and very selective); large sets post single
-elements of the former, whose inverted lists are scanned. The boundary between small and large minimises the estimated
-cost over the corpus. Sets that can meet a set over the boundary post in both forms, so no link is lost.
+therefore share at least k of their first n - ceil(0.8 n) + k elements. Small sets post every 2-subset of such a prefix
+with k = 2 (few, and very selective). Large sets post its single elements with k growing with n; their inverted lists
+are scanned and the shared elements of each pair counted, and a pair with fewer than k is no candidate: texts that only
+share a passage fall out here. The boundary between small and large minimises the estimated cost over the corpus. Sets
+that can meet a set over the boundary post in both forms, so no link is lost.
 
 Only the order uses statistics that are not exact: a fixed-size counting sketch over all shingles of all documents puts
 those that many documents share last. Any order gives the same links; this one keeps the lists short.
 
-Lists with at least two sets tie sets into candidate components. A component of bounded size is compared within one
-task, each set shipped once and no pair of rows made. A larger one is cut into its lists, and a long list into pairs of
-blocks, so no task ever holds an unbounded group. Every comparison is on the whole sets.
+Pairs are only made from lists of bounded length. A longer (heavy) list ties its sets to the smallest of them. Pairs and
+ties make candidate components. One of bounded size is compared within one task, each set shipped once. A larger one
+falls apart into its pairs, by their first set, and its heavy lists, by pairs of blocks: no task ever holds an unbounded
+group. Every comparison is on the whole sets.
 
 Sets are known by a 64-bit hash of their 64-bit shingle hashes; equal sets are one node from the start, so copies never
 meet each other. Two different sets share a node id with probability 2**-64 a pair.
@@ -21,7 +23,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from math import ceil, log2
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -42,8 +44,9 @@ HOT_LEVEL = 5
 BUCKET_BYTES = 24 << 20
 #: A candidate component up to this many sets and elements is compared in one task.
 JOB_SETS, JOB_ELEMENTS = 2048, 2_000_000
-#: In larger components, lists up to this many sets are compared whole, longer ones by pairs of blocks of half as many.
-LIST_SETS = 256
+#: Lists up to this many sets are scanned for pairs; longer ones are heavy, and cut into blocks of this many sets.
+LIST_SETS = 64
+BLOCK_SETS = 256
 SMALL_MOST = 64
 
 
@@ -111,62 +114,96 @@ def _least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def shared_least(n: int) -> int:
+    """k of a large set: how many elements of its prefix a linking set shares at least."""
+    return max(2, n // 16)
+
+
+#: A posting: signature, set id, and how many shared signatures make a pair a candidate.
+POSTING = np.dtype([("sig", "<i8"), ("sid", "<i8"), ("k", "<i4")])
+
+
 def _postings(k: int, percent: int, levels_of, boundary: int, buckets: int):
-    """Packed (signature, set id) postings by bucket. Signatures of hot shingles are spread, and flagged as such."""
+    """Packed postings by bucket. Signatures of hot shingles are spread over the buckets, and flagged as such."""
     both_from = ceil(percent * (boundary + 1) / 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = levels_of()
 
-        def packed(sigs: list, sids: list, lens: list, hot: bool) -> tuple[list, list]:
-            sig = np.concatenate(sigs) if sigs else np.zeros(0, np.uint64)
-            sid = np.repeat(np.array(sids, np.int64), lens)
-            lane = S.mix(sig ^ (sid.view(np.uint64) if hot else np.uint64(0))) % np.uint64(buckets)
+        def packed(held: list[tuple[np.ndarray, int, int]], hot: bool) -> tuple[list, list]:
+            lens = [len(sig) for sig, *_ in held]
+            post = np.empty(sum(lens), POSTING)
+            if not len(post):
+                return [], []
+            sig = np.concatenate([x for x, *_ in held])
+            post["sig"], post["sid"], post["k"] = sig.view(np.int64), np.repeat([x for _, x, _ in held], lens), np.repeat([x for *_, x in held], lens)
+            lane = S.mix(sig ^ (post["sid"].view(np.uint64) if hot else np.uint64(0))) % np.uint64(buckets)
             order = np.argsort(lane, kind="stable")
-            cut = np.flatnonzero(np.diff(lane[order], prepend=np.uint64(buckets + 1)))
-            pair = np.stack([sig[order].view(np.int64), sid[order]], axis=1)
-            return [int(x) for x in lane[order][cut]], [x.tobytes() for x in np.split(pair, cut[1:])] if len(cut) else []
+            lane, post = lane[order], post[order]
+            cut = np.flatnonzero(np.diff(lane, prepend=np.uint64(buckets + 1)))
+            return lane[cut].astype(np.int64).tolist(), [x.tobytes() for x in np.split(post, cut[1:])]
 
         for batch in batches:
             data, offs = S.text_buffer(batch.column(0))
-            cool, hot = ([], [], []), ([], [], [])
+            cool, hot = [], []
             for s in S.shingle_sets(data, offs, k):
                 n = len(s)
                 if not n:
                     continue
                 sid, need = S.set_id(s), _least_overlap(n, percent)
                 if n <= boundary and need >= 2:
-                    p = _prefix(s, levels, n - need + 2)
+                    p = np.sort(_prefix(s, levels, n - need + 2))
                     x, y = np.triu_indices(len(p), 1)
-                    p = np.sort(p)
-                    cool[0].append(S.mix(p[x] * np.uint64(3) + S.mix(p[y] + np.uint64(11))))
-                    cool[1].append(sid)
-                    cool[2].append(len(x))
+                    cool.append((S.mix(p[x] * np.uint64(3) + S.mix(p[y] + np.uint64(11))), sid, 1))
                 if n > boundary or need < 2 or n >= both_from:
-                    p = _prefix(s, levels, n - need + 1)
+                    least = min(shared_least(n), need)
+                    p = _prefix(s, levels, n - need + least)
                     warm = levels[(p >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] >= HOT_LEVEL
-                    for to, part in ((cool, p[~warm]), (hot, p[warm])) if warm.any() else ((cool, p),):
-                        to[0].append(part)
-                        to[1].append(sid)
-                        to[2].append(len(part))
+                    cool.append((p[~warm], sid, least))
+                    hot.append((p[warm], sid, least))
             for held, flag in ((cool, False), (hot, True)):
-                lane, payload = packed(*held, flag)
+                lane, payload = packed(held, flag)
                 yield pa.RecordBatch.from_arrays([pa.array(lane, pa.int64()), pa.array([flag] * len(lane), pa.bool_()), pa.array(payload, pa.binary())], names=["bucket", "hot", "payload"])
 
     return run
 
 
-def _shared(bucket: pa.Table) -> pa.Table:
-    """Of one bucket's postings those whose signature at least two different sets have (all, if hot)."""
-    raw = np.concatenate([np.frombuffer(p.as_buffer(), np.int64).reshape(-1, 2) for p in bucket.column("payload")] or [np.zeros((0, 2), np.int64)])
-    raw = raw[np.lexsort((raw[:, 1], raw[:, 0]))]
-    new_sig = np.diff(raw[:, 0], prepend=~raw[:1, 0]) != 0
-    fresh = new_sig | (np.diff(raw[:, 1], prepend=~raw[:1, 1]) != 0)
-    raw, new_sig = raw[fresh], new_sig[fresh]
-    if not bucket.column("hot")[0].as_py() and len(raw):
-        heads = np.flatnonzero(new_sig)
-        raw = raw[np.repeat(np.diff(heads, append=len(raw)) >= 2, np.diff(heads, append=len(raw)))]
-    return pa.table({"sig": pa.array(raw[:, 0]), "sid": pa.array(raw[:, 1])})
+def _spans(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The positions first .. first + length - 1 of each span, one after the other."""
+    return np.repeat(first - np.cumsum(length) + length, length) + np.arange(length.sum())
+
+
+def _scan(list_sets: int):
+    """Scan one bucket's inverted lists. light: (a, b, shared here, k) of each pair in a list; heavy: (signature, set)."""
+
+    def run(bucket: pa.Table) -> pa.Table:
+        hot = bucket.column("hot")[0].as_py()
+        post = np.concatenate([np.frombuffer(p.as_buffer(), POSTING) for p in bucket.column("payload")])
+        post = post[np.lexsort((post["sid"], post["sig"]))]
+        head = np.append(True, post["sig"][1:] != post["sig"][:-1])
+        fresh = head | np.append(True, post["sid"][1:] != post["sid"][:-1])
+        post, head = post[fresh], head[fresh]
+        heads = np.flatnonzero(head)
+        length = np.diff(heads, append=len(post))
+        heavy = np.repeat((length > list_sets) | hot, length)
+        light = heads[(length >= 2) & (length <= list_sets) & (not hot)]
+        size = length[(length >= 2) & (length <= list_sets) & (not hot)]
+        left, right = [], []
+        for d in range(1, int(size.max()) if len(size) else 0):
+            x = _spans(light[size > d], size[size > d] - d)
+            left.append(x)
+            right.append(x + d)
+        left, right = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+        a, b, k = post["sid"][left], post["sid"][right], np.minimum(post["k"][left], post["k"][right])
+        order = np.lexsort((b, a))
+        a, b, k = a[order], b[order], k[order]
+        one = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, np.int64)
+        count = np.diff(one, append=len(a))
+        least = np.minimum.reduceat(k, one) if len(a) else k
+        n, m = len(one), int(heavy.sum())
+        return pa.table({"heavy": pa.array(np.repeat([False, True], [n, m])), "a": pa.array(np.append(a[one], post["sig"][heavy])), "b": pa.array(np.append(b[one], post["sid"][heavy])), "shared": pa.array(np.append(count, np.zeros(m, np.int64))), "k": pa.array(np.append(least.astype(np.int64), np.zeros(m, np.int64)))})
+
+    return run
 
 
 def boundary_by_cost(sizes: dict[int, int], list_length: float, percent: int) -> int:
@@ -181,7 +218,8 @@ def boundary_by_cost(sizes: dict[int, int], list_length: float, percent: int) ->
         return p * (p - 1) / 2 if _least_overlap(n, percent) >= 2 else heavy(n)
 
     def heavy(n: int) -> float:
-        return (n - _least_overlap(n, percent) + 1) * (1 + list_length)
+        need = _least_overlap(n, percent)
+        return (n - need + min(shared_least(n), need)) * (1 + list_length)
 
     def total(b: int) -> float:
         return sum(c * ((light(n) if n <= b else 0) + (heavy(n) if n >= percent * (b + 1) / 100 else 0)) for n, c in sizes.items())
@@ -221,7 +259,7 @@ def _pairs(a: list[np.ndarray], b: list[np.ndarray] | None) -> tuple[np.ndarray,
     for d in range(1, int(lengths.max())):
         at = first[lengths > d]
         span = lengths[lengths > d] - d
-        left = np.repeat(at, span) + np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)
+        left = _spans(at, span)
         x, y = owner[left], owner[left + d]
         if b is not None:
             across = (np.minimum(x, y) < na) & (np.maximum(x, y) >= na)
@@ -257,14 +295,14 @@ def _compare(percent: int):
         mult = job.column("mult").to_numpy()
         kind, li, lj = (job.column(c)[0].as_py() for c in ("kind", "bi", "bj"))
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in job.column("elements")]
-        side = np.where(job.column("block").to_numpy() == li, 1, 2) if kind == 2 and li != lj else None
+        side = np.where(job.column("block").to_numpy() == li, 1, 2) if li != lj else None
         labels, degree, links = np.arange(len(sets)), np.zeros(len(sets), np.int64), []
         for i, j in linked_pairs(sets, percent, side):
             labels = min_labels(len(sets), i, j, labels)
             if kind == 0:
                 degree += np.bincount(i, mult[j], len(sets)).astype(np.int64) + np.bincount(j, mult[i], len(sets)).astype(np.int64)
             else:
-                links.append((i, j))
+                links.append((np.minimum(i, j), np.maximum(i, j)))
         moved = np.flatnonzero(labels != np.arange(len(sets)))
         out = [(0, sid[moved], sid[labels[moved]])]
         if kind == 0:
@@ -314,7 +352,7 @@ def bloom_of(spark: SparkSession, ids: DataFrame, column: str):
     return spark.sparkContext.broadcast(held.reshape(-1))
 
 
-def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, words: int = WORDS, job_sets: int = JOB_SETS, list_sets: int = LIST_SETS, boundary: int | None = None) -> DataFrame:
+def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, words: int = WORDS, job_sets: int = JOB_SETS, list_sets: int = LIST_SETS, block_sets: int = BLOCK_SETS, boundary: int | None = None) -> DataFrame:
     """Per row of documents: id_col, n_shingles, component_id, n_links.
 
     Two rows link when 100 * |intersection| >= percent * |union| of their sets of `words`-word shingles (words as runs
@@ -344,30 +382,35 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     if boundary is None:
         sizes = {r["s"]: r["c"] for r in rows.groupBy(F.least("n", F.lit(SMALL_MOST + 1)).alias("s")).agg(F.count("*").alias("c")).collect() if r["s"]}
         boundary = boundary_by_cost(sizes, max(0.0, (c2 - c1 * c1 / max(m, 1)) / max(c1, 1)), percent)
-    posting_bytes = 16 * total * (100 - percent + 5) // 100
+    posting_bytes = POSTING.itemsize * total * (100 - percent + 7) // 100
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), posting_bytes // BUCKET_BYTES + 1)
     packed = docs.select("text").mapInArrow(_postings(words, percent, levels_of, boundary, buckets), "bucket long, hot boolean, payload binary")
-    shared = written(spark, packed.groupBy("bucket", "hot").applyInArrow(_shared, "sig long, sid long"), "jaccard-lists")
-
-    lists = shared.groupBy("sig").agg(F.min("sid").alias("centre"), F.count("*").alias("len"), F.bit_xor(F.xxhash64("sid")).alias("who")).where("len > 1")
-    tied = shared.join(lists, "sig").where("sid <> centre").select("sid", "centre")
-    candidate = components(tied, "sid", "centre").select(F.col("node").alias("sid"), F.col("component").alias("comp"))
+    scanned = written(spark, packed.groupBy("bucket", "hot").applyInArrow(_scan(list_sets), "heavy boolean, a long, b long, shared long, k long"), "jaccard-lists")
+
+    near = scanned.where("not heavy").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("k").alias("k")).where("shared >= k").select("a", "b")
+    near = written(spark, near, "jaccard-candidates")
+    posted = scanned.where("heavy").select(F.col("a").alias("sig"), F.col("b").alias("sid"))
+    lists = posted.groupBy("sig").agg(F.min("sid").alias("centre"), F.count("*").alias("len"), F.bit_xor(F.xxhash64("sid")).alias("who")).where("len > 1")
+    tied = posted.join(lists, "sig").where("sid <> centre").select(F.col("centre").alias("a"), F.col("sid").alias("b")).distinct()
+    candidate = components(near.unionByName(tied), "a", "b").select(F.col("node").alias("sid"), F.col("component").alias("comp"))
     nodes = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("mult"))
-    member = written(spark, candidate.join(nodes, "sid"), "jaccard-members")
-    comps = member.groupBy("comp").agg((((F.count("*") <= job_sets) & (F.sum("n") <= JOB_ELEMENTS))).alias("whole"))
-    member = member.join(comps, "comp")
+    member = candidate.join(nodes, "sid")
+    comps = member.groupBy("comp").agg(((F.count("*") <= job_sets) & (F.sum("n") <= JOB_ELEMENTS)).alias("whole"))
+    member = written(spark, member.join(comps, "comp").select("sid", "rep", "mult", "comp", "whole"), "jaccard-members")
 
     none = F.lit(0).cast("long")
+    one = F.lit(1).cast("long")
     whole = member.where("whole").select(F.lit(0).alias("kind"), F.col("comp").alias("job"), none.alias("bi"), none.alias("bj"), none.alias("block"), "sid", "mult")
-    part = shared.join(member.where("not whole").select("sid", "mult"), "sid")
+    apart = member.where("not whole").select("sid", "mult")
+    firsts = near.join(apart.select(F.col("sid").alias("a")), "a")
+    stars = firsts.select("a", F.col("a").alias("sid"), none.alias("block")).distinct().unionByName(firsts.select("a", F.col("b").alias("sid"), one.alias("block")))
+    stars = stars.join(apart, "sid").select(F.lit(1).alias("kind"), F.col("a").alias("job"), none.alias("bi"), one.alias("bj"), "block", "sid", "mult")
     # near copies share many lists with the very same sets: one of them is enough
     distinct_lists = lists.groupBy("len", "who", "centre").agg(F.min("sig").alias("sig"))
-    part = part.join(distinct_lists.select("sig", "len"), "sig")
-    short = part.where(F.col("len") <= list_sets).select(F.lit(1).alias("kind"), F.col("sig").alias("job"), none.alias("bi"), none.alias("bj"), none.alias("block"), "sid", "mult")
-    n_blocks = F.ceil(F.col("len") / F.lit(max(1, list_sets // 2))).cast("long")
-    long = part.where(F.col("len") > list_sets).withColumn("nb", n_blocks).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("nb"))).withColumn("other", F.explode(F.sequence(none, F.col("nb") - 1)))
+    long = posted.join(apart, "sid").join(distinct_lists.select("sig", "len"), "sig")
+    long = long.withColumn("nb", F.ceil(F.col("len") / F.lit(block_sets)).cast("long")).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("nb"))).withColumn("other", F.explode(F.sequence(none, F.col("nb") - 1)))
     long = long.select(F.lit(2).alias("kind"), F.col("sig").alias("job"), F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "sid", "mult")
-    jobs = whole.unionByName(short).unionByName(long)
+    jobs = whole.unionByName(stars).unionByName(long)
 
     bloom = bloom_of(spark, member, "rep")
 

@@ -16,6 +16,8 @@ CHUNK_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: ASCII bytes other than letters and digits: what lies between bare words.
+NOT_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _FOLD = np.arange(256)
 _FOLD[65:91] += 32
 _BYTE = (np.random.default_rng(20240611).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1))[_FOLD]
@@ -70,11 +72,11 @@ def chunks(offs: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         i = j
 
 
-def word_bounds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, offs: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and past-the-end byte of every word, and the number of words before each text (n + 1)."""
     b = data[offs[0] : offs[-1]]
     offs = offs - offs[0]
-    inside = ~_SPACE[b]
+    inside = ~apart[b]
     edge = np.zeros(len(b) + 1, bool)
     edge[:-1] = inside
     edge[1:-1] &= ~inside[:-1]
@@ -91,9 +93,9 @@ def word_bounds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, np.flatnonzero(stop), np.searchsorted(starts, offs)
 
 
-def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash per word, and the number of words before each text (n + 1)."""
-    starts, stops, before = word_bounds(data, offs)
+def word_hashes(data: np.ndarray, offs: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash per word, and the number of words before each text (n + 1). apart: the bytes between words."""
+    starts, stops, before = word_bounds(data, offs, apart)
     if not len(starts):
         return np.zeros(0, np.uint64), before
     b = data[offs[0] : offs[-1]]
