@@ -1,12 +1,68 @@
-"""From raw documents to packed training sequences: STAGES in order, each written as Parquet and read by the next."""
+"""From raw documents to packed training sequences: STAGES in order, each written as Parquet and read by the next.
+
+SQL cannot express the learned stages, so ORACLE_SQL is None and the tests hold each stage against a plain version.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corvane.llm.cluster import written
+from corvane.llm.jaccard import jaccard_components
+from corvane.llm.packing import packed
+from corvane.llm.pii import with_pii_redacted
+from corvane.llm.quality import quality
+from corvane.llm.queries import GOOD_FROM, TOXIC_FROM, table
+from corvane.llm.toxicity import toxicity
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    score = quality(docs, table(spark, sf_dir, "labels"))
+    return docs.where(score(F.col("text")) >= GOOD_FROM)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier does not flag."""
+    score = toxicity(docs, table(spark, sf_dir, "labels"))
+    return docs.where(score(F.col("text")) < TOXIC_FROM)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of linked documents the one with the smallest id. Rows without an id stay."""
+    classes = jaccard_components(docs).where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
+    left = docs.join(classes, "doc_id", "left_anti")
+    return left.select(*docs.columns)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, its personal data replaced by the kind's name; n_chars follows the text."""
+    clean = with_pii_redacted(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in which training sequence."""
+    return packed(docs)
+
+
+STAGES = [
+    ("quality_classifier", keep_good),
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_duplicates),
+    ("pii", redact_personal_data),
+    ("best_fit_packing", pack_sequences),
+]
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply STAGES to documents; every stage but the last is written to the shared folder and read back."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(spark, docs, f"stage-{name}")
+    return docs

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,8 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_ROWS = 1000
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once for a context: they need not have it installed."""
+    context = spark.sparkContext
+    if not getattr(context, "_corvane_shipped", False):
+        root = Path(__file__).resolve().parents[1]
+        with zipfile.ZipFile(archive := Path(tempfile.mkdtemp(prefix="corvane-")) / "corvane.zip", "w") as z:
+            for file in [root / "__init__.py", *sorted((root / "llm").glob("*.py"))]:
+                z.write(file, file.relative_to(root.parent))
+        context.addPyFile(str(archive))
+        context._corvane_shipped = True
+
+
 def session_for_texts(spark: SparkSession) -> None:
-    """Bound the Arrow batches that Python workers get, by rows and by bytes."""
+    """Bound the Arrow batches that Python workers get, by rows and by bytes; ship the package."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 

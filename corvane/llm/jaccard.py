@@ -11,9 +11,9 @@ Only the order uses statistics that are not exact: a fixed-size counting sketch
 those that many documents share last. Any order gives the same links; this one keeps the lists short.
 
 Pairs are only made from lists of bounded length. A longer (heavy) list ties its sets to the smallest of them. Pairs and
-ties make candidate components. One of bounded size is compared within one task, each set shipped once. A larger one
-falls apart into its pairs, by their first set, and its heavy lists, by pairs of blocks: no task ever holds an unbounded
-group. Every comparison is on the whole sets.
+ties make candidate components. One of bounded size is compared within one task, each set shipped once. A larger one is
+compared by pairs of blocks of it, or falls apart into its pairs, by their first set, and its heavy lists, by pairs of
+blocks of each, whichever ships less: no task ever holds an unbounded group. Every comparison is on the whole sets.
 
 Sets are known by a 64-bit hash of their 64-bit shingle hashes; equal sets are one node from the start, so copies never
 meet each other. Two different sets share a node id with probability 2**-64 a pair.
@@ -284,8 +284,9 @@ def linked_pairs(sets: list[np.ndarray], percent: int, side: np.ndarray | None =
 
 
 def _compare(percent: int):
-    """Links of one job's sets. kind 0: (set, set) edges that connect what links; 1: links of a set, weighted by copies,
-    of a whole component; 2: every link of a job that is a part of one."""
+    """Links of one job's sets. Jobs: 0 a whole component, 3 two blocks of one, 1 a set and its candidates, 2 two blocks of
+    a heavy list. Out: 0 (set, set) edges that connect what links; 1 links of a set, weighted by copies, from jobs that
+    meet each pair once (0, 3); 2 every link, from the others."""
 
     def run(job: pa.Table) -> pa.Table:
         job = job.sort_by("sid")
@@ -299,13 +300,13 @@ def _compare(percent: int):
         labels, degree, links = np.arange(len(sets)), np.zeros(len(sets), np.int64), []
         for i, j in linked_pairs(sets, percent, side):
             labels = min_labels(len(sets), i, j, labels)
-            if kind == 0:
+            if kind in (0, 3):
                 degree += np.bincount(i, mult[j], len(sets)).astype(np.int64) + np.bincount(j, mult[i], len(sets)).astype(np.int64)
             else:
                 links.append((np.minimum(i, j), np.maximum(i, j)))
         moved = np.flatnonzero(labels != np.arange(len(sets)))
         out = [(0, sid[moved], sid[labels[moved]])]
-        if kind == 0:
+        if kind in (0, 3):
             some = np.flatnonzero(degree)
             out.append((1, sid[some], degree[some]))
         out += [(2, sid[i], sid[j]) for i, j in links]
@@ -394,23 +395,33 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     tied = posted.join(lists, "sig").where("sid <> centre").select(F.col("centre").alias("a"), F.col("sid").alias("b")).distinct()
     candidate = components(near.unionByName(tied), "a", "b").select(F.col("node").alias("sid"), F.col("component").alias("comp"))
     nodes = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("mult"))
+    # near copies share many lists with the very same sets: one of them is enough
+    distinct_lists = lists.groupBy("len", "who", "centre").agg(F.min("sig").alias("sig"))
     member = candidate.join(nodes, "sid")
-    comps = member.groupBy("comp").agg(((F.count("*") <= job_sets) & (F.sum("n") <= JOB_ELEMENTS)).alias("whole"))
-    member = written(spark, member.join(comps, "comp").select("sid", "rep", "mult", "comp", "whole"), "jaccard-members")
+    blocks = lambda n: F.ceil(n / F.lit(block_sets)).cast("long")
+    by_lists = distinct_lists.select(F.col("centre").alias("sid"), (F.col("len") * blocks(F.col("len"))).alias("cost")).unionByName(near.select(F.col("a").alias("sid"), F.lit(2).cast("long").alias("cost")))
+    by_lists = by_lists.groupBy("sid").agg(F.sum("cost").alias("cost")).join(candidate, "sid").groupBy("comp").agg(F.sum("cost").alias("cost"))
+    comps = member.groupBy("comp").agg(F.count("*").alias("sets"), F.sum("n").alias("elements")).join(by_lists, "comp", "left")
+    way = F.when((F.col("sets") <= job_sets) & (F.col("elements") <= JOB_ELEMENTS), "whole").when(F.col("sets") * blocks(F.col("sets")) <= F.coalesce("cost", F.lit(0)), "tiles").otherwise("lists")
+    comps = comps.select("comp", way.alias("way"), blocks(F.col("sets")).alias("nb"))
+    member = written(spark, member.join(comps, "comp").select("sid", "rep", "mult", "comp", "way", "nb"), "jaccard-members")
 
     none = F.lit(0).cast("long")
     one = F.lit(1).cast("long")
-    whole = member.where("whole").select(F.lit(0).alias("kind"), F.col("comp").alias("job"), none.alias("bi"), none.alias("bj"), none.alias("block"), "sid", "mult")
-    apart = member.where("not whole").select("sid", "mult")
+
+    def dealt(df: DataFrame, kind: int, job: str) -> DataFrame:
+        """Each set to the jobs of its block with every block, its own among them."""
+        df = df.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("nb"))).withColumn("other", F.explode(F.sequence(none, F.col("nb") - 1)))
+        return df.select(F.lit(kind).alias("kind"), F.col(job).alias("job"), F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "sid", "mult")
+
+    whole = member.where("way = 'whole'").select(F.lit(0).alias("kind"), F.col("comp").alias("job"), none.alias("bi"), none.alias("bj"), none.alias("block"), "sid", "mult")
+    tiles = dealt(member.where("way = 'tiles'"), 3, "comp")
+    apart = member.where("way = 'lists'").select("sid", "mult")
     firsts = near.join(apart.select(F.col("sid").alias("a")), "a")
     stars = firsts.select("a", F.col("a").alias("sid"), none.alias("block")).distinct().unionByName(firsts.select("a", F.col("b").alias("sid"), one.alias("block")))
     stars = stars.join(apart, "sid").select(F.lit(1).alias("kind"), F.col("a").alias("job"), none.alias("bi"), one.alias("bj"), "block", "sid", "mult")
-    # near copies share many lists with the very same sets: one of them is enough
-    distinct_lists = lists.groupBy("len", "who", "centre").agg(F.min("sig").alias("sig"))
-    long = posted.join(apart, "sid").join(distinct_lists.select("sig", "len"), "sig")
-    long = long.withColumn("nb", F.ceil(F.col("len") / F.lit(block_sets)).cast("long")).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("nb"))).withColumn("other", F.explode(F.sequence(none, F.col("nb") - 1)))
-    long = long.select(F.lit(2).alias("kind"), F.col("sig").alias("job"), F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "sid", "mult")
-    jobs = whole.unionByName(stars).unionByName(long)
+    long = dealt(posted.join(apart, "sid").join(distinct_lists.select("sig", "len"), "sig").withColumn("nb", blocks(F.col("len"))), 2, "sig")
+    jobs = whole.unionByName(tiles).unionByName(stars).unionByName(long)
 
     bloom = bloom_of(spark, member, "rep")
 

@@ -1,24 +1,59 @@
-"""The queries op1..op10 and pipeline, each over its whole table, and the SQL of those that SQL can express."""
+"""The queries op1..op10, each over its whole table, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from corvane.llm.jaccard import jaccard_components
+from corvane.llm.packing import packed
+from corvane.llm.pii import pii_spans
+from corvane.llm.quality import quality
+from corvane.llm.toxicity import toxicity
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+#: Scores from which a document counts as toxic, and as good.
+TOXIC_FROM, GOOD_FROM = 0.3, 0.5
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(id_col: str, of: int) -> Column:
+    """crc32 of an id as text, modulo the number of folds."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % of
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    score = toxicity(docs, table(spark, sf_dir, "labels"), train_where=fold("id", 4) != 2)
+    out = docs.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), score(F.col("text")).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from corvane.llm.jaccard import jaccard_components
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_spans(table(spark, sf_dir, "documents"))
+
 
-    return jaccard_components(_table(spark, sf_dir, "documents"))
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    score = quality(docs, table(spark, sf_dir, "labels"), train_where=fold("id", 3) != 1)
+    out = docs.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), score(F.col("text")).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= GOOD_FROM).cast("int"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_ngram_jaccard_join,)}
+    return {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op5_ngram_jaccard_join, op8_pii, op9_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:

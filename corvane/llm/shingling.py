@@ -93,17 +93,24 @@ def word_bounds(data: np.ndarray, offs: np.ndarray, apart: np.ndarray = _SPACE)
     return starts, np.flatnonzero(stop), np.searchsorted(starts, offs)
 
 
-def word_hashes(data: np.ndarray, offs: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash per word, and the number of words before each text (n + 1). apart: the bytes between words."""
+def word_hashes(data: np.ndarray, offs: np.ndarray, apart: np.ndarray = _SPACE, stems: tuple[int, ...] = ()):
+    """A 64-bit hash per word, and the number of words before each text (n + 1). apart: the bytes between words.
+
+    stems: also return, for each given length, the hashes of the words cut to that many bytes.
+    """
     starts, stops, before = word_bounds(data, offs, apart)
     if not len(starts):
-        return np.zeros(0, np.uint64), before
+        none = np.zeros(0, np.uint64)
+        return (none, before, [none] * len(stems)) if stems else (none, before)
     b = data[offs[0] : offs[-1]]
     power, inverse = _tables(len(b))
     run = np.empty(len(b) + 1, np.uint64)
     run[0] = 0
     np.cumsum(_BYTE[b] * power[: len(b)], out=run[1:])
-    return mix((run[stops] - run[starts]) * inverse[starts]), before
+    words = mix((run[stops] - run[starts]) * inverse[starts])
+    if stems:
+        return words, before, [mix((run[np.minimum(stops, starts + k)] - run[starts]) * inverse[starts]) for k in stems]
+    return words, before
 
 
 def gram_hashes(words: np.ndarray, offsets: tuple[int, ...], salt: int = 0) -> np.ndarray:
