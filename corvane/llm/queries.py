@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.llm.ann import nearest
+from corvane.llm.bpe import round_trip
+from corvane.llm.chat import CONTROLS, digests, formatted
 from corvane.llm.jaccard import jaccard_components
+from corvane.llm.neardup import near_duplicates
 from corvane.llm.packing import packed
 from corvane.llm.pii import pii_spans
 from corvane.llm.quality import quality
+from corvane.llm.sharding import BUCKET_ROWS, MULTIPLIER, sharded
 from corvane.llm.toxicity import toxicity
 
 #: Scores from which a document counts as toxic, and as good.
@@ -37,10 +42,34 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    return digests(formatted(talks.unionByName(extra)))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+SHARDS = 24
+
+
+def op7_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharded(table(spark, sf_dir, "documents"), SHARDS)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_spans(table(spark, sf_dir, "documents"))
 
@@ -52,9 +81,69 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= GOOD_FROM).cast("int"))
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op5_ngram_jaccard_join, op8_pii, op9_quality_classifier)}
+    return {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_byte_bpe, op4_chat_formatting, op5_ngram_jaccard_join, op6_embedding_near_dedup, op7_jump_sharding, op8_pii, op9_quality_classifier, op10_nearest_neighbours)}
+
+
+def _escaped_sql(column: str) -> str:
+    out = f"replace({column}, '~', '~0')"
+    for k, control in enumerate(CONTROLS, 1):
+        out = f"replace({out}, '{control}', '~{k}')"
+    return out
+
+
+_CHAT_SQL = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), r AS (
+  SELECT *, CASE WHEN {" OR ".join(f"contains(role, '{c}') OR contains(text, '{c}')" for c in CONTROLS)}
+    THEN 14 + length({_escaped_sql("role")}) + 7 + length({_escaped_sql("text")}) + 4
+    ELSE 9 + length(role) + 7 + length(text) + 4 END AS chars FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM r GROUP BY conv_id"""
+
+_WRAP = 1 << 64
+_SHARD_SQL = f"""
+WITH RECURSIVE sized AS (
+  SELECT doc_id, (coalesce(strlen(text), 0) + 8)::BIGINT AS size, coalesce(text, '') AS text,
+    (CASE WHEN coalesce(doc_id, 0) < 0 THEN doc_id::HUGEINT + {_WRAP} ELSE coalesce(doc_id, 0) END)::UHUGEINT AS key
+  FROM documents
+), keys AS (SELECT DISTINCT key AS k0 FROM sized),
+jumps(k0, key, spot, shard, grown, step) AS (
+  SELECT k0, k0, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0 FROM keys
+  UNION ALL
+  SELECT k0, (key * {MULTIPLIER}::UHUGEINT + 1) % {_WRAP}::UHUGEINT,
+    floor((spot + 1)::DOUBLE * (2147483648.0::DOUBLE / ((((key * {MULTIPLIER}::UHUGEINT + 1) % {_WRAP}::UHUGEINT) // 8589934592::UHUGEINT + 1)::DOUBLE)))::BIGINT,
+    CASE WHEN spot < {SHARDS} THEN spot ELSE shard END, spot, step + 1
+  FROM jumps WHERE spot <= {SHARDS}
+), ends AS (SELECT k0, max_by(shard, step) AS shard, max_by(grown, step) AS grown FROM jumps GROUP BY k0),
+crc_table AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS crcs
+  FROM (SELECT unnest(range(256)) AS i)
+), bytes AS (
+  SELECT text, list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: (strpos('0123456789ABCDEF', x[1]) - 1) * 16 + strpos('0123456789ABCDEF', x[2]) - 1)) AS b
+  FROM (SELECT DISTINCT text FROM sized)
+), crc AS (
+  SELECT text, xor(list_reduce(b, lambda c, x: xor(c >> 8, crcs[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM bytes, crc_table
+), placed AS (
+  SELECT doc_id, size, text_crc32, shard, grown,
+    (((key * {MULTIPLIER}::UHUGEINT + 1) % {_WRAP}::UHUGEINT) // 4294967296::UHUGEINT) % greatest(1, ceil((SELECT count(*) FROM documents) / {BUCKET_ROWS * SHARDS}.0))::UHUGEINT AS bucket
+  FROM sized JOIN ends ON key = k0 JOIN crc USING (text)
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown::INTEGER AS grown_shard
+FROM placed"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_chat_formatting": _CHAT_SQL, "op7_jump_sharding": _SHARD_SQL}
