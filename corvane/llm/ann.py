@@ -1,91 +1,111 @@
 """Approximate nearest neighbours by a permutation index.
 
-Every vector is posted to the inverted files of its POSTED nearest pivots. A query scans the files of its own POSTED
-nearest pivots, ranks what it meets there by the footrule distance of the two pivot permutations, and reranks the best of
-it by the exact inner product in double precision. A vector that shares several pivots with a query is met once, in the
-file of the shared pivot that is nearest the query. Each job keeps a query's best k; a last step joins them.
+The index is cut into blocks of bounded size by a hash of the id, each with inverted files of its own: the file of a pivot
+lists the block's vectors that have it among their POSTED nearest. A query goes to every block (queries go in blocks as
+well), takes what stands in the files of its own POSTED nearest pivots, ranks it by the footrule distance of the two
+pivot permutations, and reranks the best by the exact inner product in double precision. Each block keeps a query's best
+k in one row; a last step joins a query's rows.
 
-How much is reranked is a share of what is met, not a number, so recall does not fall as the table grows.
+How much is reranked is a share of a block, not a number, so recall does not fall as the table grows. Pivots are a bounded
+sample; every vector is indexed.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.cluster import session_for_texts, shared_dir, written
-from corvane.llm.pivots import PIVOTS, blocks_of, dimension, file_sizes, pivots_of, posted, unpack
+from corvane.llm.pivots import PIVOTS, described, dimension, pivots_of, unpack
 
-POSTED = 12
-#: Ranks from here on count as equal: far pivots say little.
-FAR = 64
-#: Of what a query meets in a job this share is reranked, and at least LEAST vectors.
-SHARE, LEAST = 0.3, 64
-BLOCK, QUERY_BLOCK = 4096, 512
+POSTED = 14
+#: Of a block's vectors a query reranks this share, and at least LEAST.
+SHARE, LEAST = 0.2, 64
+BLOCK, QUERY_BLOCK = 2048, 4096
+#: Queries worked on at once within a job.
+TOGETHER = 32
 
 
-def best_by_footrule(rank_columns: np.ndarray, of_query: np.ndarray, met: np.ndarray, share: float, least: int) -> np.ndarray:
-    """Of the vectors at `met` those to rerank. rank_columns: pivots x vectors."""
-    n = max(least, int(np.ceil(share * len(met))))
-    if len(met) <= n:
-        return met
-    total = np.zeros(rank_columns.shape[1], np.int32)
-    for column, rank in zip(rank_columns, of_query, strict=True):
-        total += np.abs(column - rank)
-    total = total[met]
-    return met[np.argpartition(total, n - 1)[:n]]
+def footrule(queries: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Sum over pivots of the difference of ranks: queries (n x pivots) against columns (pivots x m)."""
+    total = np.zeros((len(queries), columns.shape[1]), np.int16)
+    for p in range(len(columns)):
+        total += np.abs(columns[p][None, :] - queries[:, p][:, None])
+    return total
 
 
-def _search(dim: int, pivots: int, files: int, k: int, share: float, least: int):
+def _files(r: np.ndarray, posted: int) -> np.ndarray:
+    """One bit for each pivot among a vector's nearest."""
+    return ((r < posted).astype(np.uint64) << np.arange(r.shape[1], dtype=np.uint64)).sum(1, dtype=np.uint64)
+
+
+def _search(dim: int, pivots: int, posted: int, k: int, share: float, least: int):
     def run(job: pa.Table) -> pa.Table:
-        pivot = job.column("pivot")[0].as_py()
         r, x = unpack(job, dim, pivots)
-        ids, asks = job.column("id").to_numpy(), job.column("asks").to_numpy(zero_copy_only=False)
+        r = r.astype(np.int8)
+        ids, asks = job.column("id").to_numpy(), job.column("asking").to_numpy(zero_copy_only=False)
         ours, queries = np.flatnonzero(~asks), np.flatnonzero(asks)
-        columns = np.ascontiguousarray(np.minimum(r[ours], FAR).T.astype(np.int16))
-        near = r[ours] < files
-        own, y = ids[ours], x[ours]
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for q in queries:
-            nearer = np.flatnonzero(r[q] < r[q][pivot])
-            met = np.flatnonzero(~near[:, nearer].any(1) & (own != ids[q])) if len(nearer) else np.flatnonzero(own != ids[q])
-            best = best_by_footrule(columns, np.minimum(r[q], FAR).astype(np.int16), met, share, least)
-            score = y[best] @ x[q]
-            if len(best) > k:
-                some = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
-                best, score = best[some], score[some]
-            keep = np.lexsort((own[best], -score))[:k]
-            # the score itself does not depend on how the job was put together
-            exact = np.array([float(np.dot(y[b], x[q])) for b in best[keep]])
-            out.append((np.full(len(keep), ids[q]), own[best[keep]], exact))
-        q, v, s = (np.concatenate(c) if out else np.zeros(0) for c in (zip(*out, strict=True) if out else ((), (), ())))
-        return pa.table({"query_id": pa.array(q.astype(np.int64)), "vec_id": pa.array(v.astype(np.int64)), "score": pa.array(s.astype(np.float64))})
+        ours = ours[np.argsort(ids[ours])]
+        own, y, columns, files = ids[ours], x[ours], np.ascontiguousarray(r[ours].T), _files(r[ours], posted)
+        n = max(least, int(np.ceil(share * len(ours))))
+        who, found, scores = [], [], []
+        for c in range(0, len(queries) if len(ours) else 0, TOGETHER):
+            part = queries[c : c + TOGETHER]
+            far = footrule(r[part], columns)
+            far[(_files(r[part], posted)[:, None] & files[None, :]) == 0] = np.iinfo(np.int16).max
+            far[ids[part][:, None] == own[None, :]] = np.iinfo(np.int16).max
+            best = np.argpartition(far, n - 1, axis=1)[:, :n] if n < len(ours) else np.tile(np.arange(len(ours)), (len(part), 1))
+            for q, line, cand in zip(part, far, best, strict=True):
+                cand = cand[line[cand] < np.iinfo(np.int16).max]
+                s = y[cand] @ x[q]
+                if len(cand) > k:
+                    some = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
+                    cand, s = cand[some], s[some]
+                cand = cand[np.lexsort((own[cand], -s))[:k]]
+                who.append(ids[q])
+                found.append(own[cand].astype("<i8").tobytes())
+                # one product at a time, so that a score does not depend on how a block was put together
+                scores.append(np.array([np.dot(y[v], x[q]) for v in cand], "<f8").tobytes())
+        return pa.table({"query_id": pa.array(who, pa.int64()), "found": pa.array(found, pa.binary()), "scores": pa.array(scores, pa.binary())})
+
+    return run
+
+
+def _joined(k: int):
+    def run(rows: pa.Table) -> pa.Table:
+        v = np.frombuffer(b"".join(rows.column("found").to_pylist()), "<i8")
+        s = np.frombuffer(b"".join(rows.column("scores").to_pylist()), "<f8")
+        best = np.lexsort((v, -s))[:k]
+        return pa.table({"query_id": pa.array(np.full(len(best), rows.column("query_id")[0].as_py(), np.int64)), "rank": pa.array(np.arange(1, len(best) + 1, dtype=np.int32)), "vec_id": pa.array(v[best]), "score": pa.array(s[best])})
 
     return run
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = PIVOTS, files: int = POSTED, share: float = SHARE, least: int = LEAST, block: int = BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = PIVOTS, posted: int = POSTED, share: float = SHARE, least: int = LEAST, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """For each query row its k nearest other rows by inner product: query_id, rank (from 1), vec_id, score.
 
     Ties go to the smaller id. Defined cases: vectors that are null, zero, hold null or non-finite numbers, or are not of
     the most common length, and rows without an id, take no part. Of rows that share an id the smallest vector counts. A
-    query with fewer candidates gets all it meets. An empty table gives no rows. Only the named columns are read.
+    query with fewer candidates gets all it meets. An empty table gives no rows. Only the named columns are read. At most
+    64 pivots (a bit each).
     """
+    if pivots > 64:
+        raise ValueError("at most 64 pivots")
     spark = vectors.sparkSession
     session_for_texts(spark)
     shared_dir(spark)
-    rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), is_query.cast("long").alias("asks"), F.col(vec_col).cast("array<double>").alias("v"))
+    rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).cast("long").alias("asks"), F.col(vec_col).cast("array<double>").alias("v"))
     rows = rows.groupBy("id").agg(F.max("asks").alias("asks"), F.min("v").alias("v"))
     dim = dimension(rows, "v")
     held = pivots_of(rows, "id", "v", dim, pivots)
-    sent = spark.sparkContext.broadcast(held)
-    listed = written(spark, posted(rows, sent, ["id", "asks"], dim, files), "ann-files")
-    cut = blocks_of(listed, file_sizes(listed), block)
-    zero = F.lit(0).cast("long")
-    ours = cut.select("id", F.lit(False).alias("asks"), "pivot", "ranks", "vec", F.pmod(F.xxhash64("id"), F.col("nb")).alias("block"), F.explode(F.sequence(zero, F.greatest(F.ceil(F.col("nb") * F.lit(block / 20 / QUERY_BLOCK)).cast("long") - 1, zero))).alias("part"))
-    asking = cut.where("asks = 1").select("id", F.lit(True).alias("asks"), "pivot", "ranks", "vec", F.explode(F.sequence(zero, F.col("nb") - 1)).alias("block"), F.pmod(F.xxhash64("id", F.lit(3)), F.greatest(F.ceil(F.col("nb") * F.lit(block / 20 / QUERY_BLOCK)).cast("long"), F.lit(1).cast("long"))).alias("part"))
-    found = ours.unionByName(asking).groupBy("pivot", "block", "part").applyInArrow(_search(dim, len(held), files, k, share, least), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    index = written(spark, described(rows, spark.sparkContext.broadcast(held), ["id", "asks"], dim), "ann-index")
+    size = index.agg(F.count("*").alias("n"), F.coalesce(F.sum("asks"), F.lit(0)).alias("q")).first()
+    blocks, parts = -(-size["n"] // block) or 1, -(-size["q"] // query_block) or 1
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    of = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
+    ours = index.select("id", F.lit(False).alias("asking"), "ranks", "vec", of(1, blocks).alias("block"), every(parts).alias("part"))
+    asking = index.where("asks = 1").select("id", F.lit(True).alias("asking"), "ranks", "vec", every(blocks).alias("block"), of(2, parts).alias("part"))
+    found = ours.unionByName(asking).groupBy("block", "part").applyInArrow(_search(dim, len(held), posted, k, share, least), "query_id long, found binary, scores binary")
+    return found.groupBy("query_id").applyInArrow(_joined(k), "query_id long, rank int, vec_id long, score double")

@@ -2,8 +2,7 @@
 
 A vector is described by the order of its nearest pivots. The pivots are a bounded sample (PIVOTS vectors, the first by a
 hash of the id); every vector is indexed. An inverted file lists, for each pivot, the vectors that have it among their
-POSTED nearest. Files are cut into blocks of bounded size, so that a pivot that a third of all vectors are near is many
-jobs, not one.
+nearest. Jobs have a bounded size, so that a pivot that a third of all vectors are near is many jobs, not one.
 """
 
 from __future__ import annotations
@@ -84,6 +83,20 @@ def posted(vectors: DataFrame, sent, keys: list[str], dim: int, files: int) -> D
     return vectors.mapInArrow(run, ", ".join(f"{k} long" for k in keys) + ", pivot int, ranks binary, vec binary")
 
 
+def described(vectors: DataFrame, sent, keys: list[str], dim: int) -> DataFrame:
+    """Per valid vector one row: keys, ranks and vector as bytes. Inputs as for posted()."""
+    session_for_texts(vectors.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, x = matrix(batch.column(len(keys)), dim)
+            r = ranks(unit(x), sent.value)
+            take = pa.array(at)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(len(keys))), pa.array([v.tobytes() for v in r], pa.binary()), pa.array([v.tobytes() for v in x.astype("<f8")], pa.binary())], names=[*keys, "ranks", "vec"])
+
+    return vectors.mapInArrow(run, ", ".join(f"{k} long" for k in keys) + ", ranks binary, vec binary")
+
+
 def file_sizes(files: DataFrame) -> dict[int, int]:
     """Vectors in each pivot's file; as many rows as there are pivots."""
     return {r["pivot"]: r["count"] for r in files.groupBy("pivot").count().collect()}
