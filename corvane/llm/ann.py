@@ -6,7 +6,7 @@ well), takes what stands in the files of its own POSTED nearest pivots, ranks it
 pivot permutations, and reranks the best by the exact inner product in double precision. Each block keeps a query's best
 k in one row; a last step joins a query's rows.
 
-How much is reranked is a share of a block, not a number, so recall does not fall as the table grows. Pivots are a bounded
+Permutations are those of unit vectors: the index is meant for vectors of like length. How much is reranked is a share of a block, not a number, so recall does not fall as the table grows. Pivots are a bounded
 sample; every vector is indexed.
 """
 
@@ -22,7 +22,7 @@ from corvane.llm.pivots import PIVOTS, described, dimension, pivots_of, unpack
 
 POSTED = 14
 #: Of a block's vectors a query reranks this share, and at least LEAST.
-SHARE, LEAST = 0.2, 64
+SHARE, LEAST = 0.3, 64
 BLOCK, QUERY_BLOCK = 2048, 4096
 #: Queries worked on at once within a job.
 TOGETHER = 32
