@@ -23,7 +23,13 @@ def table(spark, vectors, ids=None):
     return df
 
 
-ODD = [None, [0.0] * 16, [float("nan")] + [1.0] * 15, [float("inf")] + [1.0] * 15, [None] + [1.0] * 15, [1.0] * 3, []]
+
+
+def odd(dim):
+    return [None, [0.0] * dim, [float("nan")] + [1.0] * (dim - 1), [float("inf")] + [1.0] * (dim - 1), [None] + [1.0] * (dim - 1), [1.0] * 3, []]
+
+
+ODD = odd(16)
 
 
 def clusters(n=600, dim=16, near=0.03, seed=1):
@@ -67,7 +73,7 @@ def test_nearest_recall_and_scores(spark, options):
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
     x[40] = x[41]
     ids = [i + 100 for i in range(len(x))]
-    rows = nearest(table(spark, [*x, *[v + [1.0] * (64 - len(v)) if v and len(v) == 16 else v for v in ODD]], [*ids, *range(1, 1 + len(ODD))]), F.col("vec_id") % 20 == 0, 20, **options).collect()
+    rows = nearest(table(spark, [*x, *odd(64)], [*ids, *range(1, 1 + len(ODD))]), F.col("vec_id") % 20 == 0, 20, **options).collect()
     got = defaultdict(list)
     for row in sorted(rows, key=lambda r: (r.query_id, r["rank"])):
         got[row.query_id].append((row.vec_id, row.score))
