@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.cluster import session_for_texts
+from corvane.llm.sampling import first_by_hash
 
 PIVOTS = 64
 
@@ -45,7 +46,7 @@ def dimension(vectors: DataFrame, vec_col: str) -> int:
 
 def pivots_of(vectors: DataFrame, id_col: str, vec_col: str, dim: int, count: int = PIVOTS) -> np.ndarray:
     """At most `count` different unit vectors, the first valid ones by a hash of the id."""
-    few = vectors.select(F.xxhash64(id_col).alias("h"), F.col(vec_col).cast("array<double>").alias("v")).where(F.size("v") == dim).orderBy("h").limit(8 * count)
+    few = first_by_hash(vectors.select(id_col, F.col(vec_col).cast("array<double>").alias("v")).where(F.size("v") == dim), id_col, 8 * count, out="h")
     rows = few.toArrow().combine_chunks()
     if not rows.num_rows or not dim:
         return np.zeros((0, dim))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm import shingling as S
 from corvane.llm.cluster import session_for_texts
+from corvane.llm.sampling import first_by_hash
 
 #: Documented bounds on training data only: trusted positives and unlabelled texts, the first by a hash of the id.
 POSITIVES, UNLABELLED = 8_000, 12_000
@@ -134,9 +135,9 @@ def _samples(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str
     named = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
     named = named.where(F.col("id").isNotNull() if use is None else F.col("id").isNotNull() & use)
     trusted = named.where("label in (0, 1)").groupBy("id").agg(F.min("label").alias("least")).where("least = 1")
-    trusted = trusted.select("id", F.lit(True).alias("positive"), F.xxhash64("id").alias("order")).orderBy("order", "id").limit(positives)
+    trusted = first_by_hash(trusted.select("id", F.lit(True).alias("positive")), "id", positives)
     texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    wild = texts.select("id").where("id is not null").select("id", F.lit(False).alias("positive"), F.xxhash64("id", F.lit(5)).alias("order")).orderBy("order", "id").limit(unlabelled)
+    wild = first_by_hash(texts.select("id", F.lit(False).alias("positive")).where("id is not null"), "id", unlabelled, salt=5)
     # both are bounded, so they are safe to broadcast; the texts are read once
     return texts.join(F.broadcast(trusted.unionByName(wild)), "id").select("positive", "order", "text")
 

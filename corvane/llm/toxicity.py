@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm import shingling as S
 from corvane.llm.cluster import session_for_texts
+from corvane.llm.sampling import first_by_hash
 
 BITS = 20
 #: The learner reads at most this many labelled rows, the first by a hash of the id. A documented bound on training
@@ -94,7 +95,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, id_col: str, text_c
     named = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
     named = named.where("id is not null and label in (0, 1)" if use is None else F.col("id").isNotNull() & F.col("label").isin(0, 1) & use)
     named = named.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most")
-    few = named.select("id", "label", F.xxhash64("id").alias("order")).orderBy("order", "id").limit(rows)
+    few = first_by_hash(named.select("id", "label"), "id", rows)
     # bounded by `rows`, so it is safe to broadcast
     texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return texts.join(F.broadcast(few), "id").select("order", "text", "label").orderBy("order").limit(rows)
