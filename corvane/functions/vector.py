@@ -41,3 +41,15 @@ def max_sim(query_tokens: Column, doc_tokens: Column) -> Column:
 def chunks(a: Column, width: int) -> Column:
     """A long vector as an array of vectors of `width`."""
     return F.transform(F.sequence(F.lit(1), F.size(a), F.lit(width)), lambda k: F.slice(a, k, width))
+
+
+def pooled(token_vectors: Column, how: str = "mean") -> Column:
+    """One vector of a text's token vectors: their mean, the first (a CLS token), or the last. No tokens: null."""
+    n = F.size(token_vectors)
+    if how == "first":
+        return F.get(token_vectors, F.lit(0))
+    if how == "last":
+        return F.get(token_vectors, n - 1)
+    first = F.get(token_vectors, F.lit(0))
+    total = F.aggregate(F.slice(token_vectors, 2, F.greatest(n - 1, F.lit(0))), F.transform(first, lambda x: x.cast("double")), lambda a, v: F.zip_with(a, v, lambda x, y: x + y.cast("double")))
+    return F.transform(total, lambda x: x / n)

@@ -1,4 +1,4 @@
-"""All queries of the reference's operators."""
+"""All queries of the library's operators."""
 
 from corvane.plans import corpus, labels, search  # noqa: F401
 from corvane.plans.registry import ORACLES, QUERIES

@@ -183,9 +183,14 @@ def f3_threshold_sweep(spark, t):
     return passing(B.ip_channel(t), "score", (0.2, 0.3, 0.4, 0.5, 0.75, 0.9))
 
 
-@query("""WITH m AS (SELECT doc_id, lang, source, count(*) OVER (PARTITION BY lang, source) AS n FROM documents)
-SELECT lang AS asked_lang, doc_id FROM (SELECT DISTINCT lang AS asked FROM documents) a JOIN LATERAL (
-  SELECT lang, doc_id FROM documents d WHERE (d.lang = a.asked AND d.source = 'src1') OR (SELECT count(*) FROM documents e WHERE e.lang = a.asked AND e.source = 'src1') < 10) x ON TRUE""".replace("lang AS asked_lang", "a.asked AS asked_lang"))
+@query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def f4_tier_mask(spark, t):
+    tier = D.flagged(t("documents").select("doc_id", "source"), t("labels").where("quality = 1"), ["doc_id"], "in_tier")
+    return tier.where("in_tier").select("doc_id", "source")
+
+
+@query("""SELECT asked AS asked_lang, doc_id FROM (SELECT DISTINCT lang AS asked FROM documents) a JOIN LATERAL (
+  SELECT doc_id FROM documents d WHERE (d.lang = a.asked AND d.source = 'src1') OR (SELECT count(*) FROM documents e WHERE e.lang = a.asked AND e.source = 'src1') < 10) x ON TRUE""")
 def f5_prefilter_with_fallback(spark, t):
     from corvane.operators.joins import prefilter
 

@@ -93,6 +93,12 @@ def r10_lsh_search(spark, t):
     return R.lsh_search(B.vectors(t).select("doc_id", "vec"), B.vector_queries(t).select("query_id", "qvec"), 10)
 
 
+@query("SELECT vec_id, round((embedding[1]::DOUBLE + embedding[17] + embedding[33] + embedding[49]) / 4, 6) AS mean_first, round(embedding[1]::DOUBLE, 6) AS cls_first, round(embedding[49]::DOUBLE, 6) AS last_first FROM embeddings")
+def r15_token_pooling(spark, t):
+    parts = V.chunks(F.col("embedding"), 16)
+    return t("embeddings").select("vec_id", *[F.round(V.pooled(parts, how)[0].cast("double"), 6).alias(f"{name}_first") for name, how in (("mean", "mean"), ("cls", "first"), ("last", "last"))])
+
+
 @query(f"""WITH {B.DENSE}, s AS (SELECT query_id, doc_id, rank AS native_rank, round(list_dot_product(qv, v), 6) AS score FROM l2 JOIN q USING (query_id) JOIN d USING (doc_id))
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s""")
 def r11_rerank_pool_by_distance(spark, t):
