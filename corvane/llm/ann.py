@@ -6,8 +6,8 @@ well), takes what stands in the files of its own POSTED nearest pivots, ranks it
 pivot permutations, and reranks the best by the exact inner product in double precision. Each block keeps a query's best
 k in one row; a last step joins a query's rows.
 
-Permutations are those of unit vectors: the index is meant for vectors of like length. How much is reranked is a share of a block, not a number, so recall does not fall as the table grows. Pivots are a bounded
-sample; every vector is indexed.
+Permutations are those of unit vectors: the index is meant for vectors of like length. How much is reranked is a share of a block, not a number, so recall does not fall as the table grows. Pivots are spread
+out within a bounded sample, so that a large group of near copies does not take its share of them; every vector is indexed.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.cluster import session_for_texts, shared_dir, written
-from corvane.llm.pivots import PIVOTS, described, dimension, pivots_of, unpack
+from corvane.llm.pivots import APART, PIVOTS, described, dimension, pivots_of, unpack
 
 POSTED = 14
 #: Of a block's vectors a query reranks this share, and at least LEAST.
@@ -99,7 +99,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).cast("long").alias("asks"), F.col(vec_col).cast("array<double>").alias("v"))
     rows = rows.groupBy("id").agg(F.max("asks").alias("asks"), F.min("v").alias("v"))
     dim = dimension(rows, "v")
-    held = pivots_of(rows, "id", "v", dim, pivots)
+    held = pivots_of(rows, "id", "v", dim, pivots, APART)
     index = written(spark, described(rows, spark.sparkContext.broadcast(held), ["id", "asks"], dim), "ann-index")
     size = index.agg(F.count("*").alias("n"), F.coalesce(F.sum("asks"), F.lit(0)).alias("q")).first()
     blocks, parts = -(-size["n"] // block) or 1, -(-size["q"] // query_block) or 1

@@ -18,6 +18,8 @@ from corvane.llm.cluster import session_for_texts
 from corvane.llm.sampling import first_by_hash
 
 PIVOTS = 64
+#: A sampled vector at this cosine or more to a chosen pivot is chosen only when the others do not suffice.
+APART = 0.7
 
 
 def matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -44,8 +46,23 @@ def dimension(vectors: DataFrame, vec_col: str) -> int:
     return row["d"] if row else 0
 
 
-def pivots_of(vectors: DataFrame, id_col: str, vec_col: str, dim: int, count: int = PIVOTS) -> np.ndarray:
-    """At most `count` different unit vectors, the first valid ones by a hash of the id."""
+def spread(x: np.ndarray, count: int, apart: float) -> np.ndarray:
+    """Positions of at most `count` unit vectors: the first that are below cosine `apart` to all before; if too few, the first of the rest.
+
+    A large group of near copies thus gives one pivot, not its share of them.
+    """
+    taken, nearest = np.zeros(len(x), bool), np.full(len(x), -np.inf)
+    for i in range(len(x)):
+        if nearest[i] < apart:
+            taken[i] = True
+            nearest = np.maximum(nearest, x @ x[i])
+            if taken.sum() == count:
+                break
+    return np.sort(np.append(np.flatnonzero(taken), np.flatnonzero(~taken)[: count - taken.sum()]))
+
+
+def pivots_of(vectors: DataFrame, id_col: str, vec_col: str, dim: int, count: int = PIVOTS, apart: float | None = None) -> np.ndarray:
+    """At most `count` different unit vectors, the first valid ones by a hash of the id; with `apart`, spread out."""
     few = first_by_hash(vectors.select(id_col, F.col(vec_col).cast("array<double>").alias("v")).where(F.size("v") == dim), id_col, 8 * count, out="h")
     rows = few.toArrow().combine_chunks()
     if not rows.num_rows or not dim:
@@ -53,7 +70,8 @@ def pivots_of(vectors: DataFrame, id_col: str, vec_col: str, dim: int, count: in
     rows = rows.sort_by("h")
     _, x = matrix(rows.column("v").combine_chunks(), dim)
     _, first = np.unique(x, axis=0, return_index=True)
-    return unit(x[np.sort(first)[:count]])
+    x = unit(x[np.sort(first)])
+    return x[:count] if apart is None else x[spread(x, count, apart)]
 
 
 def ranks(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:

@@ -91,6 +91,33 @@ def test_nearest_recall_and_scores(spark, options):
     assert hit / total >= 0.9
 
 
+def with_group(n, share, dim=64, seed=3):
+    """Unit vectors, the first `share` of them near copies (cosine 0.90 to 0.95) of one point."""
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    point, m = x[-1], int(n * share)
+    off = x[:m] - (x[:m] @ point)[:, None] * point
+    cos = r.uniform(0.9, 0.95, m)[:, None]
+    x[:m] = cos * point + np.sqrt(1 - cos**2) * off / np.linalg.norm(off, axis=1, keepdims=True)
+    return x.astype(np.float32)
+
+
+def test_nearest_recall_beside_a_group_of_near_copies(spark):
+    x = with_group(4000, 1 / 3)
+    got = defaultdict(set)
+    for row in nearest(table(spark, x), F.col("vec_id") % 20 == 0, 20).collect():
+        got[row.query_id].add(row.vec_id)
+    y = x.astype(np.float64)
+    recall = {}
+    for i in range(0, 4000, 20):
+        s = y @ y[i]
+        s[i] = -np.inf
+        recall[i] = len(got[i] & {int(j) for j in np.argsort(-s, kind="stable")[:20]}) / 20
+    assert np.mean([v for i, v in recall.items() if i < 4000 // 3]) >= 0.9
+    assert np.mean([v for i, v in recall.items() if i >= 4000 // 3]) >= 0.9
+
+
 def test_nearest_corners(spark):
     few = nearest(table(spark, [[1.0, 0.0], [1.0, 0.0], [0.5, 0.0], [0.5, 0.0], None], [0, 3, 2, 1, 20]), F.col("vec_id") % 20 == 0).orderBy("rank").collect()
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in few] == [(0, 1, 3, 1.0), (0, 2, 1, 0.5), (0, 3, 2, 0.5)]
