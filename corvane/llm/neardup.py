@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.cluster import session_for_texts, shared_dir, written
 from corvane.llm.components import components, min_labels
-from corvane.llm.pivots import PIVOTS, blocks_of, dimension, file_sizes, pivots_of, posted, unit, unpack
+from corvane.llm.pivots import APART, PIVOTS, blocks_of, dimension, file_sizes, pivots_of, posted, unit, unpack
 
 POSTED, SHARED = 6, 2
 BLOCK = 1024
@@ -64,7 +64,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     shared_dir(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     dim = dimension(rows, "v")
-    held = pivots_of(rows, "id", "v", dim, pivots)
+    held = pivots_of(rows, "id", "v", dim, pivots, APART)
     sent = spark.sparkContext.broadcast(held)
     valid = F.coalesce((F.size("v") == dim) & F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0), F.lit(False))
     rows = rows.withColumn("node", F.when(valid, F.xxhash64("v", F.lit(1))))

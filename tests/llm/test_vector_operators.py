@@ -60,6 +60,17 @@ def test_near_duplicates(spark, block):
     assert all(r.kept == (r.vec_id == r.component_id) and r.component_id <= r.vec_id for r in out.values())
 
 
+def test_near_duplicates_within_a_large_group(spark):
+    x = with_group(4000, 1 / 3)
+    got = {r.vec_id: r.n_links for r in near_duplicates(table(spark, x)).collect()}
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    link = u @ u.T >= 0.9
+    np.fill_diagonal(link, False)
+    mine = np.array([got[i] for i in range(len(x))])
+    assert (mine <= link.sum(1)).all() and mine.sum() >= 0.99 * link.sum()
+
+
 def test_near_duplicates_corners(spark):
     assert near_duplicates(table(spark, [[1.0, 2.0]]).limit(0)).count() == 0
     rows = near_duplicates(table(spark, [[1.0, 0.0], [1.0, 0.0], [0.0, 1.0]], [5, None, 5])).collect()
