@@ -30,10 +30,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked documents the one with the smallest id. Rows without an id stay."""
-    classes = jaccard_components(docs).where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(classes, "doc_id", "left_anti")
-    return left.select(*docs.columns)
+    """Of each class of linked rows one: that with the smallest id, rows without an id last, ties by a hash of the row.
+
+    Rows are told apart by a key of their own, so repeated rows, rows without an id and ids with several texts are right.
+    """
+    keyed = written(spark, docs.withColumn("row_key", F.monotonically_increasing_id()), "stage-row-keys")
+    linked = jaccard_components(keyed, "row_key").where("n_links > 0").select("row_key", "component_id")
+    linked = written(spark, linked, "stage-linked-rows")
+    named = linked.join(keyed.select("row_key", "doc_id", F.xxhash64(*docs.columns).alias("h")), "row_key")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "row_key")).alias("first")).select("first.row_key")
+    others = linked.select("row_key").join(first, "row_key", "left_anti")
+    return keyed.join(others, "row_key", "left_anti").select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -154,6 +154,15 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+def test_pipeline_near_duplicates_by_row(spark):
+    import corpus_pipeline as p
+
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(30)) for w in "abcd")
+    rows = [(1, a), (1, a), (None, b), (None, b), (5, c), (9, c), (9, d), (None, d), (None, None), (7, "")]
+    kept = p.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(tuple(map(str, r)) for r in kept) == sorted(tuple(map(str, r)) for r in [(1, a), (None, b), (5, c), (9, d), (None, None), (7, "")])
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
