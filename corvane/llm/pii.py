@@ -102,7 +102,6 @@ _DISGUISED = re.compile(
 _DISGUISED_IP = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:(?:{_DOT}|\.)[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 _DISGUISE = re.compile(rf"(?P<dot>{_DOT})|(?P<at>{_AT}|\s{{1,3}}at\s{{1,3}})", re.I)
 _BRACKETED = re.compile(r"[\[({<]\s{0,2}(?:[.@]|at\b|dot\b)")
-_APART = [f" {w} " for w in _SPELLED]
 
 
 def _hinted(text: str) -> bool:
@@ -110,8 +109,7 @@ def _hinted(text: str) -> bool:
     low = text.lower()
     if "dot" in low or not text.isascii() and _ODD.search(text) or any(b in low for b in "[({<") and _BRACKETED.search(low):
         return True
-    spaced = low.replace("-", " ")
-    return any(w in spaced for w in _APART) and bool(_SPELLED_RUN.search(text))
+    return (not text.isascii() or any(w in low for w in _SPELLED)) and bool(_SPELLED_RUN.search(text))
 
 
 def _plain(c: str) -> str:

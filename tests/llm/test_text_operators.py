@@ -257,6 +257,12 @@ def test_disguises_map_back(text, spans):
     assert pii.written_out(base + more) == spans
 
 
+@pytest.mark.parametrize("lead", ["", "Card:\n", "card (", "card "])
+def test_one_spelled_digit_opens_the_run(lead):
+    _, more = pii.find(lead + "four 111 1111 1111 1111")
+    assert [(s, k) for s, k, *_ in more] == [(len(lead), 2)]
+
+
 def test_pii_rows(spark):
     texts = CORNERS + ["x a.b@c.de y 10.0.0.1", "4111 1111 1111 1111", "+1 (269) 555-3296", "9" * 20_000, "@" * 5000, "a" * 20_000 + "@"]
     out = {r.doc_id: r for r in pii.pii_spans(documents(spark, texts)).collect()}
