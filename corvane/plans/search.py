@@ -79,7 +79,7 @@ def r8_max_sim(spark, t):
 @query()
 def r9_ivf_search(spark, t):
     index, centres = R.ivf_cells(B.vectors(t).select("doc_id", "vec"), 16)
-    return R.ivf_search(index, centres, B.vector_queries(t).select("query_id", "qvec"), 4, 20)
+    return R.ivf_search(index, centres, B.vector_queries(t).select("query_id", "qvec"), 4, 20, complete=True)
 
 
 @query(f"WITH {B.DENSE} SELECT query_id, doc_id, score, rank FROM ip WHERE rank <= 20")

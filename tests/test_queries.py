@@ -48,6 +48,14 @@ def test_query(spark, con, name):
     assert got == sorted(tuple(cell(r[i]) for i in at) for r in rel.fetchall())
 
 
+def test_ivf_search_recall(spark):
+    pairs = lambda df: {(r.query_id, r.doc_id) for r in df.collect()}
+    sf = "/root/testdata/sf0.1"
+    found, true = pairs(QUERIES["r9_ivf_search"](spark, sf)), pairs(QUERIES["r4_exact_inner_product"](spark, sf).where("rank <= 20"))
+    print("recall", len(found & true) / len(true))
+    assert len(found & true) >= 0.9 * len(true)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
