@@ -36,6 +36,24 @@ def r2_bm25_by_tier(spark, t):
     return R.top_k(by, 20, by=("tier", "query_id")).where("tier = 'en'").select("query_id", "doc_id", "score", "rank")
 
 
+_BM25_TIERS = r"""tok AS (SELECT lang AS tier, doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents),
+post AS (SELECT tier, doc_id, term, count(*) AS tf FROM tok GROUP BY ALL),
+sizes AS (SELECT lang AS tier, doc_id, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))::DOUBLE AS dl FROM documents),
+stats AS (SELECT tier, count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM sizes GROUP BY tier),
+idf AS (SELECT tier, term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM post JOIN stats USING (tier) GROUP BY tier, term, n),
+mean AS (SELECT tier, avg(idf) AS m FROM idf GROUP BY tier),
+w AS (SELECT tier, term, CASE WHEN idf < 0 THEN 0.25 * m ELSE idf END AS w FROM idf JOIN mean USING (tier)),
+asked AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark) GROUP BY ALL),
+bm AS (SELECT tier, query_id, doc_id, round(sum(w * qtf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+  FROM asked JOIN w USING (term) JOIN post USING (tier, term) JOIN sizes USING (tier, doc_id) JOIN stats USING (tier) GROUP BY tier, query_id, doc_id)"""
+
+
+@query(f"WITH {_BM25_TIERS} SELECT tier, query_id, doc_id, score, row_number() OVER (PARTITION BY tier, query_id ORDER BY score DESC, doc_id) AS rank FROM bm QUALIFY rank <= 20")
+def r2_bm25_all_tiers(spark, t):
+    by = R.bm25(t("documents").select(F.col("lang").alias("tier"), "doc_id", "text"), B.benchmark(t), by=["tier"])
+    return R.top_k(by, 20, by=("tier", "query_id")).select("tier", "query_id", "doc_id", "score", "rank")
+
+
 @query(f"WITH {B.DENSE} SELECT query_id, doc_id, score, rank FROM l2")
 def r3_exact_l2(spark, t):
     return B.l2_channel(t)
@@ -314,6 +332,46 @@ def e8_macro_dialect_d(spark, t):
     return E.macro(_metrics(t, "D"), ["channel", "k"], ["precision", "recall", "f1", "ndcg"])
 
 
+# ---- the same five over the judgements of every query
+
+
+def _whole_sql(dialect: str) -> str:
+    return _metrics_sql(dialect).replace(" WHERE query_id % 40 = 0", "", 1)
+
+
+def _whole(t, dialect: str):
+    return E.binary_metrics(B.ranked(t), B.relevant(t), B.vector_queries(t), B.KS, dialect=dialect)
+
+
+def _macro_sql(dialect: str) -> str:
+    return f"WITH {B.DENSE}, {_whole_sql(dialect)} SELECT channel, k, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1, round(avg(ndcg), 6) AS ndcg FROM metrics GROUP BY ALL"
+
+
+@query(f"WITH {B.DENSE}, {_whole_sql('A')} SELECT channel, query_id, k, precision, recall, f1, ndcg FROM metrics")
+def e1_e4_binary_metrics_all_queries(spark, t):
+    return _whole(t, "A")
+
+
+@query(_macro_sql("B"))
+def e8_macro_dialect_b_all_queries(spark, t):
+    return E.macro(_whole(t, "B"), ["channel", "k"], ["precision", "recall", "f1", "ndcg"])
+
+
+@query(_macro_sql("C"))
+def e8_macro_dialect_c_all_queries(spark, t):
+    return E.macro(_whole(t, "C"), ["channel", "k"], ["precision", "recall", "f1", "ndcg"])
+
+
+@query(_macro_sql("D"))
+def e8_macro_dialect_d_all_queries(spark, t):
+    return E.macro(_whole(t, "D"), ["channel", "k"], ["precision", "recall", "f1", "ndcg"])
+
+
+@query(f"WITH {B.DENSE}, {_whole_sql('A')} SELECT channel, round(avg(precision) FILTER (k = 10), 4) AS precision_at_10, round(avg(precision) FILTER (k = 100), 4) AS precision_at_100 FROM metrics GROUP BY channel")
+def e32_comparison_table_all_queries(spark, t):
+    return E.comparison(_whole(t, "A"), "channel", "precision", (10, 100))
+
+
 @query(f"""WITH {B.DENSE}, ks AS (SELECT unnest([5, 10, 20])::BIGINT AS k), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC, doc_id) AS r FROM graded),
 ideal AS (SELECT query_id, k, sum(gain / log2(r + 1.0::DOUBLE)) AS idcg FROM o, ks WHERE r <= k GROUP BY ALL), got AS (SELECT channel, query_id, k, sum(coalesce(gain, 0) / log2(rank + 1.0::DOUBLE)) AS dcg FROM ranked LEFT JOIN graded USING (query_id, doc_id), ks WHERE rank <= k GROUP BY ALL)
 SELECT channel, query_id, k, round(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END, 6) AS ndcg FROM got LEFT JOIN ideal USING (query_id, k)""")

@@ -48,6 +48,13 @@ def test_query(spark, con, name):
     assert got == sorted(tuple(cell(r[i]) for i in at) for r in rel.fetchall())
 
 
+def test_whole_judgements_and_tiers(spark):
+    tiers = {r.tier for r in QUERIES["r2_bm25_all_tiers"](spark, SF).select("tier").distinct().collect()}
+    assert tiers == {r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").select("lang").distinct().collect()}
+    whole = QUERIES["e1_e4_binary_metrics_all_queries"](spark, SF).where("k = 100")
+    assert whole.where("query_id % 40 <> 0").agg({"recall": "max"}).first()[0] > 0
+
+
 def test_ivf_search_recall(spark):
     pairs = lambda df: {(r.query_id, r.doc_id) for r in df.collect()}
     sf = "/root/testdata/sf0.1"
