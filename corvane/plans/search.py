@@ -59,6 +59,13 @@ def r3_exact_l2(spark, t):
     return B.l2_channel(t)
 
 
+@query(f"""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 20 = 0), d AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v FROM embeddings),
+s AS (SELECT query_id, doc_id, round(list_sum(list_transform(range(1, len(v) + 1), lambda i: (qv[i] - v[i]) * (qv[i] - v[i]))), 6) AS score FROM q, d WHERE query_id <> doc_id)
+SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id) AS rank FROM s QUALIFY rank <= {B.DEPTH}""")
+def r3_exact_l2_all_dims(spark, t):
+    return R.exact(B.vectors(t).select("doc_id", "vec"), B.vector_queries(t).select("query_id", "qvec"), V.squared_l2, B.DEPTH, higher=False)
+
+
 @query(f"WITH {B.DENSE} SELECT query_id, doc_id, score, rank FROM ip")
 def r4_exact_inner_product(spark, t):
     return B.ip_channel(t)
