@@ -1,111 +1,261 @@
-"""Approximate nearest neighbours by a permutation index.
+"""Nearest neighbours by largest inner product, through a permutation index.
 
-The index is cut into blocks of bounded size by a hash of the id, each with inverted files of its own: the file of a pivot
-lists the block's vectors that have it among their POSTED nearest. A query goes to every block (queries go in blocks as
-well), takes what stands in the files of its own POSTED nearest pivots, ranks it by the footrule distance of the two
-pivot permutations, and reranks the best by the exact inner product in double precision. Each block keeps a query's best
-k in one row; a last step joins a query's rows.
+Vectors are described by their direction and their length. A direction's order of pivots is its permutation; vectors are
+posted to the inverted file of their nearest pivot, lengths in bands of a factor of BAND apart, so a file holds vectors of
+like direction and like length, and a pivot scaled to its band's length stands for it. A query reads the files in the
+order of its inner product with what stands for them. In each it ranks what it finds by the footrule distance of the
+permutations of PERMUTED pivots, and reranks what lies within the footrule radius by the exact inner product in double
+precision.
 
-Permutations are those of unit vectors: the index is meant for vectors of like length. How much is reranked is a share of a block, not a number, so recall does not fall as the table grows. Pivots are spread
-out within a bounded sample, so that a large group of near copies does not take its share of them; every vector is indexed.
+How many files a query reads, of how many pivots, and the footrule radius are measured: a bounded number of queries is held
+against all rows by brute force, and each of the two cuts keeps the wanted share of their true neighbours. So vectors with
+structure are found in few files, and vectors without any, where no index can rule anything out, in most of them. With
+recall 1 or more every file is read and nothing is cut: the result is exact. So it is for the queries that meet fewer than
+k vectors: they are searched anew in that way.
+
+Files are read in blocks of bounded size and queries go in parts of bounded size, so a pivot that a third of all vectors
+are near is many jobs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.cluster import session_for_texts, shared_dir, written
-from corvane.llm.pivots import APART, PIVOTS, described, dimension, pivots_of, unpack
+from corvane.llm.cluster import shared_dir, written
+from corvane.llm.pivots import PIVOTS, as_bytes, dimension, lengths, matrix, nearest_pivots, sampled, spread, unit
 
-POSTED = 14
-#: Of a block's vectors a query reranks this share, and at least LEAST.
-SHARE, LEAST = 0.3, 64
-BLOCK, QUERY_BLOCK = 2048, 4096
-#: Queries worked on at once within a job.
-TOGETHER = 32
+#: Share of the true neighbours that each of the two cuts keeps, where it is measured.
+RECALL = 0.98
+#: Queries that the cuts are measured with, and so many of their neighbours.
+ASKED = 128
+PERMUTED = 64
+#: Numbers of pivots to choose from. Sending a query to a file costs as much as so many candidates.
+FILES, ROUTE_COST = (16, 64, 256, 1024), 150
+BAND, BANDS = 1.3, 16
+BLOCK, QUERY_PART = 8192, 4096
+#: Entries of a matrix of queries and vectors worked on at once.
+TOGETHER = 1 << 21
 
 
-def footrule(queries: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    """Sum over pivots of the difference of ranks: queries (n x pivots) against columns (pivots x m)."""
-    total = np.zeros((len(queries), columns.shape[1]), np.int16)
-    for p in range(len(columns)):
-        total += np.abs(columns[p][None, :] - queries[:, p][:, None])
+def footrule(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Sum over pivots of the difference of ranks, for each pair of rows."""
+    total = np.zeros((len(queries), len(vectors)), np.int16)
+    a, b = queries.astype(np.int8).T.copy(), vectors.astype(np.int8).T.copy()
+    for x, y in zip(a, b, strict=True):
+        total += np.abs(x[:, None] - y[None, :])
     return total
 
 
-def _files(r: np.ndarray, posted: int) -> np.ndarray:
-    """One bit for each pivot among a vector's nearest."""
-    return ((r < posted).astype(np.uint64) << np.arange(r.shape[1], dtype=np.uint64)).sum(1, dtype=np.uint64)
+def permutation(u: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """For each unit vector the rank of each of the first PERMUTED pivots."""
+    order = nearest_pivots(u, pivots[:PERMUTED], PERMUTED)
+    r = np.empty(order.shape, np.uint8)
+    np.put_along_axis(r, order, np.arange(order.shape[1], dtype=np.uint8)[None, :].repeat(len(u), 0), 1)
+    return r
 
 
-def _search(dim: int, pivots: int, posted: int, k: int, share: float, least: int):
-    def run(job: pa.Table) -> pa.Table:
-        r, x = unpack(job, dim, pivots)
-        r = r.astype(np.int8)
-        ids, asks = job.column("id").to_numpy(), job.column("asking").to_numpy(zero_copy_only=False)
-        ours, queries = np.flatnonzero(~asks), np.flatnonzero(asks)
-        ours = ours[np.argsort(ids[ours])]
-        own, y, columns, files = ids[ours], x[ours], np.ascontiguousarray(r[ours].T), _files(r[ours], posted)
-        n = max(least, int(np.ceil(share * len(ours))))
-        who, found, scores = [], [], []
-        for c in range(0, len(queries) if len(ours) else 0, TOGETHER):
-            part = queries[c : c + TOGETHER]
-            far = footrule(r[part], columns)
-            far[(_files(r[part], posted)[:, None] & files[None, :]) == 0] = np.iinfo(np.int16).max
-            far[ids[part][:, None] == own[None, :]] = np.iinfo(np.int16).max
-            best = np.argpartition(far, n - 1, axis=1)[:, :n] if n < len(ours) else np.tile(np.arange(len(ours)), (len(part), 1))
-            for q, line, cand in zip(part, far, best, strict=True):
-                cand = cand[line[cand] < np.iinfo(np.int16).max]
-                s = y[cand] @ x[q]
-                if len(cand) > k:
-                    some = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
-                    cand, s = cand[some], s[some]
-                cand = cand[np.lexsort((own[cand], -s))[:k]]
-                who.append(ids[q])
-                found.append(own[cand].astype("<i8").tobytes())
-                # one product at a time, so that a score does not depend on how a block was put together
-                scores.append(np.array([np.dot(y[v], x[q]) for v in cand], "<f8").tobytes())
-        return pa.table({"query_id": pa.array(who, pa.int64()), "found": pa.array(found, pa.binary()), "scores": pa.array(scores, pa.binary())})
+class Files:
+    """The files of an index: bands of length (longest first) times pivots."""
+
+    def __init__(self, pivots: np.ndarray, tops: list[float]) -> None:
+        self.pivots, self.tops = pivots, np.array(tops)
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """Each vector's file: its band is the last whose top it does not exceed."""
+        band = np.maximum(np.searchsorted(-self.tops, -lengths(x), side="right") - 1, 0)
+        return band * len(self.pivots) + nearest_pivots(unit(x), self.pivots, 1)[:, 0]
+
+    def order(self, x: np.ndarray, most: int | None = None) -> np.ndarray:
+        """For each query the files, best first."""
+        stands = (self.tops[:, None, None] * self.pivots[None]).reshape(-1, self.pivots.shape[1])
+        return nearest_pivots(unit(x), stands, min(most or len(stands), len(stands)))
+
+
+def bands(sizes: list[tuple[int, float]]) -> list[float]:
+    """Tops of at most BANDS bands, longest first. sizes: (logarithmic band, its longest vector)."""
+    return [top for _, top in sorted(sizes, reverse=True)[:BANDS]] or [1.0]
+
+
+def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k largest scores, ties to the smaller id."""
+    if len(scores) > k:
+        some = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+        return some[np.lexsort((ids[some], -scores[some]))[:k]]
+    return np.lexsort((ids, -scores))
+
+
+def _true(sent, dim: int, k: int):
+    """Per asked query and task its k best rows: (asked, score, vec)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, asked = sent.value
+        best = [(np.zeros(0), []) for _ in rows]
+        for batch in batches:
+            row, vec = batch.column(0).to_numpy(), batch.column(1)
+            if not len(row):
+                continue
+            scores = asked @ matrix(vec, dim).T
+            scores[rows[:, None] == row[None, :]] = -np.inf
+            for q, s in enumerate(scores):
+                at = best_of(s, row, k)
+                at = at[np.isfinite(s[at])]
+                s, v = np.append(best[q][0], s[at]), best[q][1] + [vec[i].as_py() for i in at.tolist()]
+                keep = np.argsort(-s, kind="stable")[:k]
+                best[q] = s[keep], [v[i] for i in keep]
+        count = [len(s) for s, _ in best]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(rows)), count)), pa.array(np.concatenate([s for s, _ in best]) if best else []), pa.array([x for _, v in best for x in v], pa.binary())], names=["asked", "score", "vec"])
+
+    return run
+
+
+def measured(base: DataFrame, sample: np.ndarray, pivots: np.ndarray, tops: list[float], n: int, dim: int, k: int, recall: float) -> tuple[int, int, int]:
+    """(pivots, files read, footrule radius): of least cost at which both cuts keep the wanted share of true neighbours."""
+    rows, asked = sampled(base.where("asks = 1"), "row", dim, ASKED, salt=3)
+    sent = base.sparkSession.sparkContext.broadcast((rows, asked))
+    found = base.select("row", "vec").mapInArrow(_true(sent, dim, k), "asked long, score double, vec binary")
+    for by in (["asked", "lane"], ["asked"]):  # in two steps, as every task has found k
+        w = Window.partitionBy(*by).orderBy(F.desc("score"))
+        found = (found.withColumn("lane", F.pmod(F.xxhash64("vec"), F.lit(64))) if "lane" in by else found).withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
+    got = found.select("asked", "vec").toArrow().combine_chunks()
+    if not got.num_rows:
+        return min(FILES[0], len(pivots)), len(tops) * len(pivots), 2 * PERMUTED**2
+    q, x = got.column("asked").to_numpy(), matrix(got.column("vec"), dim)
+    far = np.abs(permutation(unit(asked), pivots)[q].astype(int) - permutation(unit(x), pivots)).sum(1)
+    best = None
+    for p in sorted({min(p, len(pivots)) for p in FILES}):
+        files = Files(pivots[:p], tops)
+        order = files.order(asked)
+        place = np.argsort(order, axis=1, kind="stable")[q, files.of(x)]
+        read = int(np.quantile(place, recall, method="higher")) + 1
+        share = np.bincount(files.of(sample), minlength=order.shape[1]) / len(sample)
+        cost = read * ROUTE_COST + share[order[:, :read]].sum(1).mean() * n
+        if best is None or cost < best[0]:
+            best = cost, p, read
+    return best[1], best[2], int(np.quantile(far, recall, method="higher"))
+
+
+def _filed(sent, dim: int):
+    """Vectors to their file: (file, row, id, ranks, vec)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, permuted = sent.value
+        for batch in batches:
+            x = matrix(batch.column(2), dim)
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(files.of(x).astype(np.int32)), batch.column(0), batch.column(1), pa.array([r.tobytes() for r in permutation(unit(x), permuted)], pa.binary()), batch.column(2)], names=["file", "row", "id", "ranks", "vec"])
 
     return run
 
 
-def _joined(k: int):
-    def run(rows: pa.Table) -> pa.Table:
-        v = np.frombuffer(b"".join(rows.column("found").to_pylist()), "<i8")
-        s = np.frombuffer(b"".join(rows.column("scores").to_pylist()), "<f8")
-        best = np.lexsort((v, -s))[:k]
-        return pa.table({"query_id": pa.array(np.full(len(best), rows.column("query_id")[0].as_py(), np.int64)), "rank": pa.array(np.arange(1, len(best) + 1, dtype=np.int32)), "vec_id": pa.array(v[best]), "score": pa.array(s[best])})
+def _routed(sent, dim: int, read: int):
+    """Queries to the files they read: the same columns, a row for each file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, permuted = sent.value
+        for batch in batches:
+            x = matrix(batch.column(2), dim)
+            if len(x):
+                ranks, to = [r.tobytes() for r in permutation(unit(x), permuted)], files.order(x, read)
+                row = np.repeat(np.arange(len(x)), to.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(to.ravel().astype(np.int32)), *(batch.column(c).take(pa.array(row)) for c in (0, 1)), pa.array([ranks[i] for i in row], pa.binary()), batch.column(2).take(pa.array(row))], names=["file", "row", "id", "ranks", "vec"])
 
     return run
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = PIVOTS, posted: int = POSTED, share: float = SHARE, least: int = LEAST, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def _search(dim: int, k: int, radius: int):
+    """Each query's k best of one block of a file: (query, query_id, vec_id, score)."""
+
+    def run(job: pa.Table) -> pa.Table:
+        asking = job.column("asking").to_numpy(zero_copy_only=False)
+        ours, queries = job.filter(pa.array(~asking)).sort_by("id"), job.filter(pa.array(asking))
+        ranks = [np.frombuffer(b"".join(x.as_py() for x in t.column("ranks")), np.uint8).reshape(t.num_rows, -1) if t.num_rows else np.zeros((0, 1), np.uint8) for t in (ours, queries)]
+        y, x = matrix(ours.column("vec"), dim), matrix(queries.column("vec"), dim)
+        own, ids, me = ours.column("row").to_numpy(), ours.column("id").to_numpy(), queries.column("row").to_numpy()
+        # of equal vectors only the smallest ids can be among the k; one more, as one may be the query itself
+        _, same = np.unique(y, axis=0, return_inverse=True)
+        by = np.argsort(same, kind="stable")
+        first = np.flatnonzero(np.diff(same[by], prepend=-1))
+        nth = np.arange(len(by)) - np.repeat(first, np.diff(np.append(first, len(by))))
+        keep = np.sort(by[nth <= k])
+        y, own, ids, theirs = y[keep], own[keep], ids[keep], ranks[0][keep]
+        who, found = [], []
+        for c in range(0, len(x) if len(y) else 0, step := max(1, TOGETHER // max(1, len(y)))):
+            part = slice(c, c + step)
+            s = x[part] @ y.T
+            s[(footrule(ranks[1][part], theirs) > radius) | (me[part][:, None] == own[None, :])] = -np.inf
+            if len(y) > k:
+                floor = np.partition(s, len(y) - k, axis=1)[:, len(y) - k]
+                slack = 1e-9 * np.abs(np.where(np.isfinite(floor), floor, 0))
+                q, v = np.nonzero(np.isfinite(s) & (s >= (floor - slack)[:, None]))
+            else:
+                q, v = np.nonzero(np.isfinite(s))
+            who.append(q + c)
+            found.append(v)
+        q, v = (np.concatenate(a) if a else np.zeros(0, np.int64) for a in (who, found))
+        # row by row, so that a score does not depend on how a block was put together
+        scores = np.concatenate([(x[q[c : c + 65536]] * y[v[c : c + 65536]]).sum(1) for c in range(0, len(q), 65536)] or [np.zeros(0)])
+        order = np.lexsort((ids[v], -scores, q))
+        q, v, scores = q[order], v[order], scores[order]
+        head = np.flatnonzero(np.diff(q, prepend=-1))
+        keep = np.arange(len(q)) - np.repeat(head, np.diff(np.append(head, len(q)))) < k
+        q, v = q[keep], v[keep]
+        return pa.table({"query": pa.array(me[q], pa.int64()), "query_id": queries.column("id").combine_chunks().take(pa.array(q)), "vec_id": pa.array(ids[v], pa.int64()), "score": pa.array(scores[keep], pa.float64())})
+
+    return run
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = RECALL, pivots: int = PIVOTS, block: int = BLOCK, query_part: int = QUERY_PART) -> DataFrame:
     """For each query row its k nearest other rows by inner product: query_id, rank (from 1), vec_id, score.
 
+    recall: the share of true neighbours that each cut keeps where it is measured; 1 or more gives the exact result.
+
     Ties go to the smaller id. Defined cases: vectors that are null, zero, hold null or non-finite numbers, or are not of
-    the most common length, and rows without an id, take no part. Of rows that share an id the smallest vector counts. A
-    query with fewer candidates gets all it meets. An empty table gives no rows. Only the named columns are read. At most
-    64 pivots (a bit each).
+    the valid vectors' most common length, and rows without an id, take no part. Rows that share an id are rows of their
+    own: each is a candidate (also to the others) and each query row has its own ranks. A query with fewer candidates gets
+    all of them. An empty table, or one without queries, gives no rows. Only the named columns are read.
     """
-    if pivots > 64:
-        raise ValueError("at most 64 pivots")
     spark = vectors.sparkSession
-    session_for_texts(spark)
     shared_dir(spark)
-    rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).cast("long").alias("asks"), F.col(vec_col).cast("array<double>").alias("v"))
-    rows = rows.groupBy("id").agg(F.max("asks").alias("asks"), F.min("v").alias("v"))
+    rows = vectors.where(F.col(id_col).isNotNull()).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).cast("long").alias("asks"), F.col(vec_col).alias("v"))
     dim = dimension(rows, "v")
-    held = pivots_of(rows, "id", "v", dim, pivots, APART)
-    index = written(spark, described(rows, spark.sparkContext.broadcast(held), ["id", "asks"], dim), "ann-index")
-    size = index.agg(F.count("*").alias("n"), F.coalesce(F.sum("asks"), F.lit(0)).alias("q")).first()
-    blocks, parts = -(-size["n"] // block) or 1, -(-size["q"] // query_block) or 1
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    of = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
-    ours = index.select("id", F.lit(False).alias("asking"), "ranks", "vec", of(1, blocks).alias("block"), every(parts).alias("part"))
-    asking = index.where("asks = 1").select("id", F.lit(True).alias("asking"), "ranks", "vec", every(blocks).alias("block"), of(2, parts).alias("part"))
-    found = ours.unionByName(asking).groupBy("block", "part").applyInArrow(_search(dim, len(held), posted, k, share, least), "query_id long, found binary, scores binary")
-    return found.groupBy("query_id").applyInArrow(_joined(k), "query_id long, rank int, vec_id long, score double")
+    base = written(spark, as_bytes(rows, ["row", "id", "asks"], "v", dim).where("vec is not null"), "ann-vectors")
+    of_length = base.groupBy(F.floor(F.log("size") / float(np.log(BAND))).alias("band")).agg(F.count("*").alias("n"), F.sum("asks").alias("asks"), F.max("size").alias("top")).collect()
+    n, asks = sum(r["n"] for r in of_length), sum(r["asks"] for r in of_length)
+    _, sample = sampled(base, "row", dim)
+    held = unit(sample)
+    held = held[spread(held, pivots)]
+    tops = bands([(r["band"], r["top"]) for r in of_length])
+    used = min(FILES[0], len(held))
+    everything = read, radius = len(tops) * PIVOTS, 2 * PERMUTED**2
+    if recall < 1 and asks:
+        used, read, radius = measured(base, sample, held, tops, n, dim, k, recall)
+    sent = spark.sparkContext.broadcast((Files(held[:used], tops), held[:PERMUTED]))
+    columns = "file int, row long, id long, ranks binary, vec binary"
+    filed = written(spark, base.select("row", "id", "vec").mapInArrow(_filed(sent, dim), columns), "ann-files")
+    in_file = filed.groupBy("file").agg(F.ceil(F.count("*") / block).alias("blocks"))  # as many rows as there are files
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    of = lambda salt, c: F.pmod(F.xxhash64("row", F.lit(salt)), F.col(c))
+
+    def searched(queries: DataFrame, read: int, radius: int) -> DataFrame:
+        asking = written(spark, queries.select("row", "id", "vec").mapInArrow(_routed(sent, dim, read), columns), "ann-queries")
+        sizes = F.broadcast(asking.groupBy("file").agg(F.ceil(F.count("*") / query_part).alias("parts")).join(in_file, "file"))
+        ours = filed.join(sizes, "file").withColumn("block", of(1, "blocks")).withColumn("part", every("parts")).withColumn("asking", F.lit(False))
+        asking = asking.join(sizes, "file").withColumn("part", of(2, "parts")).withColumn("block", every("blocks")).withColumn("asking", F.lit(True))
+        found = ours.unionByName(asking).groupBy("file", "block", "part").applyInArrow(_search(dim, k, radius), "query long, query_id long, vec_id long, score double")
+        ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")))
+        return written(spark, ranked.where(F.col("rank") <= k), "ann-found")
+
+    queries = base.where("asks = 1")
+    found = searched(queries, read, radius)
+    # a query that met fewer than k reads every file, and nothing is cut
+    full = found.groupBy("query").agg(F.count("*").alias("n")).where(F.col("n") >= min(k, n - 1)).select(F.col("query").alias("row"))
+    short = queries.join(full, "row", "left_anti")
+    if (read, radius) != everything and not short.isEmpty():
+        short = written(spark, short, "ann-short")
+        found = found.join(short.select(F.col("row").alias("query")), "query", "left_anti").unionByName(searched(short, *everything))
+    return found.select("query_id", "rank", "vec_id", "score")

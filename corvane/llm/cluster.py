@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -33,20 +34,29 @@ def session_for_texts(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests) a temporary one is set."""
+    """The folder named by spark.checkpoint.dir. Where it is unset a temporary one is set, in local mode only: on a
+    cluster every executor would write to a disk of its own, so there an unset folder is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[[^,]*(,\d+)?\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="corvane-")
         spark.conf.set("spark.checkpoint.dir", named)
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(named)
     return named
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/corvane-tables/{spark.sparkContext.applicationId}"
+
+
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(spark).rstrip('/')}/corvane-tables/{name}-{uuid.uuid4().hex}"
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors. sweep() removes it."""
+    path = f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all that this application has written to the shared folder. Results not yet written elsewhere are lost."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

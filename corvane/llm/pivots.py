@@ -1,8 +1,8 @@
-"""What the two permutation indexes share: valid vectors, pivots, rank permutations, and jobs of bounded size.
+"""What the two permutation indexes share: valid vectors as bytes, a bounded sample, pivots spread out in it, permutations.
 
-A vector is described by the order of its nearest pivots. The pivots are a bounded sample (PIVOTS vectors, the first by a
-hash of the id); every vector is indexed. An inverted file lists, for each pivot, the vectors that have it among their
-nearest. Jobs have a bounded size, so that a pivot that a third of all vectors are near is many jobs, not one.
+A vector is described by the order of its nearest pivots. Pivots are drawn from a bounded sample (SAMPLE rows, the first by
+a hash) of valid vectors; their number grows with the table. Every vector is indexed. How deep an index is searched is not
+a fixed number either: it is measured on a bounded set of the sample's vectors, held against all rows by brute force.
 """
 
 from __future__ import annotations
@@ -11,125 +11,104 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.cluster import session_for_texts
 from corvane.llm.sampling import first_by_hash
 
-PIVOTS = 64
+#: Documented bounds on what is fitted on: rows of the sample, and pivots taken from it.
+SAMPLE, PIVOTS = 8192, 1024
 #: A sampled vector at this cosine or more to a chosen pivot is chosen only when the others do not suffice.
 APART = 0.7
 
 
-def matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """The rows of a list column that are vectors of `dim` finite numbers and not zero: their positions, and a matrix."""
-    values = column.values if not pa.types.is_fixed_size_list(column.type) else column.flatten()
-    offsets = column.offsets.to_numpy().astype(np.int64)
-    right = (np.diff(offsets) == dim) & column.is_valid().to_numpy(zero_copy_only=False)
-    at = np.flatnonzero(right)
-    flat = values.to_numpy(zero_copy_only=False).astype(np.float64)
-    x = flat[(offsets[:-1][at, None] + np.arange(dim)).ravel()].reshape(-1, dim) if dim else np.zeros((0, 0))
-    good = np.isfinite(x).all(1) & (x != 0).any(1) if dim else np.zeros(len(x), bool)
-    return at[good], x[good]
-
-
-def unit(x: np.ndarray) -> np.ndarray:
-    top = np.abs(x).max(1, keepdims=True) if len(x) else np.ones((0, 1))
-    x = x / top  # so that squares neither overflow nor vanish
-    return x / np.sqrt((x * x).sum(1, keepdims=True))
+def is_vector(vec: Column) -> Column:
+    """Whether a list column is neither null, nor empty, nor zero, and holds only finite numbers."""
+    finite = F.forall(vec, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
+    return F.coalesce(finite & F.exists(vec, lambda e: e != 0), F.lit(False))
 
 
 def dimension(vectors: DataFrame, vec_col: str) -> int:
-    """The most common length; vectors of another length take no part."""
-    row = vectors.where(F.size(vec_col) > 0).groupBy(F.size(vec_col).alias("d")).count().orderBy(F.desc("count"), "d").first()
+    """The most common length of valid vectors; a vector of another length has no product with them and takes no part."""
+    row = vectors.where(is_vector(F.col(vec_col))).groupBy(F.size(vec_col).alias("d")).count().orderBy(F.desc("count"), "d").first()
     return row["d"] if row else 0
 
 
-def spread(x: np.ndarray, count: int, apart: float) -> np.ndarray:
-    """Positions of at most `count` unit vectors: the first that are below cosine `apart` to all before; if too few, the first of the rest.
+def as_bytes(vectors: DataFrame, keys: list[str], vec_col: str, dim: int) -> DataFrame:
+    """The key columns (long), `vec`, the vector's numbers as bytes, and `size`, its length; both null where it takes no part.
 
-    A large group of near copies thus gives one pivot, not its share of them.
-    """
-    taken, nearest = np.zeros(len(x), bool), np.full(len(x), -np.inf)
-    for i in range(len(x)):
-        if nearest[i] < apart:
-            taken[i] = True
-            nearest = np.maximum(nearest, x @ x[i])
-            if taken.sum() == count:
-                break
-    return np.sort(np.append(np.flatnonzero(taken), np.flatnonzero(~taken)[: count - taken.sum()]))
-
-
-def pivots_of(vectors: DataFrame, id_col: str, vec_col: str, dim: int, count: int = PIVOTS, apart: float | None = None) -> np.ndarray:
-    """At most `count` different unit vectors, the first valid ones by a hash of the id; with `apart`, spread out."""
-    few = first_by_hash(vectors.select(id_col, F.col(vec_col).cast("array<double>").alias("v")).where(F.size("v") == dim), id_col, 8 * count, out="h")
-    rows = few.toArrow().combine_chunks()
-    if not rows.num_rows or not dim:
-        return np.zeros((0, dim))
-    rows = rows.sort_by("h")
-    _, x = matrix(rows.column("v").combine_chunks(), dim)
-    _, first = np.unique(x, axis=0, return_index=True)
-    x = unit(x[np.sort(first)])
-    return x[:count] if apart is None else x[spread(x, count, apart)]
-
-
-def ranks(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """For each unit vector the rank of each pivot, 0 for the nearest; ties go to the earlier pivot."""
-    order = np.argsort(-(x @ pivots.T), axis=1, kind="stable")
-    r = np.empty(order.shape, np.uint8 if len(pivots) <= 256 else np.uint16)
-    np.put_along_axis(r, order, np.arange(len(pivots), dtype=r.dtype)[None, :].repeat(len(x), 0), 1)
-    return r
-
-
-def posted(vectors: DataFrame, sent, keys: list[str], dim: int, files: int) -> DataFrame:
-    """Per valid vector and each of its `files` nearest pivots one row: keys, pivot, ranks and vector as bytes.
-
-    vectors: the key columns (long), then the vector column `v`. sent: broadcast pivots.
+    Numbers keep the precision of the column (4 bytes for float), so nothing is rounded.
     """
+    kind = "<f4" if dict(vectors.dtypes)[vec_col] == "array<float>" else "<f8"
+    valid = is_vector(F.col(vec_col)) & (F.size(vec_col) == dim)
+    ready = vectors.select(*keys, F.when(valid, F.col(vec_col).cast("array<float>" if kind == "<f4" else "array<double>")).alias("v"))
     session_for_texts(vectors.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, x = matrix(batch.column(len(keys)), dim)
-            r = ranks(unit(x), sent.value)
-            near = np.argsort(r, axis=1, kind="stable")[:, :files]
-            row = np.repeat(np.arange(len(at)), near.shape[1])
-            packed = [v.tobytes() for v in x.astype("<f8")]
-            order = [v.tobytes() for v in r]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(at[row])) for k in range(len(keys))), pa.array(near.ravel().astype(np.int32)), pa.array([order[i] for i in row], pa.binary()), pa.array([packed[i] for i in row], pa.binary())], names=[*keys, "pivot", "ranks", "vec"])
+            column = batch.column(len(keys))
+            flat = column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, max(dim, 1))
+            at = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+            packed: list[bytes | None] = [None] * batch.num_rows
+            for i, v in zip(at, flat, strict=True):
+                packed[i] = v.tobytes()
+            norm = np.full(batch.num_rows, np.nan)
+            norm[at] = lengths(flat.astype(np.float64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keys))), pa.array(packed, pa.binary()), pa.array(norm, mask=np.isnan(norm))], names=[*keys, "vec", "size"])
 
-    return vectors.mapInArrow(run, ", ".join(f"{k} long" for k in keys) + ", pivot int, ranks binary, vec binary")
+    return ready.mapInArrow(run, ", ".join(f"{k} long" for k in keys) + ", vec binary, size double")
 
 
-def described(vectors: DataFrame, sent, keys: list[str], dim: int) -> DataFrame:
-    """Per valid vector one row: keys, ranks and vector as bytes. Inputs as for posted()."""
-    session_for_texts(vectors.sparkSession)
+def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """Vectors from bytes, in double precision."""
+    parts = [x.as_py() for x in column]
+    kind = "<f4" if parts and len(parts[0]) == 4 * dim else "<f8"
+    return np.frombuffer(b"".join(parts), kind).astype(np.float64).reshape(-1, dim)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, x = matrix(batch.column(len(keys)), dim)
-            r = ranks(unit(x), sent.value)
-            take = pa.array(at)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(len(keys))), pa.array([v.tobytes() for v in r], pa.binary()), pa.array([v.tobytes() for v in x.astype("<f8")], pa.binary())], names=[*keys, "ranks", "vec"])
 
-    return vectors.mapInArrow(run, ", ".join(f"{k} long" for k in keys) + ", ranks binary, vec binary")
+def lengths(x: np.ndarray) -> np.ndarray:
+    """Euclidean lengths, without squares that overflow or vanish."""
+    top = np.abs(x).max(1, initial=0)
+    return top * np.sqrt(((x / np.where(top == 0, 1, top)[:, None]) ** 2).sum(1))
+
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows divided by their length; a zero row stays zero."""
+    x = x / np.where((top := np.abs(x).max(1, keepdims=True, initial=0)) == 0, 1, top)
+    return x / np.where((n := np.sqrt((x * x).sum(1, keepdims=True))) == 0, 1, n)
 
-def file_sizes(files: DataFrame) -> dict[int, int]:
-    """Vectors in each pivot's file; as many rows as there are pivots."""
-    return {r["pivot"]: r["count"] for r in files.groupBy("pivot").count().collect()}
 
+def sampled(vectors: DataFrame, key: str, dim: int, rows: int = SAMPLE, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and vectors of at most `rows` rows of a table of `vec` bytes, the first by a hash of the key."""
+    few = first_by_hash(vectors.select(F.col(key).alias("key"), "vec"), "key", rows, salt=salt, out="h").toArrow().combine_chunks()
+    if not few.num_rows:
+        return np.zeros(0, np.int64), np.zeros((0, dim))
+    few = few.sort_by("h")
+    return few.column("key").to_numpy(), matrix(few.column("vec"), dim)
 
-def blocks_of(files: DataFrame, sizes: dict[int, int], block: int):
-    """The number of blocks of a row's file, as a column."""
-    spark = files.sparkSession
-    table = spark.createDataFrame([(p, -(-n // block)) for p, n in sizes.items()] or [(-1, 1)], "pivot int, nb long")
-    return files.join(F.broadcast(table), "pivot")
 
+def spread(x: np.ndarray, count: int, apart: float = APART) -> np.ndarray:
+    """Positions of at most `count` different unit vectors: first those below cosine `apart` to all before, then others.
 
-def unpack(job: pa.Table, dim: int, pivots: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks and vectors of a job's rows."""
-    kind = np.uint8 if pivots <= 256 else np.uint16
-    r = np.frombuffer(b"".join(x.as_py() for x in job.column("ranks")), kind).reshape(-1, pivots)
-    return r, np.frombuffer(b"".join(x.as_py() for x in job.column("vec")), "<f8").reshape(-1, dim)
+    A large group of near copies thus gives one pivot, not its share of them.
+    """
+    taken, nearest = np.zeros(len(x), bool), np.full(len(x), -np.inf)
+    for i in range(len(x)):
+        if nearest[i] < apart:
+            taken[i] = True
+            nearest = np.maximum(nearest, x @ x[i])
+            if taken.sum() == count:
+                break
+    first, rest = np.flatnonzero(taken), np.flatnonzero(~taken & (nearest < 1 - 1e-12))
+    _, fresh = np.unique(x[rest], axis=0, return_index=True)
+    return np.append(first, rest[np.sort(fresh)][: count - len(first)])
+
+
+def nearest_pivots(x: np.ndarray, pivots: np.ndarray, most: int) -> np.ndarray:
+    """For each row its `most` nearest pivots by inner product, nearest first; ties go to the earlier pivot."""
+    s = x @ pivots.T
+    if most < s.shape[1]:
+        few = np.sort(np.argpartition(-s, most - 1, axis=1)[:, :most], axis=1)
+        return np.take_along_axis(few, np.argsort(-np.take_along_axis(s, few, 1), axis=1, kind="stable"), 1)
+    return np.argsort(-s, axis=1, kind="stable")[:, :most]
