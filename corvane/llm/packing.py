@@ -1,14 +1,15 @@
 """Best-fit packing of documents into training sequences of a fixed capacity, under conflicts.
 
-No two documents of one source, and no two of one duplicate cluster, share a sequence (bin). A document longer than a bin
-fills whole bins of its own; what is left of it is packed like any other piece. Pieces go, largest first, to the tightest
-open bin that holds nothing they conflict with. Bins are ordered by residual; each carries a bitmap of its sources and one
-of its duplicate clusters, and the successor search walks from the exact residual upwards until a bin is compatible. Where
-a source is frequent the search uses the residuals of the bins without that source, so that a hot source does not make it
-long: the bin found is the same.
+No two documents of one duplicate cluster, and no more than `per_source` of one source (1 unless set), share a sequence
+(bin). A document longer than a bin fills whole bins of its own; what is left of it is packed like any other piece. Pieces
+go, largest first, to the tightest open bin that holds nothing they conflict with. Bins are ordered by residual; each
+carries a bitmap of the sources that it may not take any more and one of its duplicate clusters, and the successor search
+walks from the exact residual upwards until a bin is compatible. Where a source is frequent the search uses the residuals
+of the bins that may take it, so that a hot source does not make it long: the bin found is the same.
 
 Pieces are dealt to blocks by a hash of the row, evenly whatever the sources and clusters are; each block is packed on its
-own. The number of blocks follows from the number of rows, so a task's share is bounded.
+own. The number of blocks follows from the number of rows, so a task's share is bounded. Bins are numbered within their
+block, so no two bins share a number. What blocks cost is a bin or two each, those left open at its end.
 """
 
 from __future__ import annotations
@@ -20,9 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.cluster import session_for_texts, written
+
 #: Bytes of a sequence, and pieces of a block. A document costs its UTF-8 bytes and one separator.
 CAPACITY = 8192
 BLOCK_PIECES = 10_000
+#: A bin's number: its block's, then so many bits for its own.
+BIN_BITS = 40
 #: Sources this frequent within a block get residual sets of their own.
 FREQUENT, MOST_FREQUENT = 0.02, 32
 
@@ -30,13 +35,14 @@ FREQUENT, MOST_FREQUENT = 0.02, 32
 class Bins:
     """Open bins ordered by residual."""
 
-    def __init__(self, capacity: int, frequent: list[int]) -> None:
-        self.capacity, self.frequent = capacity, frequent
+    def __init__(self, capacity: int, frequent: list[int], per_source: int = 1) -> None:
+        self.capacity, self.per_source = capacity, per_source
         self.residual: list[int] = []
-        self.sources: list[int] = []
+        self.held: list[Counter] = []  # how many documents of each source, where one is not the most
+        self.full: list[int] = []  # sources that a bin may not take any more
         self.clusters: list[int] = []
         self.at: dict[int, list[int]] = defaultdict(list)
-        # for each frequent source, and under None for all: which residuals have a bin without that source
+        # for each frequent source, and under None for all: which residuals have a bin that may take the source
         self.some: dict[int | None, int] = dict.fromkeys([None, *frequent], 0)
         self.count: dict[int | None, Counter] = {k: Counter() for k in self.some}
 
@@ -47,7 +53,7 @@ class Bins:
         else:
             self.at[r].remove(b)
         for k in self.some:
-            if k is None or not self.sources[b] >> k & 1:
+            if k is None or not self.full[b] >> k & 1:
                 c = self.count[k]
                 c[r] += sign
                 if c[r] == (sign > 0):
@@ -61,7 +67,7 @@ class Bins:
             step = (left & -left).bit_length() - 1
             left >>= step + 1
             r += step
-            fit = [b for b in self.at[r] if not self.sources[b] >> source & 1 and not (cluster and self.clusters[b] & cluster)]
+            fit = [b for b in self.at[r] if not self.full[b] >> source & 1 and not (cluster and self.clusters[b] & cluster)]
             if fit:
                 return min(fit)
             r += 1
@@ -73,66 +79,78 @@ class Bins:
         if b is None:
             b = len(self.residual)
             self.residual.append(self.capacity)
-            self.sources.append(0)
+            self.held.append(Counter())
+            self.full.append(0)
             self.clusters.append(0)
         else:
             self._shelve(b, -1)
         offset = self.capacity - self.residual[b]
         self.residual[b] -= size
-        self.sources[b] |= 1 << source
+        self.held[b][source] += 1
+        if self.held[b][source] >= self.per_source:
+            self.full[b] |= 1 << source
         self.clusters[b] |= cluster
         if self.residual[b]:
             self._shelve(b, 1)
         return b, offset
 
 
-def pack(sizes: list[int], sources: list, clusters: list, capacity: int) -> tuple[list[int], list[int]]:
+def pack(sizes: list[int], sources: list, clusters: list, capacity: int, per_source: int = 1) -> tuple[list[int], list[int]]:
     """Bin and offset of each piece, taken in the given order."""
     seen = Counter(sources)
     ids = {s: k for k, (s, _) in enumerate(seen.most_common())}
     frequent = [ids[s] for s, n in seen.most_common(MOST_FREQUENT) if n >= FREQUENT * len(sources)]
     shared = {c: k for k, c in enumerate(c for c, n in Counter(clusters).items() if n > 1)}
-    bins = Bins(capacity, frequent)
+    bins = Bins(capacity, frequent, per_source)
     placed = [bins.put(n, ids[s], 1 << shared[c] if c in shared else 0) for n, s, c in zip(sizes, sources, clusters, strict=True)]
     return [b for b, _ in placed], [o for _, o in placed]
 
 
-def _pack_block(capacity: int):
+def _pack_block(capacity: int, per_source: int):
+    """Per document of the block: bin and offset of its last piece (none where `rest` is 0), and the first of the bins it fills."""
+
     def run(block: pa.Table) -> pa.Table:
-        block = block.sort_by([("size", "descending"), ("id", "ascending"), ("cluster", "ascending"), ("source", "ascending"), ("copy", "ascending")])
-        bins, offsets = pack(block.column("size").to_pylist(), block.column("source").to_pylist(), block.column("cluster").to_pylist(), capacity)
-        number = block.column("block").to_numpy()
-        return pa.table({"id": block.column("id"), "copy": block.column("copy"), "piece": block.column("piece"), "start": block.column("start"), "size": block.column("size"), "bin_id": pa.array((number << 24) | np.array(bins, np.int64)), "bin_offset": pa.array(offsets, pa.int64())})
+        block = block.sort_by([("rest", "descending"), ("id", "ascending"), ("cluster", "ascending"), ("source", "ascending"), ("copy", "ascending")])
+        rest, full = block.column("rest").to_numpy(), block.column("full").to_numpy()
+        pieces = block.slice(0, n := int((rest > 0).sum()))
+        bins, offsets = pack(rest[:n].tolist(), pieces.column("source").to_pylist(), pieces.column("cluster").to_pylist(), capacity, per_source)
+        base = block.column("block").to_numpy() << BIN_BITS
+        opened = max(bins, default=-1) + 1
+        none = np.zeros(len(rest) - n, np.int64)
+        last = pa.array(base + np.append(np.array(bins, np.int64), none), mask=rest == 0)
+        return pa.table({"id": block.column("id"), "copy": block.column("copy"), "full": block.column("full"), "rest": block.column("rest"), "filled": pa.array(base + opened + np.cumsum(full) - full), "last": last, "offset": pa.array(np.append(np.array(offsets, np.int64), none))})
 
     return run
 
 
-def packed(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster: str | None = None, capacity: int = CAPACITY, block_pieces: int = BLOCK_PIECES) -> DataFrame:
+def packed(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster: str | None = None, capacity: int = CAPACITY, per_source: int = 1, block_pieces: int = BLOCK_PIECES) -> DataFrame:
     """One row per piece: id_col, copy, piece, start, size, bin_id, bin_offset.
 
     Piece `piece` of a document is its bytes from `start` on (the separator counts as its last byte), and lies at
     bin_offset of bin bin_id. cluster: a SQL expression of a document's duplicate cluster; by default equal texts.
+    per_source: how many documents of one source a bin may hold; with few sources 1 leaves bins half empty.
 
     Defined cases: null and empty texts are a piece of one separator. A null source is a source of its own. Rows equal
     in id, source, cluster and size are told apart by `copy`, from 0. Ids may be null. An empty table gives no rows.
     Only the named columns are read.
     """
+    spark = documents.sparkSession
+    session_for_texts(spark)
     rows = documents.select(
         F.col(id_col).cast("long").alias("id"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("\0")).alias("source"),
         (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) if cluster is None else F.xxhash64(F.expr(cluster))).alias("cluster"),
         (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("size"),
     )
-    # equal rows are merged before the shuffle and told apart after it, so no row is hot
-    rows = rows.groupBy("id", "source", "cluster", "size").agg(F.count("*").alias("n"))
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("full", F.floor(F.col("size") / capacity))
+    # equal rows are merged before the shuffle and told apart after it, so no row is hot; texts are read once
+    rows = written(spark, rows.groupBy("id", "source", "cluster", "size").agg(F.count("*").alias("n")), "packing-rows")
     zero = F.lit(0).cast("long")
-    row = F.abs(F.xxhash64("id", "source", "cluster", "size", "copy") % F.lit(1 << 38))
-    full = rows.where("full > 0").withColumn("piece", F.explode(F.sequence(zero, F.col("full") - 1)))
-    # a bin that one document fills: its number is below zero, from a hash of the row and the piece
-    full = full.select("id", "copy", "piece", (F.col("piece") * capacity).alias("start"), F.lit(capacity).cast("long").alias("size"), (-1 - (row * F.lit(1 << 24) + F.col("piece"))).alias("bin_id"), zero.alias("bin_offset"))
-    rest = rows.where(f"size % {capacity} > 0")
-    blocks = max(1, -(-rest.count() // block_pieces))
-    rest = rest.select("id", "source", "cluster", "copy", F.col("full").alias("piece"), (F.col("full") * capacity).alias("start"), (F.col("size") % capacity).alias("size"), F.pmod(F.xxhash64("id", "cluster", "copy", "source", "size"), F.lit(blocks)).alias("block"))
-    done = rest.groupBy("block").applyInArrow(_pack_block(capacity), "id long, copy long, piece long, start long, size long, bin_id long, bin_offset long")
-    return full.unionByName(done).withColumnRenamed("id", id_col)
+    blocks = max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // block_pieces))
+    rows = rows.withColumn("copy", F.explode(F.sequence(zero, F.col("n") - 1)))
+    rows = rows.select("id", "source", "cluster", "copy", F.floor(F.col("size") / capacity).alias("full"), (F.col("size") % capacity).alias("rest"), F.pmod(F.xxhash64("id", "cluster", "copy", "source", "size"), F.lit(blocks)).alias("block"))
+    done = rows.groupBy("block").applyInArrow(_pack_block(capacity, per_source), "id long, copy long, full long, rest long, filled long, last long, offset long")
+    none = F.array().cast("array<struct<piece:long,size:long,bin_id:long,bin_offset:long>>")
+    piece = lambda *c: F.struct(*[x.cast("long").alias(n) for x, n in zip(c, ("piece", "size", "bin_id", "bin_offset"), strict=True)])
+    whole = F.when(F.col("full") > 0, F.transform(F.sequence(zero, F.col("full") - 1), lambda k: piece(k, F.lit(capacity), F.col("filled") + k, F.lit(0)))).otherwise(none)
+    last = F.when(F.col("rest") > 0, F.array(piece(F.col("full"), F.col("rest"), F.col("last"), F.col("offset")))).otherwise(none)
+    return done.select(F.col("id").alias(id_col), "copy", F.inline(F.concat(whole, last))).select(id_col, "copy", "piece", (F.col("piece") * capacity).alias("start"), "size", "bin_id", "bin_offset")
