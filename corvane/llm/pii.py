@@ -1,9 +1,12 @@
 """Personal data: e-mail addresses, IP addresses, card and phone numbers, also where they are disguised.
 
 Base spans come from fixed patterns on the text as it is. Then transducers rewrite the text: homoglyphs and invisible
-characters to plain ASCII, spelled digits to digits, and "at" / "dot" disguises to @ and full stops. Each keeps, for every
-character it writes, the source characters it stands for. The same detectors run on the result, and what they find is
-mapped back to source offsets and added where no base span of that kind lies. Offsets are code points, ends exclusive.
+characters and digits of other scripts to plain ASCII, spelled digits to digits, and "at" / "dot" disguises to @ and full
+stops. Each keeps, for every character it writes, the source characters it stands for. The same detectors run on the
+result, and what they find is mapped back to source offsets and added where no base span of that kind lies, or where it
+reaches beyond the base spans it covers. Offsets are code points, ends exclusive.
+
+Every pattern is bounded or reads on from where it stopped, so a text takes time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,34 +86,52 @@ _LOOKALIKE = dict(
     )
 )
 #: Soft hyphen, zero-width characters, word joiner and byte order mark: they vanish.
-_INVISIBLE = "­​‌‍⁠﻿"
-_ODD = re.compile(f"[{_INVISIBLE}ɡͰ-ԯոս -⁯℀-ⅿ①-⓿！-～\U0001d400-\U0001d7ff]")
+_INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
+_ODD = re.compile(f"[{_INVISIBLE}ɡͰ-ԯոս\u2000-\u206f℀-ⅿ①-⓿！-～\U0001d400-\U0001d7ff]|(?![0-9])\\d")
 # The spelled digits.
 _SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _WORD = "|".join(_SPELLED)
-#: Three digit words or more in a row, digits between allowed, with an optional "plus" before.
-_SPELLED_RUN = re.compile(rf"(?<![A-Za-z0-9])(?:plus[ -]+)?(?:(?:{_WORD}|[0-9]+)[ -]{{1,3}})*(?:{_WORD})[ -]{{1,3}}(?:(?:{_WORD}|[0-9]+)[ -]{{1,3}})+(?:{_WORD}|[0-9]+)(?![A-Za-z0-9])", re.I)
-_SPELLED_TOKEN = re.compile(rf"plus[ -]+|(?:{_WORD})(?![A-Za-z])|[ -]{{2,3}}", re.I)
-_DOT = r"\s{0,3}[\[({<]\s{0,2}(?:dot|\.)\s{0,2}[\])}>]\s{0,3}|\s{1,3}dot\s{1,3}"
-_AT = r"\s{0,3}[\[({<]\s{0,2}(?:at|@)\s{0,2}[\])}>]\s{0,3}"
+#: A digit word or number, and what may stand between two of them: spaces, hyphens, a comma.
+_TOKEN, _BETWEEN = rf"(?:(?:{_WORD})(?![A-Za-z0-9])|[0-9]++(?![A-Za-z]))", r"(?:, ?|[ -]{1,3})"
+#: Digit words and numbers in a row, from first to last: what follows a run is no part of another, so a text is read once.
+_RUN = re.compile(rf"(?<![A-Za-z0-9])(?:plus[ -]{{1,3}})?{_TOKEN}(?:{_BETWEEN}{_TOKEN})++", re.I)
+_RUN_PART = re.compile(rf"plus[ -]{{1,3}}|(?:{_WORD})(?![A-Za-z0-9])|, ?|[ -]{{2,3}}|[0-9]++", re.I)
+# Fixed values: "dot" and "at" in English, German, French and Spanish.
+_DOTS, _ATS = "dot|punkt|point|punto", "at|arobase|arroba|klammeraffe"
+_DOT = rf"\s{{0,3}}[\[({{<]\s{{0,2}}(?:{_DOTS}|\.)\s{{0,2}}[\])}}>]\s{{0,3}}|\s{{1,3}}(?:{_DOTS})\s{{1,3}}|_(?:{_DOTS})_"
+_AT = rf"\s{{0,3}}[\[({{<]\s{{0,2}}(?:{_ATS}|@)\s{{0,2}}[\])}}>]\s{{0,3}}|_(?:{_ATS})_|\s{{1,3}}(?:arobase|arroba|klammeraffe)\s{{1,3}}"
 # Last labels after which a bare "at" and a bare "dot" are believed.
 _LAST = "com|org|net|edu|gov|mil|int|info|biz|io|co|ai|dev|app|me|tv|eu|uk|us|ca|au|de|fr|es|it|nl|be|ch|at|pl|se|no|fi|dk|pt|br|mx|in|jp|cn|ru|example|test"
-#: A bracketed "at" stands for @ before any domain; a bare one only if a "dot" is disguised before a known last label.
+# Words before an address that make a bare "at" and a plain full stop believed.
+_CUE = "e-?mail|mail|contact|write|reach|kontakt|correo|courriel|adresse|address"
+_NAME, _LABEL = r"[A-Za-z0-9.%+](?:(?!_(?:at|arobase|arroba|klammeraffe|dot|punkt|point|punto)_)[A-Za-z0-9._%+-]){0,63}", r"[A-Za-z0-9-]{1,63}"
+#: A bracketed or joined "at" stands for @ before any domain; a bare one only if a "dot" is disguised before a known last
+#: label, or after a cue, or where the name before it is no plain word.
 _DISGUISED = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?:(?:{_DOT})[A-Za-z0-9_%+-]{{1,64}}){{0,3}}(?:(?:{_AT})[A-Za-z0-9-]{{1,63}}(?:(?:{_DOT}|\.)[A-Za-z0-9-]{{1,63}})+|(?:\s{{1,3}}at\s{{1,3}}|@)[A-Za-z0-9-]{{1,63}}(?:(?:{_DOT}|\.)[A-Za-z0-9-]{{1,63}}){{0,4}}(?:{_DOT})(?:{_LAST})(?![A-Za-z0-9-]))",
+    rf"(?<![A-Za-z0-9._%+-]){_NAME}(?:(?:{_DOT}){_NAME}){{0,3}}(?:(?:{_AT}){_LABEL}(?:(?:{_DOT}|\.){_LABEL})+|(?:\s{{1,3}}at\s{{1,3}}|@){_LABEL}(?:(?:{_DOT}|\.){_LABEL}){{0,4}}(?:{_DOT})(?:{_LAST})(?![A-Za-z0-9-]))|(?<![A-Za-z0-9._%+-]){_NAME}(?:(?:{_DOT}){_NAME}){{1,3}}@{_LABEL}(?:\.{_LABEL})+",
     re.I,
 )
+_BARE = re.compile(rf"(?:(?<![A-Za-z])(?:{_CUE})\b[ :]{{1,3}}(?:(?:to|me|us|is|at|an|a|à)\b[ :]{{1,3}})?[A-Za-z0-9._%+-]{{1,64}}|(?<![A-Za-z0-9._%+-])[A-Za-z0-9]{{1,32}}(?:[._+][A-Za-z0-9]{{1,32}}){{1,4}}|(?<![A-Za-z0-9._%+-])[A-Za-z]{{1,32}}[0-9]{{1,8}})(?P<at> at )[A-Za-z0-9-]{{1,63}}(?:\.[A-Za-z0-9-]{{1,63}}){{0,4}}\.(?:{_LAST})(?![A-Za-z0-9-])", re.I)
 _DISGUISED_IP = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:(?:{_DOT}|\.)[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 _DISGUISE = re.compile(rf"(?P<dot>{_DOT})|(?P<at>{_AT}|\s{{1,3}}at\s{{1,3}})", re.I)
-_BRACKETED = re.compile(r"[\[({<]\s{0,2}(?:[.@]|at\b|dot\b)")
+_BRACKETED = re.compile(rf"[\[({{<]\s{{0,2}}(?:[.@]|(?:{_ATS}|{_DOTS})\b)", re.I)
+_HINTS = (*_DOTS.split("|"), "arobase", "arroba", "klammeraffe", "_at_", " at ")
+
+
+def _runs(text: str) -> Iterator[re.Match]:
+    """Runs with a digit word that two tokens or more follow."""
+    for m in _RUN.finditer(text):
+        kinds = [p[0] for p in (x[0] for x in _RUN_PART.finditer(text, m.start(), m.end())) if p[0] not in " -," and not p.lower().startswith("plus")]
+        if any(not k.isdigit() for k in kinds[:-2]):
+            yield m
 
 
 def _hinted(text: str) -> bool:
     """Whether any transducer could fire: cheap substring tests, wide on the safe side."""
     low = text.lower()
-    if "dot" in low or not text.isascii() and _ODD.search(text) or any(b in low for b in "[({<") and _BRACKETED.search(low):
+    if any(w in low for w in _HINTS) or not text.isascii() and _ODD.search(text) or any(b in low for b in "[({<") and _BRACKETED.search(low):
         return True
-    return (not text.isascii() or any(w in low for w in _SPELLED)) and bool(_SPELLED_RUN.search(text))
+    return any(w in low for w in _SPELLED) and next(_runs(text), None) is not None
 
 
 def _plain(c: str) -> str:
@@ -117,6 +139,8 @@ def _plain(c: str) -> str:
         return ""
     if c in _LOOKALIKE:
         return _LOOKALIKE[c]
+    if c.isdecimal():
+        return str(unicodedata.digit(c))
     folded = unicodedata.normalize("NFKC", c)
     return folded if len(folded) == 1 and folded.isascii() and folded.isprintable() else c
 
@@ -149,16 +173,18 @@ def normalised(text: str) -> Traced:
     t = Traced(text)
     t.rewrite([(m.start(), m.end(), new) for m in _ODD.finditer(text) if (new := _plain(m[0])) != m[0]])
     edits = []
-    for run in _SPELLED_RUN.finditer(t.text):
-        for m in _SPELLED_TOKEN.finditer(t.text, run.start(), run.end()):
+    for run in _runs(t.text):
+        for m in _RUN_PART.finditer(t.text, run.start(), run.end()):
             word = m[0].lower()
-            edits.append((m.start(), m.end(), "+" if word.startswith("plus") else _SPELLED.get(word, " ")))
+            if not word[0].isdigit():
+                edits.append((m.start(), m.end(), "+" if word.startswith("plus") else _SPELLED.get(word, " ")))
     t.rewrite(edits)
     for whole in (_DISGUISED, _DISGUISED_IP):
         edits = []
         for run in whole.finditer(t.text):
             edits += [(m.start(), m.end(), "." if m["dot"] else "@") for m in _DISGUISE.finditer(t.text, run.start(), run.end())]
         t.rewrite(edits)
+    t.rewrite([(*m.span("at"), "@") for m in _BARE.finditer(t.text)])
     return t
 
 
@@ -171,9 +197,12 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
     if t.text == text:
         return base, []
     more = []
+    known = [[(s, e) for s, k, e in base if k == kind] for kind in range(len(KINDS))]  # in order, none overlapping another
     for a, kind, b in detect(t.text):
         start, end = int(t.start[a]), int(t.end[b - 1])
-        if not any(k == kind and s < end and start < e for s, k, e in base):
+        at = bisect_right(known[kind], (start, len(text) + 1)) - 1
+        met = [p for p in known[kind][max(at, 0) : bisect_right(known[kind], (end - 1, len(text) + 1))] if p[1] > start]
+        if not met or start <= met[0][0] and met[-1][1] <= end and (start, end) != met[0]:
             more.append((start, kind, end))
     return base, more
 

@@ -247,6 +247,17 @@ def test_base_spans_against_patterns():
         ("ip 192 dot 168 dot 1 dot 10 ok", "ip:3:27"),
         ("jоhn@exаmple.com", "email:0:16"),
         ("a@b.co and x (at) y (dot) net", "email:0:6,email:11:29"),
+        ("contact john at example.com", "email:8:27"),
+        ("meet me at example.com", ""),
+        ("john_at_example_dot_com", "email:0:23"),
+        ("jo [at] example punkt de", "email:0:24"),
+        ("marie arobase exemple point fr", "email:0:30"),
+        ("pepe (arroba) correo (punto) es", "email:0:31"),
+        ("alice dot smith@example.com", "email:0:27,email:10:27"),
+        ("10 point 0 point 0 point 1", "ip:0:26"),
+        ("four, 111 1111, 1111 1111 1", ""),
+        ("card four, one, one, one 1111 1111 1111", "card:5:39"),
+        ("٤111 1111 1111 1111 x ١٠.٠.٠.١", "card:0:19,ip:22:30"),
         ("look at the dot on it", ""),
         ("one or two or three", ""),
         ("", ""),
@@ -263,6 +274,32 @@ def test_one_spelled_digit_opens_the_run(lead):
     assert [(s, k) for s, k, *_ in more] == [(len(lead), 2)]
 
 
+def test_pii_takes_time_in_proportion():
+    import time
+
+    for text in (" call one of " + "12 " * 80_000, "one " * 80_000, "a_at_" * 40_000, "at dot " * 40_000, "a.a at " * 30_000, "(at)" * 50_000, "٤" * 80_000):
+        began = time.perf_counter()
+        pii.find(text)
+        assert time.perf_counter() - began < 1
+
+
+def test_transducers_against_a_plain_one():
+    """Made of parts whose normal form is known, the normalised text and every character's source are as put together."""
+    r = random.Random(12)
+    parts = [("bob", "bob"), (" (at) ", "@"), (" [dot] ", "."), ("ex-1", "ex-1"), ("о", "o"), ("٣", "3"), ("\u200b", ""), ("；", ";"), ("Ａ", "A")]
+    for _ in range(2000):
+        chosen = [parts[0], parts[1], parts[3], parts[2], parts[0]] if r.random() < 0.3 else [r.choice([p for p in parts if p[0][0] != " "]) for _ in range(6)]
+        text, want, start, end = "", "", [], []
+        for src, out in chosen:
+            for k, c in enumerate(out):
+                want += c
+                start.append(len(text) + (k if len(src) == len(out) else 0))
+                end.append(len(text) + (k + 1 if len(src) == len(out) else len(src)))
+            text += src
+        t = pii.normalised(text)
+        assert (t.text, t.start.tolist(), t.end.tolist()) == (want, start, end), text
+
+
 def test_pii_rows(spark):
     texts = CORNERS + ["x a.b@c.de y 10.0.0.1", "4111 1111 1111 1111", "+1 (269) 555-3296", "9" * 20_000, "@" * 5000, "a" * 20_000 + "@"]
     out = {r.doc_id: r for r in pii.pii_spans(documents(spark, texts)).collect()}
@@ -315,6 +352,49 @@ def test_packing_keeps_everything(spark):
     assert packing.packed(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("per_source", [1, 3])
+def test_packed_keeps_conflicts_apart(spark, per_source):
+    r = random.Random(2)
+    texts = ["t" * r.randint(0, 120) if k % 4 else f"copy {k % 12}" for k in range(600)]
+    df = documents(spark, texts).withColumn("source", F.when(F.col("doc_id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("doc_id") % 17).cast("string"))))
+    rows = packing.packed(df, capacity=100, per_source=per_source, block_pieces=150).join(df.select("doc_id", "text", "source"), "doc_id").collect()
+    bins = defaultdict(list)
+    for row in rows:
+        bins[row.bin_id].append(row)
+    for held in bins.values():
+        sources, copies = [x.source for x in held], [x.text for x in held]
+        assert max(map(sources.count, sources)) <= per_source and len(set(copies)) == len(copies)
+        assert sum(x.size for x in held) <= 100
+
+
+def test_one_source_fills_bins_where_it_may(spark):
+    df = documents(spark, ["t" * (k % 37) for k in range(400)]).withColumn("source", F.lit("only")).withColumn("text", F.concat("text", F.col("doc_id").cast("string")))
+    bins = {n: packing.packed(df, capacity=200, per_source=n).select("bin_id").distinct().count() for n in (1, 20)}
+    assert bins[1] == 400 and bins[20] <= 1.1 * sum(k % 37 + len(str(k)) + 1 for k in range(400)) / 200 + 1
+
+
+def test_workers_need_not_have_the_package(tmp_path):
+    import subprocess
+    import sys
+
+    script = tmp_path / "run.py"
+    script.write_text(f"""
+import sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
+sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))!r})
+from corvane.llm.components import components
+from corvane.llm.packing import packed
+docs = spark.createDataFrame([(1, "a", "s"), (2, "b", "t")], "doc_id long, text string, source string")
+assert packed(docs).count() == 2
+assert components(spark.createDataFrame([(1, 2)], "a long, b long"), "a", "b").count() == 2
+print("both ran")
+""")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"SPARK_SCALA_VERSION": "2.13"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
+    assert "both ran" in done.stdout, done.stderr[-2000:]
+
+
 # ---- classifiers
 
 
