@@ -87,7 +87,9 @@ _LOOKALIKE = dict(
 )
 #: Soft hyphen, zero-width characters, word joiner and byte order mark: they vanish.
 _INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
-_ODD = re.compile(f"[{_INVISIBLE}ɡͰ-ԯոս\u2000-\u206f℀-ⅿ①-⓿！-～\U0001d400-\U0001d7ff]|(?![0-9])\\d")
+#: The first digit of each script's ten, ASCII left out.
+_ZEROS = [c for c in map(chr, range(128, 0x20000)) if c.isdecimal() and unicodedata.digit(c) == 0]
+_ODD = re.compile(f"[{_INVISIBLE}ɡͰ-ԯոս\u2000-\u206f℀-ⅿ①-⓿！-～\U0001d400-\U0001d7ff{''.join(f'{c}-{chr(ord(c) + 9)}' for c in _ZEROS)}]")
 # The spelled digits.
 _SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _WORD = "|".join(_SPELLED)
@@ -115,7 +117,10 @@ _BARE = re.compile(rf"(?:(?<![A-Za-z])(?:{_CUE})\b[ :]{{1,3}}(?:(?:to|me|us|is|a
 _DISGUISED_IP = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:(?:{_DOT}|\.)[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 _DISGUISE = re.compile(rf"(?P<dot>{_DOT})|(?P<at>{_AT}|\s{{1,3}}at\s{{1,3}})", re.I)
 _BRACKETED = re.compile(rf"[\[({{<]\s{{0,2}}(?:[.@]|(?:{_ATS}|{_DOTS})\b)", re.I)
-_HINTS = (*_DOTS.split("|"), "arobase", "arroba", "klammeraffe", "_at_", " at ")
+_SPACED_DOT = re.compile(rf"[\s_](?:{_DOTS})[\s_]", re.I)
+_AT_WORDS = ("arobase", "arroba", "klammeraffe", "_at_")
+_AT_DOMAIN = re.compile(rf" at [a-z0-9-]{{1,63}}(?:\.[a-z0-9-]{{1,63}}){{0,4}}\.(?:{_LAST})(?![a-z0-9-])")
+_DIGIT_WORD = re.compile(rf"(?<![a-z0-9])(?:{_WORD})(?:, ?|[ -]{{1,3}})(?:[0-9]|{_WORD})")
 
 
 def _runs(text: str) -> Iterator[re.Match]:
@@ -126,12 +131,18 @@ def _runs(text: str) -> Iterator[re.Match]:
             yield m
 
 
-def _hinted(text: str) -> bool:
-    """Whether any transducer could fire: cheap substring tests, wide on the safe side."""
-    low = text.lower()
-    if any(w in low for w in _HINTS) or not text.isascii() and _ODD.search(text) or any(b in low for b in "[({<") and _BRACKETED.search(low):
-        return True
-    return any(w in low for w in _SPELLED) and next(_runs(text), None) is not None
+def _hints(text: str) -> set[str]:
+    """Which transducers could fire: cheap tests, wide on the safe side."""
+    low, found = text.lower(), set()
+    if not text.isascii() and _ODD.search(text):
+        return {"odd", "spelled", "disguised", "bare"}
+    if _DIGIT_WORD.search(low):
+        found.add("spelled")
+    if any(b in low for b in "[({<") and _BRACKETED.search(low) or any(w in low for w in _AT_WORDS) or _SPACED_DOT.search(low):
+        found.add("disguised")
+    if _AT_DOMAIN.search(low):
+        found.add("bare")
+    return found
 
 
 def _plain(c: str) -> str:
@@ -168,32 +179,34 @@ class Traced:
         self.text, self.start, self.end = "".join(text), np.concatenate(start), np.concatenate(end)
 
 
-def normalised(text: str) -> Traced:
-    """The text after all transducers."""
+def normalised(text: str, hints: set[str]) -> Traced:
+    """The text after all transducers that the hints name."""
     t = Traced(text)
-    t.rewrite([(m.start(), m.end(), new) for m in _ODD.finditer(text) if (new := _plain(m[0])) != m[0]])
-    edits = []
-    for run in _runs(t.text):
+    if "odd" in hints:
+        t.rewrite([(m.start(), m.end(), new) for m in _ODD.finditer(text) if (new := _plain(m[0])) != m[0]])
+    edits: list[tuple[int, int, str]] = []
+    for run in _runs(t.text) if "spelled" in hints else ():
         for m in _RUN_PART.finditer(t.text, run.start(), run.end()):
             word = m[0].lower()
             if not word[0].isdigit():
                 edits.append((m.start(), m.end(), "+" if word.startswith("plus") else _SPELLED.get(word, " ")))
     t.rewrite(edits)
-    for whole in (_DISGUISED, _DISGUISED_IP):
+    for whole in (_DISGUISED, _DISGUISED_IP) if "disguised" in hints else ():
         edits = []
         for run in whole.finditer(t.text):
             edits += [(m.start(), m.end(), "." if m["dot"] else "@") for m in _DISGUISE.finditer(t.text, run.start(), run.end())]
         t.rewrite(edits)
-    t.rewrite([(*m.span("at"), "@") for m in _BARE.finditer(t.text)])
+    if "bare" in hints:
+        t.rewrite([(*m.span("at"), "@") for m in _BARE.finditer(t.text)])
     return t
 
 
 def find(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans, and the spans that only show once the text is normalised."""
     base = detect(text)
-    if not _hinted(text):
+    if not (hints := _hints(text)):
         return base, []
-    t = normalised(text)
+    t = normalised(text, hints)
     if t.text == text:
         return base, []
     more = []
