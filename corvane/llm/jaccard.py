@@ -12,8 +12,12 @@ those that many documents share last. Any order gives the same links; this one k
 
 Pairs are only made from lists of bounded length. A longer (heavy) list ties its sets to the smallest of them. Pairs and
 ties make candidate components. One of bounded size is compared within one task, each set shipped once. A larger one is
-compared by pairs of blocks of it, or falls apart into its pairs, by their first set, and its heavy lists, by pairs of
-blocks of each, whichever ships less: no task ever holds an unbounded group. Every comparison is on the whole sets.
+compared by blocks of it, or falls apart into its pairs, by their first set, and its heavy lists, by pairs of blocks of
+each, whichever ships less: no task ever holds an unbounded group. Every comparison is on the whole sets.
+
+Links are counted only where asked for. Without, a large component is compared in two steps: each block within itself and
+with a few hubs, which in a group of near copies connects nearly all; then what the largest part lacks with everything. Two
+sets that are connected already need not be compared, so a group of near copies costs in proportion to its size.
 
 Sets are known by a 64-bit hash of their 64-bit shingle hashes; equal sets are one node from the start, so copies never
 meet each other. Two different sets share a node id with probability 2**-64 a pair.
@@ -28,7 +32,8 @@ from math import ceil
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.llm import shingling as S
@@ -38,7 +43,8 @@ from corvane.llm.components import components, min_labels
 WORDS = 5
 SKETCH_BITS = 22
 SKETCH_BLOCKS = 128
-BLOOM_BITS = 25
+#: Bits of the bit set for each id it holds, and the bounds of its size as a power of 2 (at most 128 MB).
+BLOOM_PER_ID, BLOOM_LEAST, BLOOM_MOST = 16, 20, 30
 #: From this sketch level on (each level doubles the count) a shingle's postings are spread over all buckets.
 HOT_LEVEL = 5
 BUCKET_BYTES = 24 << 20
@@ -48,6 +54,8 @@ JOB_SETS, JOB_ELEMENTS = 2048, 2_000_000
 LIST_SETS = 64
 BLOCK_SETS = 256
 SMALL_MOST = 64
+#: Sets of a large component that each of its blocks is compared with first.
+HUBS = 16
 
 
 def _blocks(counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -78,23 +86,37 @@ def _profile(k: int):
                 if n_held >= 1 << 21:
                     flush()
             none = pa.nulls(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes), pa.array(ids), none.cast(pa.int32()), none.cast(pa.binary())], names=["doc_id", "n", "sid", "block", "payload"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes), pa.array(ids), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary())], names=["doc_id", "n", "sid", "part", "block", "payload"])
         flush()
         rows = list(_blocks(counts)) if counts.any() else []
-        none = pa.nulls(len(rows), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["doc_id", "n", "sid", "block", "payload"])
+        none, part = pa.nulls(len(rows), pa.int64()), pa.array([TaskContext.get().partitionId()] * len(rows), pa.int32())
+        yield pa.RecordBatch.from_arrays([none, none, none, part, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["doc_id", "n", "sid", "part", "block", "payload"])
 
     return run
 
 
+def _in_lanes(rows: DataFrame, merge, shape: str) -> DataFrame:
+    """Merge (part, block, payload) rows to (lane, block, payload): as many lanes as rows in each, so that neither this step
+    nor the next, by block, gathers a row of every partition."""
+    parts = (rows.agg(F.max("part")).first()[0] or 0) + 1
+    lanes = rows.withColumn("lane", F.pmod("part", F.lit(ceil(parts**0.5))))
+    return lanes.groupBy("lane", "block").applyInPandas(merge, shape)
+
+
+def _added(rows: pd.DataFrame) -> pd.DataFrame:
+    c = np.zeros((1 << SKETCH_BITS) // SKETCH_BLOCKS, np.uint64)
+    for p in rows["payload"]:
+        got = zlib.decompress(p)
+        c += np.frombuffer(got, np.uint32 if len(got) == 4 * len(c) else np.uint64)
+    return pd.DataFrame({"block": [rows["block"].iloc[0]], "payload": [zlib.compress(c.tobytes(), 1)]})
+
+
 def _levels(mean: float):
-    """Merge one block of all partitions' sketches; return its level bytes and what the cost model needs."""
+    """Merge one block of the sketches; return its level bytes and what the cost model needs."""
     noise = mean + 4 * mean**0.5 + 4
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        c = np.zeros((1 << SKETCH_BITS) // SKETCH_BLOCKS, np.uint64)
-        for p in block["payload"]:
-            c += np.frombuffer(zlib.decompress(p), np.uint32)
+        c = np.frombuffer(zlib.decompress(_added(block)["payload"].iloc[0]), np.uint64)
         f = c.astype(float)
         level = np.where(f > noise, np.floor(np.log2(np.maximum(f, 1) / noise)) + 1, 0).clip(0, 255).astype(np.uint8)
         low = f[level == 0]
@@ -283,10 +305,10 @@ def linked_pairs(sets: list[np.ndarray], percent: int, side: np.ndarray | None =
             yield i[link], j[link]
 
 
-def _compare(percent: int):
-    """Links of one job's sets. Jobs: 0 a whole component, 3 two blocks of one, 1 a set and its candidates, 2 two blocks of
-    a heavy list. Out: 0 (set, set) edges that connect what links; 1 links of a set, weighted by copies, from jobs that
-    meet each pair once (0, 3); 2 every link, from the others."""
+def _compare(percent: int, count_links: bool):
+    """Links of one job's sets. Jobs: 0 a whole component, or a part of one, 3 two blocks of one, 1 a set and its candidates,
+    2 two blocks of a heavy list. Out: 0 (set, set) edges that connect what links; and if links are counted: 1 links of a
+    set, weighted by copies, from jobs that meet each pair once (0, 3); 2 every link, from the others."""
 
     def run(job: pa.Table) -> pa.Table:
         job = job.sort_by("sid")
@@ -300,13 +322,16 @@ def _compare(percent: int):
         labels, degree, links = np.arange(len(sets)), np.zeros(len(sets), np.int64), []
         for i, j in linked_pairs(sets, percent, side):
             labels = min_labels(len(sets), i, j, labels)
-            if kind in (0, 3):
+            if not count_links:
+                if not labels.any():
+                    break
+            elif kind in (0, 3):
                 degree += np.bincount(i, mult[j], len(sets)).astype(np.int64) + np.bincount(j, mult[i], len(sets)).astype(np.int64)
             else:
                 links.append((np.minimum(i, j), np.maximum(i, j)))
         moved = np.flatnonzero(labels != np.arange(len(sets)))
         out = [(0, sid[moved], sid[labels[moved]])]
-        if kind in (0, 3):
+        if count_links and kind in (0, 3):
             some = np.flatnonzero(degree)
             out.append((1, sid[some], degree[some]))
         out += [(2, sid[i], sid[j]) for i, j in links]
@@ -324,37 +349,40 @@ def _sets(k: int):
     return run
 
 
-def _bits(ids: np.ndarray) -> np.ndarray:
+def _bits(ids: np.ndarray, bits: int) -> np.ndarray:
     h = S.mix(ids.astype(np.int64).view(np.uint64))
-    return np.concatenate([h >> np.uint64(64 - BLOOM_BITS), h & np.uint64((1 << BLOOM_BITS) - 1)]).astype(np.int64)
+    return np.concatenate([h >> np.uint64(64 - bits), h & np.uint64((1 << bits) - 1)]).astype(np.int64)
 
 
 def bloom_of(spark: SparkSession, ids: DataFrame, column: str):
-    """A broadcast bit set of fixed size (2**BLOOM_BITS bits) that holds every id of the column; false hits only cost time."""
+    """A broadcast (bits, bit set) that holds every id of the column; false hits only cost time. Its size follows from the
+    number of ids, up to a bound past which false hits grow."""
+    bits = min(BLOOM_MOST, max(BLOOM_LEAST, (BLOOM_PER_ID * ids.count()).bit_length()))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, some = np.zeros(1 << BLOOM_BITS, bool), False
+        held, some = np.zeros(1 << (bits - 3), np.uint8), False
         for batch in batches:
-            at = batch.column(0).drop_null().to_numpy()
-            bits[_bits(at)] = True
+            at = _bits(batch.column(0).drop_null().to_numpy(), bits)
+            np.bitwise_or.at(held, at >> 3, (128 >> (at & 7)).astype(np.uint8))
             some |= len(at) > 0
-        parts = [(i, zlib.compress(np.packbits(p).tobytes(), 1)) for i, p in enumerate(np.split(bits, SKETCH_BLOCKS)) if some and p.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], names=["block", "payload"])
+        parts = [(i, zlib.compress(p.tobytes(), 1)) for i, p in enumerate(np.split(held, SKETCH_BLOCKS)) if some and p.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()] * len(parts), pa.int32()), pa.array([i for i, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], names=["part", "block", "payload"])
 
     def join(part: pd.DataFrame) -> pd.DataFrame:
-        bits = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(p), np.uint8) for p in part["payload"]])
-        return pd.DataFrame({"block": [part["block"].iloc[0]], "payload": [zlib.compress(bits.tobytes())]})
+        both = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(p), np.uint8) for p in part["payload"]])
+        return pd.DataFrame({"block": [part["block"].iloc[0]], "payload": [zlib.compress(both.tobytes())]})
 
     shape = "block int, payload binary"
-    rows = ids.select(F.col(column).cast("long")).mapInArrow(fill, shape).groupBy("block").applyInPandas(join, shape).collect()
-    held = np.zeros((SKETCH_BLOCKS, (1 << BLOOM_BITS) // 8 // SKETCH_BLOCKS), np.uint8)
+    filled = written(spark, ids.select(F.col(column).cast("long")).mapInArrow(fill, "part int, " + shape), "jaccard-bits")
+    rows = _in_lanes(filled, join, shape).groupBy("block").applyInPandas(join, shape).collect()
+    held = np.zeros((SKETCH_BLOCKS, (1 << bits) // 8 // SKETCH_BLOCKS), np.uint8)
     for r in rows:
         held[r["block"]] = np.frombuffer(zlib.decompress(r["payload"]), np.uint8)
-    return spark.sparkContext.broadcast(held.reshape(-1))
+    return spark.sparkContext.broadcast((bits, held.reshape(-1)))
 
 
-def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, words: int = WORDS, job_sets: int = JOB_SETS, list_sets: int = LIST_SETS, block_sets: int = BLOCK_SETS, boundary: int | None = None) -> DataFrame:
-    """Per row of documents: id_col, n_shingles, component_id, n_links.
+def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, words: int = WORDS, job_sets: int = JOB_SETS, list_sets: int = LIST_SETS, block_sets: int = BLOCK_SETS, boundary: int | None = None, count_links: bool = False) -> DataFrame:
+    """Per row of documents: id_col, n_shingles, component_id; and n_links if links are to be counted.
 
     Two rows link when 100 * |intersection| >= percent * |union| of their sets of `words`-word shingles (words as runs
     of bytes outside space and \\t..\\r, A-Z folded). n_links counts the other rows a row links to, copies included.
@@ -369,10 +397,10 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     shared_dir(spark)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-    profile = written(spark, docs.mapInArrow(_profile(words), "doc_id long, n long, sid long, block int, payload binary"), "jaccard-profile")
+    profile = written(spark, docs.mapInArrow(_profile(words), "doc_id long, n long, sid long, part int, block int, payload binary"), "jaccard-profile")
     rows = profile.where("block is null").select("doc_id", "n", "sid")
     total = rows.agg(F.sum("n")).first()[0] or 0
-    merged = profile.where("block is not null").select("block", "payload").groupBy("block").applyInPandas(_levels(total / (1 << SKETCH_BITS)), "block int, payload binary, c1 double, c2 double, m long").collect()
+    merged = _in_lanes(profile.where("block is not null").select("part", "block", "payload"), _added, "block int, payload binary").groupBy("block").applyInPandas(_levels(total / (1 << SKETCH_BITS)), "block int, payload binary, c1 double, c2 double, m long").collect()
     per_block = (1 << SKETCH_BITS) // SKETCH_BLOCKS
     held, c1, c2, m = {r["block"]: r["payload"] for r in merged}, sum(r["c1"] for r in merged), sum(r["c2"] for r in merged), sum(r["m"] for r in merged)
     levels = spark.sparkContext.broadcast([held.get(k) for k in range(SKETCH_BLOCKS)])
@@ -414,39 +442,68 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
         df = df.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("nb"))).withColumn("other", F.explode(F.sequence(none, F.col("nb") - 1)))
         return df.select(F.lit(kind).alias("kind"), F.col(job).alias("job"), F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "sid", "mult")
 
-    whole = member.where("way = 'whole'").select(F.lit(0).alias("kind"), F.col("comp").alias("job"), none.alias("bi"), none.alias("bj"), none.alias("block"), "sid", "mult")
-    tiles = dealt(member.where("way = 'tiles'"), 3, "comp")
+    def shipped(jobs: DataFrame, some: DataFrame, name: str) -> DataFrame:
+        """The jobs' links. A set is shipped once to each of its jobs, whichever of its copies come through."""
+        bloom = bloom_of(spark, some, "rep")
+
+        @F.pandas_udf("boolean")
+        def wanted(ids: pd.Series) -> pd.Series:
+            (bits, held), known = bloom.value, ids.notna().to_numpy()
+            out = ~known
+            at = _bits(ids[known].to_numpy(np.int64), bits)
+            hit = (held[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
+            out[known] = (hit[: known.sum()] & hit[known.sum() :]).astype(bool)
+            return pd.Series(out)
+
+        sets = docs.where(wanted("doc_id")).select("text").mapInArrow(_sets(words), "sid long, elements binary")
+        found = jobs.join(sets, "sid").groupBy("kind", "job", "bi", "bj").applyInArrow(_compare(percent, count_links), "kind int, a long, b long")
+        return written(spark, found, name)
+
+    def in_one(df: DataFrame, block) -> DataFrame:
+        return df.select(F.lit(0).alias("kind"), F.col("comp").alias("job"), block.alias("bi"), block.alias("bj"), block.alias("block"), "sid", "mult")
+
+    whole = in_one(member.where("way = 'whole'"), none)
+    large = member.where("way = 'tiles'")
+    own = F.pmod(F.xxhash64("sid"), F.col("nb"))
+    if count_links:
+        tiles = dealt(large, 3, "comp")
+    else:
+        hub = F.row_number().over(Window.partitionBy("comp").orderBy(F.xxhash64("sid", F.lit(1)), "sid"))
+        hubs = large.withColumn("nth", hub).where(F.col("nth") <= HUBS).withColumn("other", F.explode(F.sequence(none, F.col("nb") - 1)))
+        tiles = in_one(large, own).unionByName(in_one(hubs, F.col("other")))
     apart = member.where("way = 'lists'").select("sid", "mult")
     firsts = near.join(apart.select(F.col("sid").alias("a")), "a")
     stars = firsts.select("a", F.col("a").alias("sid"), none.alias("block")).distinct().unionByName(firsts.select("a", F.col("b").alias("sid"), one.alias("block")))
     stars = stars.join(apart, "sid").select(F.lit(1).alias("kind"), F.col("a").alias("job"), none.alias("bi"), one.alias("bj"), "block", "sid", "mult")
     long = dealt(posted.join(apart, "sid").join(distinct_lists.select("sig", "len"), "sig").withColumn("nb", blocks(F.col("len"))), 2, "sig")
-    jobs = whole.unionByName(tiles).unionByName(stars).unionByName(long)
-
-    bloom = bloom_of(spark, member, "rep")
-
-    @F.pandas_udf("boolean")
-    def wanted(ids: pd.Series) -> pd.Series:
-        bits, known = bloom.value, ids.notna().to_numpy()
-        out = ~known
-        at = _bits(ids[known].to_numpy(np.int64))
-        hit = (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
-        out[known] = (hit[: known.sum()] & hit[known.sum() :]).astype(bool)
-        return pd.Series(out)
-
-    sets = docs.where(wanted("doc_id")).select("text").mapInArrow(_sets(words), "sid long, elements binary")
-    # a set is shipped once to each of its jobs, whichever of its copies come through
-    found = jobs.join(sets, "sid").groupBy("kind", "job", "bi", "bj").applyInArrow(_compare(percent), "kind int, a long, b long")
-    found = written(spark, found, "jaccard-links")
+    found = shipped(whole.unionByName(tiles).unionByName(stars).unionByName(long), member, "jaccard-links")
+
+    if not count_links and not large.isEmpty():
+        # what is not in the largest part of its component yet
+        part = components(found.where("kind = 0"), "a", "b").select(F.col("node").alias("sid"), F.col("component").alias("part"))
+        parts = written(spark, large.join(part, "sid", "left").withColumn("part", F.coalesce("part", "sid")), "jaccard-parts")
+        main = parts.groupBy("comp", "part").agg(F.count("*").alias("n")).groupBy("comp").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("n"))
+        main = main.where(F.col("n") < F.col("all")).select("comp", "main", blocks(F.col("all") - F.col("n")).alias("nr"))
+        parts = written(spark, parts.join(main, "comp"), "jaccard-open-parts")
+        rest, most = parts.where(F.col("part") != F.col("main")), parts.where(F.col("part") == F.col("main"))
+        if not rest.isEmpty():
+            spot = F.pmod(F.xxhash64("sid"), F.col("nr"))
+            job = lambda df, bi, bj, block: df.select(F.lit(3).alias("kind"), F.col("comp").alias("job"), bi.alias("bi"), bj.alias("bj"), block.alias("block"), "sid", "mult")
+            of_rest = rest.withColumn("block", spot).withColumn("other", F.explode(F.sequence(F.col("nr"), F.col("nr") + F.col("nb") - 1)))
+            of_most = most.withColumn("block", F.col("nr") + own).withColumn("other", F.explode(F.sequence(none, F.col("nr") - 1)))
+            across = job(of_rest, F.col("block"), F.col("other"), F.col("block")).unionByName(job(of_most, F.col("other"), F.col("block"), F.col("block")))
+            within = dealt(rest.withColumn("nb", F.col("nr")), 3, "comp")
+            found = found.unionByName(shipped(across.unionByName(within), parts, "jaccard-rest-links"))
 
     linked = components(found.where("kind = 0"), "a", "b").select(F.col("node").alias("sid"), F.col("component").alias("comp"))
-    mult = member.select("sid", "mult")
-    pairs = found.where("kind = 2").select("a", "b").distinct()
-    pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(mult.withColumnRenamed("sid", "b"), "b").select(F.col("a").alias("sid"), F.col("mult").alias("links"))
-    links = found.where("kind = 1").select(F.col("a").alias("sid"), F.col("b").alias("links")).unionByName(pairs).groupBy("sid").agg(F.sum("links").alias("links"))
-    classes = nodes.join(linked, "sid", "left").join(links, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    classes = nodes.join(linked, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     least = classes.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    classes = classes.join(least, "comp").select("sid", "component_id", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
-    filled = rows.where("n > 0").join(classes, "sid").select("doc_id", "n", "component_id", "n_links")
-    empty = rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), none.alias("n_links"))
-    return filled.unionByName(empty).select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "n_links")
+    classes = classes.join(least, "comp").select("sid", "component_id", (F.col("mult") - 1).alias("copies"))
+    out = rows.join(classes, "sid", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    if count_links:
+        mult = member.select("sid", "mult")
+        pairs = found.where("kind = 2").select("a", "b").distinct()
+        pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(mult.withColumnRenamed("sid", "b"), "b").select(F.col("a").alias("sid"), F.col("mult").alias("links"))
+        links = found.where("kind = 1").select(F.col("a").alias("sid"), F.col("b").alias("links")).unionByName(pairs).groupBy("sid").agg(F.sum("links").alias("links"))
+        out = out.join(links, "sid", "left").withColumn("n_links", F.when(F.col("n") > 0, F.coalesce("links", F.lit(0)) + F.col("copies")).otherwise(none))
+    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", *(["n_links"] if count_links else []))

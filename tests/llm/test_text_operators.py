@@ -88,13 +88,28 @@ def near_copies(seed=4):
 def test_jaccard_against_all_pairs(spark, options):
     texts = near_copies()
     ids = [1000 - 3 * i for i in range(len(texts))]
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_components(documents(spark, texts, ids), **options).collect()}
-    assert got == plain_components(ids, texts)
+    df, want = documents(spark, texts, ids), plain_components(ids, texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_components(df, **options, count_links=True).collect()}
+    assert got == want
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(df, **options).collect()}
+    assert got == {d: w[:2] for d, w in want.items()}
+
+
+def test_jaccard_joins_a_chain_of_near_copies(spark):
+    """A large component in which most sets link with few others: hubs leave much over, and nothing may be lost."""
+    r = random.Random(7)
+    words = [f"w{r.randrange(5000)}" for _ in range(400)]
+    texts = [" ".join(words[3 * k : 3 * k + 60]) for k in range(100)] + [" ".join(r.sample(words, 50)) for _ in range(20)]
+    ids = list(range(len(texts)))
+    want = {d: w[1] for d, w in plain_components(ids, texts).items()}
+    assert list(want.values()).count(0) == 100
+    got = {r.doc_id: r.component_id for r in jaccard_components(documents(spark, texts, ids), job_sets=8, block_sets=4, list_sets=3).collect()}
+    assert got == want
 
 
 def test_jaccard_corners(spark):
     assert jaccard_components(documents(spark, ["x"]).limit(0)).count() == 0
-    rows = jaccard_components(documents(spark, ["a b c d e f", "a b c d e f", "a b c d e f", None], [None, 7, 7, None])).collect()
+    rows = jaccard_components(documents(spark, ["a b c d e f", "a b c d e f", "a b c d e f", None], [None, 7, 7, None]), count_links=True).collect()
     assert sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1, r.n_links) for r in rows) == [(-1, 0, -1, 0), (-1, 2, 7, 2), (7, 2, 7, 2), (7, 2, 7, 2)]
 
 
