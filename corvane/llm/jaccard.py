@@ -425,13 +425,14 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     nodes = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("mult"))
     # near copies share many lists with the very same sets: one of them is enough
     distinct_lists = lists.groupBy("len", "who", "centre").agg(F.min("sig").alias("sig"))
-    member = candidate.join(nodes, "sid")
+    member = written(spark, candidate.join(nodes, "sid"), "jaccard-candidate-sets")
     blocks = lambda n: F.ceil(n / F.lit(block_sets)).cast("long")
     by_lists = distinct_lists.select(F.col("centre").alias("sid"), (F.col("len") * blocks(F.col("len"))).alias("cost")).unionByName(near.select(F.col("a").alias("sid"), F.lit(2).cast("long").alias("cost")))
     by_lists = by_lists.groupBy("sid").agg(F.sum("cost").alias("cost")).join(candidate, "sid").groupBy("comp").agg(F.sum("cost").alias("cost"))
     comps = member.groupBy("comp").agg(F.count("*").alias("sets"), F.sum("n").alias("elements")).join(by_lists, "comp", "left")
     way = F.when((F.col("sets") <= job_sets) & (F.col("elements") <= JOB_ELEMENTS), "whole").when(F.col("sets") * blocks(F.col("sets")) <= F.coalesce("cost", F.lit(0)), "tiles").otherwise("lists")
-    comps = comps.select("comp", way.alias("way"), blocks(F.col("sets")).alias("nb"))
+    # written, so that what joins it is two plain shuffles: the partition of a large component can then be split
+    comps = written(spark, comps.select("comp", way.alias("way"), blocks(F.col("sets")).alias("nb")), "jaccard-components")
     member = written(spark, member.join(comps, "comp").select("sid", "rep", "mult", "comp", "way", "nb"), "jaccard-members")
 
     none = F.lit(0).cast("long")
@@ -483,7 +484,7 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
         part = components(found.where("kind = 0"), "a", "b").select(F.col("node").alias("sid"), F.col("component").alias("part"))
         parts = written(spark, large.join(part, "sid", "left").withColumn("part", F.coalesce("part", "sid")), "jaccard-parts")
         main = parts.groupBy("comp", "part").agg(F.count("*").alias("n")).groupBy("comp").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("n"))
-        main = main.where(F.col("n") < F.col("all")).select("comp", "main", blocks(F.col("all") - F.col("n")).alias("nr"))
+        main = written(spark, main.where(F.col("n") < F.col("all")).select("comp", "main", blocks(F.col("all") - F.col("n")).alias("nr")), "jaccard-largest-parts")
         parts = written(spark, parts.join(main, "comp"), "jaccard-open-parts")
         rest, most = parts.where(F.col("part") != F.col("main")), parts.where(F.col("part") == F.col("main"))
         if not rest.isEmpty():
@@ -496,8 +497,8 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
             found = found.unionByName(shipped(across.unionByName(within), parts, "jaccard-rest-links"))
 
     linked = components(found.where("kind = 0"), "a", "b").select(F.col("node").alias("sid"), F.col("component").alias("comp"))
-    classes = nodes.join(linked, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    least = classes.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    classes = written(spark, nodes.join(linked, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")).select("sid", "comp", "rep", "mult"), "jaccard-sets")
+    least = written(spark, classes.groupBy("comp").agg(F.min("rep").alias("component_id")), "jaccard-classes")
     classes = classes.join(least, "comp").select("sid", "component_id", (F.col("mult") - 1).alias("copies"))
     out = rows.join(classes, "sid", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     if count_links:

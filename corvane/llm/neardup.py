@@ -264,7 +264,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     joined = components(found.where("links = 0").select("a", "b"), "a", "b").select("node", F.col("component").alias("comp"))
     degree = found.where("links > 0").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     classes = nodes.select("node", "rep", "mult").join(joined, "node", "left").join(degree, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = classes.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    # both written, so that what joins is two plain shuffles: the partition of a large component can then be split
+    classes = written(spark, classes, "neardup-classes")
+    least = written(spark, classes.groupBy("comp").agg(F.min("rep").alias("component_id")), "neardup-components")
     classes = classes.join(least, "comp").select("node", "component_id", (F.coalesce("links", zero) + F.col("mult") - 1).alias("n_links"))
     out = rows.select("id", "node").join(classes, "node", "left").select("id", F.coalesce("n_links", zero).alias("n_links"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
