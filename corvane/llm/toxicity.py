@@ -76,21 +76,30 @@ def train(examples: list[tuple[int, np.ndarray, int]], epochs: int = EPOCHS, **r
     return at, w[at], float(w[-1])
 
 
-def _learner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    examples = []
+def _coordinates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to their distinct coordinates, where they lie."""
     for batch in batches:
-        order, labels = batch.column(0).to_pylist(), batch.column(2).to_pylist()
         data, offs = S.text_buffer(batch.column(1))
+        rows = []
         for i, j in S.chunks(offs):
             text, coord = feature_hits(data, offs[i : j + 1])
             cuts = np.searchsorted(text, np.arange(j - i + 1))
-            examples += [(order[i + k], coord[cuts[k] : cuts[k + 1]].astype(np.int32), labels[i + k]) for k in range(j - i)]
+            rows += [coord[cuts[k] : cuts[k + 1]].astype(np.int32) for k in range(j - i)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32())), batch.column(2)], names=["order", "coords", "label"])
+
+
+def _learner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    examples = []
+    for batch in batches:
+        coords = batch.column(1)
+        values, cuts = coords.values.to_numpy(), coords.offsets.to_numpy()
+        examples += [(o, values[cuts[k] : cuts[k + 1]], y) for k, (o, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True))]
     at, w, bias = train(examples)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(w, bias))], names=["at", "w"])
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, use: Column | None, rows: int) -> DataFrame:
-    """(order, text, label) of at most `rows` labelled documents, the first by a hash of the id. Ids with labels that
+    """(order, text, label) of labelled documents with at most `rows` ids, the first by a hash of the id. Ids with labels that
     contradict each other, or without one, are left out; a repeated document counts as often as it is there."""
     named = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
     named = named.where("id is not null and label in (0, 1)" if use is None else F.col("id").isNotNull() & F.col("label").isin(0, 1) & use)
@@ -98,14 +107,14 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, id_col: str, text_c
     few = first_by_hash(named.select("id", "label"), "id", rows)
     # bounded by `rows`, so it is safe to broadcast
     texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(few), "id").select("order", "text", "label").orderBy("order").limit(rows)
+    return texts.join(F.broadcast(few), "id").select("order", "text", "label")
 
 
-def learn_weights(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    """Train on one executor over the bounded sample; only the sparse weights reach the driver."""
-    rows = sample.coalesce(1).mapInArrow(_learner, "at long, w double").collect()
-    at = np.array([r["at"] for r in rows if r["at"] >= 0], np.int64)
-    return at, np.array([r["w"] for r in rows if r["at"] >= 0]), next((r["w"] for r in rows if r["at"] < 0), 0.0)
+def learn_weights(sample: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
+    """Train on one executor over the bounded sample's coordinates (not its texts); only the sparse weights reach the driver."""
+    found = sample.mapInArrow(_coordinates, "order long, coords array<int>, label int").orderBy("order", F.xxhash64("coords")).limit(rows).coalesce(1).mapInArrow(_learner, "at long, w double").collect()
+    at = np.array([r["at"] for r in found if r["at"] >= 0], np.int64)
+    return at, np.array([r["w"] for r in found if r["at"] >= 0]), next((r["w"] for r in found if r["at"] < 0), 0.0)
 
 
 def scorer(documents: DataFrame, weights: tuple[np.ndarray, np.ndarray, float]) -> Callable[[Column], Column]:
@@ -136,7 +145,7 @@ def toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     alike. Only the named columns are read.
     """
     session_for_texts(documents.sparkSession)
-    return scorer(documents, learn_weights(labelled_sample(documents, labels, id_col, text_col, label_col, train_where, rows)))
+    return scorer(documents, learn_weights(labelled_sample(documents, labels, id_col, text_col, label_col, train_where, rows), rows))
 
 
 def with_toxicity(documents: DataFrame, labels: DataFrame, score_col: str = "toxicity", **options) -> DataFrame:
