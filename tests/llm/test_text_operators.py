@@ -438,3 +438,72 @@ def test_classifier_corners(spark, with_score):
     assert len(out) == docs.count() and all(0 <= r.score_ <= 1 and r.score == "x" for r in out)
     assert {round(r.score, 6) for r in with_score(docs.drop("score"), labels.limit(0), score_col="score").collect()} == {0.5}
     assert with_score(docs.limit(0), labels, score_col="p").count() == 0
+
+
+def test_ftrl_against_a_plain_one():
+    """The vectorised learner against the published update, coordinate by coordinate; its weights are sparse."""
+    import math
+
+    import numpy as np
+
+    from corvane.llm.toxicity import BITS, train
+
+    r = random.Random(3)
+    examples = [(k, np.array(sorted(r.sample(range(400), 12) + ([1000] if y else [])), np.int64), y) for k in range(300) for y in [int(r.random() < 0.2)]]
+    at, w, bias = train(examples, epochs=2, alpha=0.7, beta=1.2, l1=1.5, l2=0.3)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= 1.5 else -(z[i] - math.copysign(1.5, z[i])) / ((1.2 + math.sqrt(n[i])) / 0.7 + 0.3)
+
+    for epoch in range(2):
+        for k in np.random.default_rng(epoch).permutation(len(examples)):
+            _, coords, y = examples[k]
+            active = [*coords.tolist(), 1 << BITS]
+            ws = {i: weight(i) for i in active}
+            g = 1 / (1 + math.exp(-sum(ws.values()))) - y
+            for i in active:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 0.7 * ws[i]
+                n[i] += g * g
+    want = {i: weight(i) for i in z if i < 1 << BITS and weight(i)}
+    assert set(at.tolist()) == set(want) and np.allclose(w, [want[i] for i in at.tolist()]) and abs(bias - weight(1 << BITS)) < 1e-9
+    assert 1000 in want and len(want) < 0.5 * len(z)
+
+
+def test_non_negative_risk_against_differences():
+    import numpy as np
+
+    from corvane.llm import quality
+
+    r = np.random.default_rng(1)
+    xp, xu = r.integers(0, 40, (7, 5)), r.integers(0, 40, (9, 5))
+    for prior, shift in ((None, 0.0), (0.3, 0.0), (0.9, 0.0), (0.9, -3.0)):
+        w = r.normal(size=41)
+        w[np.unique(xu)] += shift
+        s = lambda w, x: 1 / (1 + np.exp(-(w[x].sum(1) + w[-1])))
+
+        def risk(w, prior=prior, s=s):
+            if prior is None:
+                return -np.log(s(w, xp)).mean() - np.log(1 - s(w, xu)).mean()
+            rest = s(w, xu).mean() - prior * s(w, xp).mean()
+            return prior * (1 - s(w, xp)).mean() + rest if rest >= 0 else -rest
+
+        g = quality.risk_gradient(w, xp, xu, prior)
+        for i in range(41):
+            step = np.zeros(41)
+            step[i] = 1e-6
+            assert abs((risk(w + step) - risk(w - step)) / 2e-6 - g[i]) < 1e-6
+
+
+@pytest.mark.parametrize("share", [0.5, 0.7, 0.9])
+def test_class_prior_of_planted_mixtures(share):
+    import numpy as np
+
+    from corvane.llm import quality
+
+    r = np.random.default_rng(6)
+    good = lambda n: np.hstack([r.normal(1, 1, (n, 6)), r.normal(0, 1, (n, quality.WIDTH - 6))])
+    junk = lambda n: np.hstack([r.normal(-1, 1, (n, 6)), r.normal(0, 1, (n, quality.WIDTH - 6))])
+    unlabelled = np.vstack([good(int(4000 * share)), junk(4000 - int(4000 * share))])
+    _, _, prior = quality.fit(good(200), unlabelled[r.permutation(4000)])
+    assert abs(prior - share) <= 0.12

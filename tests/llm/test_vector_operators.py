@@ -276,3 +276,28 @@ def test_pipeline_stages(spark):
     packed = p.STAGES[-1][1](spark, kept, sf)
     assert packed.select("doc_id").distinct().count() == kept.count()
     assert packed.agg(F.sum("size")).first()[0] == kept.agg(F.sum(F.octet_length("text") + 1)).first()[0]
+
+
+def test_pipeline_run_and_its_corners(spark, tmp_path):
+    """run() over a small folder against its stages one by one; stages over no rows and with clashing names."""
+    import corpus_pipeline as p
+
+    sf = "/root/testdata/sf0.001"
+    rows = p.run(spark, sf).collect()
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in p.STAGES[:-1]:
+        docs = stage(spark, docs, sf).cache()
+    want = p.STAGES[-1][1](spark, docs, sf).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, want)) and {r.doc_id for r in rows} == {r.doc_id for r in docs.select("doc_id").collect()}
+    odd = spark.read.parquet(f"{sf}/documents.parquet").limit(30)
+    odd = odd.unionByName(odd.limit(3)).unionByName(spark.createDataFrame([(None, None, None, None, None), (None, "", "en", None, 0), (1, "x " * 40_000, None, "a", 80_000)], odd.schema))
+    for c in ("row_key", "component_id", "id", "n", "vec", "score", "label", "block", "first"):
+        odd = odd.withColumn(c, F.lit("clash"))
+    odd = odd.cache()
+    for name, stage in p.STAGES:
+        assert stage(spark, odd.limit(0), sf).count() == 0, name
+        out = stage(spark, odd, sf)
+        if name != "best_fit_packing":
+            assert out.columns == odd.columns
+            assert name == "pii" or out.exceptAll(odd).count() == 0
+            assert out.count() <= odd.count()
