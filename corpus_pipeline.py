@@ -51,7 +51,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     keyed = written(spark, docs.withColumn(key, F.monotonically_increasing_id()), "stage-row-keys")
     linked = jaccard_components(keyed, key).select(F.col(key).alias("row_key"), "component_id")
     linked = written(spark, linked, "stage-classes")
-    several = linked.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    # written, so that what joins it is two plain shuffles: the partition of a large class can then be split
+    several = written(spark, linked.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id"), "stage-large-classes")
     linked = written(spark, linked.join(several, "component_id"), "stage-linked-rows")
     named = linked.join(keyed.select(F.col(key).alias("row_key"), F.col("doc_id").alias("id"), F.xxhash64(*docs.columns).alias("h")), "row_key")
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h", "row_key")).alias("first")).select("first.row_key")
