@@ -145,5 +145,29 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard,
 FROM placed"""
 
 
+_JACCARD_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words
+), element AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM element a JOIN element b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), links AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+reached(id, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT y, m FROM reached JOIN links ON id = x AND m < y)
+SELECT doc_id, len(s) AS n_shingles, component_id FROM sets JOIN (SELECT id, min(m) AS component_id FROM reached GROUP BY id) ON id = doc_id"""
+
+_NEAR_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0
+), links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a, v b WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.9),
+reached(id, m) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT y, m FROM reached JOIN links ON id = x AND m < y)
+SELECT id AS vec_id, coalesce(n, 0)::BIGINT AS n_links, min(m) AS component_id, id = min(m) AS kept
+FROM reached LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY x) ON id = x GROUP BY id, n"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": _CHAT_SQL, "op7_jump_sharding": _SHARD_SQL}
+    return {"op5_ngram_jaccard_join": _JACCARD_SQL, "op6_embedding_near_dedup": _NEAR_SQL, "op4_chat_formatting": _CHAT_SQL, "op7_jump_sharding": _SHARD_SQL}
