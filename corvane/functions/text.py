@@ -68,10 +68,11 @@ def judge_prompt(template: str, **fields: Column) -> Column:
 
 
 def judge_reply(reply: Column) -> Column:
-    """struct(label, reason) of a reply: the JSON from its first { to its last }; else a null label and UNPARSEABLE."""
+    """struct(label, reason) of a reply: the JSON from its first { to its last }; else a null label and
+    the reply's first 200 characters after a mark. A null reply gives nulls."""
     parsed = F.from_json(F.regexp_extract(reply, r"(?s)\{.*\}", 0), "label string, reason string")
     label = parsed["label"].try_cast("int")
-    return F.struct(label.alias("label"), F.when(label.isNull(), F.lit("UNPARSEABLE")).otherwise(F.coalesce(parsed["reason"], F.lit(""))).alias("reason"))
+    return F.struct(label.alias("label"), F.when(label.isNull(), F.concat(F.lit("UNPARSEABLE: "), F.substring(reply, 1, 200))).otherwise(F.coalesce(parsed["reason"], F.lit(""))).alias("reason"))
 
 
 def pair_key(query_id: Column, key: Column) -> Column:

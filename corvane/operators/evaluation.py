@@ -13,7 +13,7 @@ DIALECTS = ("A", "B", "C", "D")
 
 def _grid(queries: DataFrame, ks: Sequence[int], by: DataFrame | None = None) -> DataFrame:
     grid = queries.select("query_id").distinct().withColumn("k", F.explode(F.array(*[F.lit(int(k)).cast("long") for k in ks])))
-    return grid if by is None else grid.crossJoin(F.broadcast(by))
+    return grid if by is None else grid.crossJoin(by)
 
 
 def binary_metrics(ranked: DataFrame, relevant: DataFrame, queries: DataFrame, ks: Sequence[int], by: Sequence[str] = ("channel",), dialect: str = "A") -> DataFrame:
@@ -30,7 +30,7 @@ def binary_metrics(ranked: DataFrame, relevant: DataFrame, queries: DataFrame, k
     hits = ranked.where(F.col("rank") <= most).select(*by, "query_id", "doc_id", "rank").join(rel.withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left")
     at = hits.withColumn("k", F.explode(F.array(*[F.lit(int(k)).cast("long") for k in ks]))).where("rank <= k")
     cell = at.groupBy(*by, "query_id", "k").agg(F.count("hit").alias("hits"), F.count("*").alias("returned"), F.sum(F.when(F.col("hit") == 1, 1 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias("dcg"))
-    grid = _grid(queries, ks, ranked.select(*by).distinct()).join(cell, [*by, "query_id", "k"], "left").join(F.broadcast(n_rel), "query_id", "left")
+    grid = _grid(queries, ks, ranked.select(*by).distinct()).join(cell, [*by, "query_id", "k"], "left").join(n_rel, "query_id", "left")
     grid = grid.fillna(0, ["hits", "returned", "dcg", "n_rel"])
     ideal = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(F.least("k", "n_rel"), F.lit(1).cast("long"))), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1.0))
     none = F.lit(0.0) if dialect == "A" else F.lit(None).cast("double")
@@ -52,7 +52,10 @@ def graded_ndcg(ranked: DataFrame, relevant: DataFrame, ks: Sequence[int], by: S
     ideal = relevant.withColumn("r", F.row_number().over(w)).select("*", each).where("r <= k").groupBy("query_id", "k").agg(F.sum(F.col("gain") / F.log2(F.col("r") + 1.0)).alias("idcg"))
     got = ranked.where(F.col("rank") <= max(ks)).join(relevant, ["query_id", "doc_id"], "left").select("*", each).where("rank <= k")
     got = got.groupBy(*by, "query_id", "k").agg(F.sum(F.coalesce("gain", F.lit(0)) / F.log2(F.col("rank") + 1.0)).alias("dcg"))
-    return got.join(ideal, ["query_id", "k"], "left").select(*by, "query_id", "k", F.round(F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")).otherwise(0.0), 6).alias("ndcg"))
+    # a query with labels and an empty list counts as 0
+    cells = ideal.select("query_id", "k").crossJoin(ranked.select(*by).distinct()).unionByName(got.select(*by, "query_id", "k")).distinct()
+    cells = cells.join(got, [*by, "query_id", "k"], "left").join(ideal, ["query_id", "k"], "left")
+    return cells.select(*by, "query_id", "k", F.round(F.when(F.col("idcg") > 0, F.coalesce("dcg", F.lit(0.0)) / F.col("idcg")).otherwise(0.0), 6).alias("ndcg"))
 
 
 def overlap(a: DataFrame, b: DataFrame, ks: Sequence[int]) -> DataFrame:
@@ -76,21 +79,27 @@ def comparison(df: DataFrame, by: str, metric: str, ks: Sequence[int]) -> DataFr
 
 
 def bpref(ranked: DataFrame, judged: DataFrame, by: Sequence[str] = ("channel",)) -> DataFrame:
-    """Over judged documents (judged: relevant 0/1): the mean, over relevant ones, of 1 - min(non-relevant above, R) / min(R, N)."""
+    """Over judged documents (judged: relevant 0/1): the mean, over relevant ones, of 1 - min(non-relevant above, R) / min(R, N).
+
+    A judged query of which nothing judged was retrieved counts as 0; one without relevant documents is null.
+    """
     by = list(by)
     counts = judged.groupBy("query_id").agg(F.sum("relevant").alias("r"), F.sum(1 - F.col("relevant")).alias("n"))
     w = Window.partitionBy(*by, "query_id").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     seen = ranked.join(judged, ["query_id", "doc_id"]).withColumn("above", F.coalesce(F.sum(1 - F.col("relevant")).over(w), F.lit(0)))
     bound = F.greatest(F.least("r", "n"), F.lit(1))
     part = F.when(F.col("relevant") == 1, 1 - F.least("above", "r") / bound).otherwise(0.0)
-    return seen.join(F.broadcast(counts), "query_id").groupBy(*by, "query_id").agg(F.round(F.try_divide(F.sum(part), F.max("r")), 6).alias("bpref"))
+    total = seen.join(counts, "query_id").groupBy(*by, "query_id").agg(F.sum(part).alias("total"))
+    grid = counts.crossJoin(ranked.select(*by).distinct())
+    return grid.join(total, [*by, "query_id"], "left").select(*by, "query_id", F.round(F.try_divide(F.coalesce("total", F.lit(0.0)), "r"), 6).alias("bpref"))
 
 
 def coverage(ranked: DataFrame, judged: DataFrame, ks: Sequence[int], by: Sequence[str] = ("channel",)) -> DataFrame:
-    """Share of the first k that has a judgement."""
+    """Share of a query's first k that has a judgement, averaged over queries."""
     marks = ranked.where(F.col("rank") <= max(ks)).join(judged.select("query_id", "doc_id", F.lit(1).alias("seen")), ["query_id", "doc_id"], "left")
     marks = marks.withColumn("k", F.explode(F.array(*[F.lit(int(k)).cast("long") for k in ks]))).where("rank <= k")
-    return marks.groupBy(*by, "k").agg(F.round(F.avg(F.coalesce("seen", F.lit(0)).cast("double")), 6).alias("coverage"))
+    each = marks.groupBy(*by, "query_id", "k").agg(F.avg(F.coalesce("seen", F.lit(0)).cast("double")).alias("seen"))
+    return each.groupBy(*by, "k").agg(F.round(F.avg("seen"), 6).alias("coverage"))
 
 
 def miss_buckets(relevant: DataFrame, ranked: DataFrame, bounds: Sequence[tuple[str, int]]) -> DataFrame:

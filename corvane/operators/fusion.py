@@ -64,7 +64,7 @@ def oracle_recall(ranked: DataFrame, relevant: DataFrame, depths: Sequence[int])
     hits = pool.join(relevant.select("query_id", "doc_id", F.lit(1).alias("hit")), ["query_id", "doc_id"], "left")
     per = hits.groupBy("set", "depth", "query_id").agg(F.count("*").alias("size"), F.count("hit").alias("hits"))
     sizes = relevant.groupBy("query_id").agg(F.count("*").alias("n_rel"))
-    per = per.join(F.broadcast(sizes), "query_id")
+    per = per.join(sizes, "query_id")
     return per.groupBy("set", "depth").agg(F.round(F.avg(F.col("hits") / F.col("n_rel")), 6).alias("recall"), F.round(F.avg("size"), 6).alias("avg_pool"))
 
 

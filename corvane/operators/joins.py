@@ -7,15 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.operators.retrieval import in_slices
+
 
 def prefilter(docs: DataFrame, queries: DataFrame, condition: Column, query_key: str, doc_key: str, least: int = 100) -> DataFrame:
     """The documents that meet a query's structured condition; all of them where fewer than `least` do.
 
-    Queries are a stated, small set, so the condition is tested against a broadcast of them.
+    Queries are a stated set; the condition is tested against them in slices of a bounded size that are broadcast.
     """
-    hits = docs.join(F.broadcast(queries), condition).select(query_key, doc_key)
+    hits = None
+    for part in in_slices(queries, query_key):
+        found = docs.join(F.broadcast(part), condition).select(query_key, doc_key)
+        hits = found if hits is None else hits.unionByName(found)
     few = queries.join(hits.groupBy(query_key).agg(F.count("*").alias("_n")), query_key, "left").where(F.coalesce("_n", F.lit(0)) < least).select(query_key)
-    return hits.join(F.broadcast(few), query_key, "left_anti").unionByName(few.crossJoin(docs.select(doc_key)))
+    return hits.join(few, query_key, "left_anti").unionByName(few.crossJoin(docs.select(doc_key)))
 
 
 def compared(a: DataFrame, b: DataFrame, group: str, key: str) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.functions import vector as V
+from corvane.sources.files import cached
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Query tables up to this many rows are broadcast to the scan of the corpus; larger ones are joined in slices.
@@ -30,26 +33,151 @@ def postings(docs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return docs.select(*by, "doc_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy(*by, "doc_id", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, by: Sequence[str] = (), k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
-    """Okapi BM25 of every (query, document) that share a term: query_id, doc_id, score rounded to 6 places.
+def in_slices(queries: DataFrame, key: str):
+    """A stated query set in slices of at most about QUERY_SLICE rows, so that what is broadcast has a bounded size."""
+    slices = -(-queries.count() // QUERY_SLICE) or 1
+    return [queries if slices == 1 else queries.where(F.pmod(F.xxhash64(key), F.lit(slices)) == s) for s in range(slices)]
+
+
+def _counted():
+    """Per batch of (group, by.., tokens): by, term, df; and for each group a row without a term: its documents and their
+    words. Nothing here needs the library on the executors."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            groups = batch.column(0).dictionary_encode()
+            group, tokens = groups.indices.to_numpy(), batch.column(batch.num_columns - 1)
+            length = np.diff(tokens.offsets.to_numpy())
+            words = tokens.flatten().dictionary_encode()
+            v = max(1, len(words.dictionary))
+            once = np.unique(np.repeat(np.arange(batch.num_rows), length) * v + words.indices.to_numpy())
+            key, df = np.unique(group[once // v] * v + once % v, return_counts=True)
+            many = len(groups.dictionary)
+            _, first = np.unique(group, return_index=True)
+            of = pa.array(first[np.append(key // v, np.arange(many))])
+            terms = pa.concat_arrays([words.dictionary.take(pa.array(key % v)), pa.nulls(many, pa.string())])
+            counts = [np.append(df, np.bincount(group, minlength=many)), np.append(np.zeros(len(df), np.int64), np.bincount(group, length, many).astype(np.int64))]
+            names = ["term", "df", "dl"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in range(1, batch.num_columns - 1)), terms, *map(pa.array, counts)], names=[*batch.schema.names[1:-1], *names])
+
+    return run
+
+
+def vocabulary(docs: DataFrame, by: Sequence[str], epsilon: float, group: Column) -> DataFrame:
+    """by, term, w: Okapi weights. A negative idf becomes epsilon times the mean idf over the vocabulary before that.
+
+    Also n and avgdl of the group. Texts are tokenised once; what is shuffled is counts of terms, combined before.
+    """
+    kinds = dict(docs.dtypes)
+    words = docs.select(group.alias("_group"), *by, F.coalesce(T.tokens(F.col("text")), F.array().cast("array<string>")).alias("_words"))
+    terms = words.mapInArrow(_counted(), ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "term string, df long, dl long"]))
+    terms = cached(docs.sparkSession, terms.groupBy(*by, "term").agg(F.sum("df").alias("df"), F.sum("dl").alias("dl")), "vocabulary")
+    stats = terms.where("term is null").select(*by, F.col("df").cast("double").alias("n"), (F.col("dl") / F.col("df")).alias("avgdl"))
+    known = terms.where("term is not null").select(*by, "term", "df")
+    idf = (known.join(stats, list(by)) if by else known.crossJoin(stats)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = idf.groupBy(*by).agg(F.avg("idf").alias("mean_idf"))
+    idf = idf.join(mean, list(by)) if by else idf.crossJoin(mean)
+    return idf.select(*by, "term", "n", "avgdl", F.when(F.col("idf") < 0, F.lit(epsilon) * F.col("mean_idf")).otherwise(F.col("idf")).alias("w"))
+
+
+def _lexical(sent, k: int | None, share: float | None, k1: float, b: float):
+    """Per batch of (group, doc_id, tokens): the pairs that share a term, the k best of each query or all; with `share`
+    also those that hold this share of the query's distinct terms. Nothing here needs the library on the executors."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        grouped, terms, heads, who, weight, distinct, mean = sent.value
+        q_count = len(distinct)
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool)]
+
+        def best(q, doc, score, much):
+            order = np.lexsort((doc, -score, q))
+            q, doc, score, much = q[order], doc[order], score[order], much[order]
+            if k is not None:
+                first = np.flatnonzero(np.diff(q, prepend=-1))
+                keep = (np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) < k) | much
+                q, doc, score, much = q[keep], doc[keep], score[keep], much[keep]
+            return [q, doc, score, much]
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                tokens, group, ids = part.column(2), part.column(0), part.column(1).to_numpy(zero_copy_only=False)
+                length = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                row = np.repeat(np.arange(len(length)), length)
+                named = pc.binary_join_element_wise(group.take(pa.array(row)), tokens.flatten(), "\x1f") if grouped else tokens.flatten()
+                found = pc.index_in(named, value_set=terms)
+                ok = found.is_valid().to_numpy(zero_copy_only=False)
+                key = row[ok] * len(terms) + found.drop_null().to_numpy()
+                key, tf = np.unique(key, return_counts=True)
+                row, term = key // max(1, len(terms)), key % max(1, len(terms))
+                n = heads[term + 1] - heads[term]
+                spot = np.repeat(heads[term] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                q, r, tf = who[spot], np.repeat(row, n), np.repeat(tf, n)
+                value = weight[spot] * (tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[r] / mean[q])))
+                where = q * len(length) + r  # at most QUERY_SLICE queries times the documents of the part
+                total, shared = np.bincount(where, value), np.bincount(where)
+                pair = np.flatnonzero(shared)
+                score, shared = np.round(total[pair], 6), shared[pair]
+                q, r = pair // len(length), pair % len(length)
+                much = shared >= share * distinct[q] if share is not None else np.zeros(len(q), bool)
+                new = best(q, ids[r].astype(np.int64), score, much)
+                if k is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in new], names=["q", "doc_id", "score", "much"])
+                else:
+                    held = best(*(np.concatenate(x) for x in zip(held, new, strict=True)))
+        if k is not None and q_count:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["q", "doc_id", "score", "much"])
+
+    return run
+
+
+def bm25(docs: DataFrame, queries: DataFrame, by: Sequence[str] = (), k1: float = K1, b: float = B, epsilon: float = EPSILON, k: int | None = None, share: float | None = None) -> DataFrame:
+    """Okapi BM25 of every (query, document) that share a term: by, query_id, doc_id, score rounded to 6 places.
 
     Documents without words count in N and the mean length. A negative idf becomes epsilon times the mean idf over the
     vocabulary before that. A term the query repeats counts repeatedly. by: compute it apart in each group.
+
+    k: only pairs that can be among the k best of their query, which keeps what leaves a task bounded. share: adds the
+    column `much`, and keeps, whatever k is, the pairs where the document holds this share of the query's distinct terms.
+
+    The corpus is not shuffled: terms are counted and scored where a document lies, against weights of the queries' terms
+    that are broadcast in slices.
     """
     by = list(by)
-    post = postings(docs, by)
-    sizes = docs.select(*by, F.size(T.tokens(F.col("text"))).cast("double").alias("dl"), "doc_id")
-    stats = sizes.groupBy(*by).agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))
-    df = post.groupBy(*by, "term").agg(F.count("*").cast("double").alias("df"))
-    idf = df.join(F.broadcast(stats), by) if by else df.crossJoin(F.broadcast(stats))
-    idf = idf.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = idf.groupBy(*by).agg(F.avg("idf").alias("mean_idf"))
-    asked = queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    wanted = idf.join(asked, "term")
-    wanted = (wanted.join(F.broadcast(mean), by) if by else wanted.crossJoin(F.broadcast(mean))).withColumn("w", F.when(F.col("idf") < 0, F.lit(epsilon) * F.col("mean_idf")).otherwise(F.col("idf")) * F.col("qtf"))
-    hits = wanted.join(post, [*by, "term"]).join(sizes, [*by, "doc_id"])
-    part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy(*by, "query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    spark = docs.sparkSession
+    group = F.concat_ws("\x1e", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by]) if by else F.lit("")
+    words = vocabulary(docs, by, epsilon, group)
+    tokens = docs.where("doc_id is not null").select(group.alias("group"), F.col("doc_id").cast("long").alias("doc_id"), T.tokens(F.col("text")).alias("tokens"))
+    out = None
+    for part in in_slices(queries, "query_id"):
+        asked = part.select(F.col("query_id").cast("long").alias("query_id"), F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+        size = {r["query_id"]: r["n"] for r in asked.groupBy("query_id").agg(F.count("*").alias("n")).collect()} if share is not None else {}
+        asked = words.join(asked, "term").select(*by, group.alias("group"), "query_id", "term", "avgdl", (F.col("w") * F.col("qtf")).alias("w"))
+        rows = asked.toArrow().combine_chunks().to_pandas().sort_values(["group", "term", "query_id"])
+        if not len(rows):
+            continue
+        ids = rows[[*by, "group", "query_id", "avgdl"]].drop_duplicates(["group", "query_id"]).reset_index(drop=True)
+        who = rows.merge(ids.assign(q=ids.index)[["group", "query_id", "q"]], on=["group", "query_id"], how="left")
+        named = (who["group"] + "\x1f" + who["term"] if by else who["term"]).to_numpy()
+        first = [0, *(i for i in range(1, len(named)) if named[i] != named[i - 1])]
+        sent = spark.sparkContext.broadcast((bool(by), pa.array(named[first], pa.string()), np.append(first, len(named)), who["q"].to_numpy(), who["w"].to_numpy(), np.array([size.get(i, 0) for i in ids["query_id"]]), ids["avgdl"].to_numpy()))
+        scored = tokens.mapInArrow(_lexical(sent, k, share, k1, b), "q long, doc_id long, score double, much boolean")
+        names = spark.createDataFrame(pa.Table.from_pandas(ids.assign(q=ids.index)[["q", *by, "query_id"]], preserve_index=False))
+        scored = scored.join(names, "q").select(*by, "query_id", "doc_id", "score", *(["much"] if share is not None else []))
+        out = scored if out is None else out.unionByName(scored)
+    if out is None:
+        kinds = dict(docs.dtypes)
+        return spark.createDataFrame([], ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "query_id long, doc_id long, score double", *(["much boolean"] if share is not None else [])]))
+    return out
 
 
 def zero_filled(ranked: DataFrame, docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -62,18 +190,73 @@ def zero_filled(ranked: DataFrame, docs: DataFrame, queries: DataFrame, k: int)
     return top_k(ranked.select("query_id", "doc_id", "score").unionByName(spare), k)
 
 
-def exact(docs: DataFrame, queries: DataFrame, score: Callable[[Column, Column], Column], k: int, higher: bool = True) -> DataFrame:
-    """Every query against every document (doc_id, vec), itself excepted; the k best. Queries (query_id, qvec) are a
-    stated set; they are broadcast in slices of bounded size, so the corpus is scanned in place and never shuffled."""
-    total = queries.count()
-    slices = -(-total // QUERY_SLICE) or 1
+def _product(sent, metric: str, k: int, width: int):
+    """Per task the k best documents of each query, by blocks of a matrix product. Nothing here needs the library on the
+    executors."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        asked, q = sent.value
+        sign = 1 if metric == "l2" else -1
+
+        def best(who, doc, score):
+            order = np.lexsort((doc, sign * score, who))
+            who, doc, score = who[order], doc[order], score[order]
+            first = np.flatnonzero(np.diff(who, prepend=-1))
+            keep = np.arange(len(who)) - np.repeat(first, np.diff(np.append(first, len(who)))) < k
+            return [who[keep], doc[keep], score[keep]]
+
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        step = max(1, (1 << 22) // max(1, len(q) * (width if metric == "max_sim" else 1)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                ids = part.column(0).to_numpy()
+                x = part.column(1).flatten().to_numpy().reshape(len(ids), -1)
+                if metric == "ip":
+                    s = q @ x.T
+                elif metric == "l2":
+                    s = np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * (q @ x.T), 0)
+                else:
+                    a, b = q.reshape(len(q), -1, width), x.reshape(len(x), -1, width)
+                    s = sum(np.einsum("qd,nkd->qnk", a[:, i], b, optimize=True).max(2) for i in range(a.shape[1]))
+                s = np.round(s, 6)
+                key = sign * s
+                key[asked[:, None] == ids[None, :]] = np.inf
+                if len(ids) > k:
+                    who, i = np.nonzero((key <= np.partition(key, k - 1, axis=1)[:, k - 1 : k]) & np.isfinite(key))
+                else:
+                    who, i = np.nonzero(np.isfinite(key))
+                held = best(*(np.concatenate(y) for y in zip(held, best(who, ids[i], s[who, i]), strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(asked[held[0]], pa.int64()), pa.array(held[1], pa.int64()), pa.array(held[2])], names=["query_id", "doc_id", "score"])
+
+    return run
+
+
+def exact(docs: DataFrame, queries: DataFrame, metric: str, k: int, width: int = 1) -> DataFrame:
+    """Every query against every document (doc_id, vec), itself excepted; the k best, scores rounded to 6 places.
+
+    metric: `ip` (inner product), `l2` (squared distance, smaller is better) or `max_sim` (late interaction of vectors that
+    are rows of `width` numbers each, laid end to end). Queries (query_id, qvec) are a stated set; they are broadcast in
+    slices of bounded size, so the corpus is scanned in place and never shuffled, and a task returns k rows for a query.
+    Rows without an id, without a vector or with a null in it take no part.
+    """
+    whole = lambda v: F.col(v).isNotNull() & F.forall(v, lambda e: e.isNotNull())
+    docs = docs.where(F.col("doc_id").isNotNull() & whole("vec")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("vec").cast("array<double>").alias("vec"))
+    queries = queries.where(F.col("query_id").isNotNull() & whole("qvec")).select(F.col("query_id").cast("long").alias("query_id"), F.col("qvec").cast("array<double>").alias("qvec"))
     best = None
-    for s in range(slices):
-        part = queries if slices == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == s)
-        scored = docs.join(F.broadcast(part), F.col("doc_id") != F.col("query_id")).select("query_id", "doc_id", F.round(score(F.col("qvec"), F.col("vec")), 6).alias("score"))
-        found = top_k(scored, k, higher)
+    for part in in_slices(queries, "query_id"):
+        rows = part.toArrow().combine_chunks()
+        if not rows.num_rows:
+            continue
+        q = np.array(rows.column("qvec").to_pylist(), float)
+        sent = docs.sparkSession.sparkContext.broadcast((rows.column("query_id").to_numpy(), q))
+        found = docs.where(F.size("vec") == q.shape[1]).mapInArrow(_product(sent, metric, k, width), "query_id long, doc_id long, score double")
+        found = top_k(found, k, higher=metric != "l2")
         best = found if best is None else best.unionByName(found)
-    return best
+    return docs.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank long") if best is None else best
 
 
 def mean_pooled(df: DataFrame, group: str, vec: str) -> DataFrame:
@@ -84,15 +267,19 @@ def mean_pooled(df: DataFrame, group: str, vec: str) -> DataFrame:
 
 def rerank_pool(pool: DataFrame, docs: DataFrame, queries: DataFrame, score: Callable[[Column, Column], Column], higher: bool = True) -> DataFrame:
     """Score only the pool's (query_id, doc_id) pairs by vectors, and rank them anew; native_rank stays for comparison."""
-    scored = pool.join(docs, "doc_id").join(F.broadcast(queries), "query_id").withColumn("score", F.round(score(F.col("qvec"), F.col("vec")), 6))
+    scored = pool.join(docs, "doc_id").join(queries, "query_id").withColumn("score", F.round(score(F.col("qvec"), F.col("vec")), 6))
     order = F.col("score").desc() if higher else F.col("score").asc()
     return scored.select("query_id", "doc_id", F.col("rank").alias("native_rank"), "score", F.row_number().over(Window.partitionBy("query_id").orderBy(order, "doc_id")).cast("long").alias("rank"))
 
 
+def word_overlap(q: Column, d: Column) -> Column:
+    """The share of a query's distinct words (an array) that the document's hold."""
+    return F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.array_intersect(q, d)) / F.greatest(F.size(q), F.lit(1)))
+
+
 def lexical_overlap(query: Column, document: Column) -> Column:
     """A stand-in for a cross-encoder: the share of the query's distinct words that the document holds."""
-    q, d = F.array_distinct(T.tokens(query)), F.array_distinct(T.tokens(F.coalesce(document, F.lit(""))))
-    return F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.array_intersect(q, d)) / F.greatest(F.size(q), F.lit(1)))
+    return word_overlap(F.array_distinct(T.tokens(query)), F.array_distinct(T.tokens(F.coalesce(document, F.lit("")))))
 
 
 def rerank_head(ranked: DataFrame, scores: DataFrame, head: int) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.sources.files import cached
+
 
 def confusion(df: DataFrame, a: str, b: str, classes: Sequence[int]) -> DataFrame:
     """Rows of a, columns of b, absent cells 0; null labels are left out."""
@@ -39,8 +41,15 @@ def average_rank(df: DataFrame, value: str, by: Sequence[str], out: str) -> Data
     """Ranks from 1, ties sharing the mean of theirs. Equal values are counted before they are ranked."""
     by = list(by)
     counts = df.groupBy(*by, value).agg(F.count("*").alias("_c"))
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn(out, F.sum("_c").over(w) - (F.col("_c") - 1) / 2.0).drop("_c")
+    before = F.lit(0)
+    if not by:
+        # ranges of values in partitions of their own, written so that they stay as they are; each starts where the last ended
+        counts = cached(df.sparkSession, counts.repartitionByRange(F.col(value)).withColumn("_part", F.spark_partition_id()), "ranks")
+        starts = counts.groupBy("_part").agg(F.sum("_c").alias("_n"))  # as many rows as partitions
+        starts = starts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
+        counts, before = counts.join(F.broadcast(starts), "_part"), F.col("_before")
+    w = Window.partitionBy(*(by or ["_part"])).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn(out, before + F.sum("_c").over(w) - (F.col("_c") - 1) / 2.0).select(*by, value, out)
     return df.join(counts, [*by, value])
 
 

@@ -4,17 +4,45 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.functions import vector as V
+from corvane.operators.retrieval import in_slices
 
 
 def template_similarity(vectors: DataFrame, templates: DataFrame) -> DataFrame:
-    """doc_id and its largest cosine to a template (tvec); templates are a stated list of a few hundred rows."""
-    few = F.broadcast(templates.select("tvec"))
-    return vectors.crossJoin(few).groupBy("doc_id").agg(F.round(F.max(V.cosine(F.col("vec"), F.col("tvec"))), 6).alias("similarity"))
+    """doc_id and its largest cosine to a template (tvec); templates are a stated list, broadcast in slices of a bounded size.
+
+    A matrix product for each batch of vectors, of which one number each is kept. A zero vector has cosine 0.
+    """
+
+    def best(sent):
+        def run(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            def unit(x):
+                n = np.sqrt((x * x).sum(1, keepdims=True))
+                return x / np.where(n == 0, 1, n)
+
+            few = unit(sent.value)
+            for batch in batches:
+                if batch.num_rows:
+                    x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((unit(x) @ few.T).max(1))], names=["doc_id", "similarity"])
+
+        return run
+
+    rows, out = vectors.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("vec").cast("array<double>").alias("vec")), None
+    for part in in_slices(templates, "tvec"):
+        few = np.array(part.select(F.col("tvec").cast("array<double>").alias("v")).toArrow().column("v").to_pylist(), float)
+        if len(few):
+            found = rows.mapInArrow(best(vectors.sparkSession.sparkContext.broadcast(few)), "doc_id long, similarity double")
+            out = found if out is None else out.unionByName(found)
+    out = rows.select("doc_id", F.lit(None).cast("double").alias("similarity")) if out is None else out
+    return out.groupBy("doc_id").agg(F.round(F.max("similarity"), 6).alias("similarity"))
 
 
 def verdict(text: Column, similarity: Column, phrases: Sequence[str], least_words: int = 15, boilerplate_from: float = 0.97) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions import vector as V
 from corvane.operators.retrieval import bm25, exact, top_k
 
 DEPTH = 100
@@ -31,16 +30,17 @@ def vector_queries(t) -> DataFrame:
     return t("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"), F.col("label").alias("qlabel"))
 
 
-def half_l2(q, v):
-    return V.squared_l2(F.slice(q, 1, 32), F.slice(v, 1, 32))
+def halves(df, vec: str) -> DataFrame:
+    """The first half of each vector: a channel of its own, so that fusion sees two different rankings."""
+    return df.withColumn(vec, F.slice(vec, 1, 32))
 
 
 def ip_channel(t, k: int = DEPTH) -> DataFrame:
-    return exact(vectors(t).select("doc_id", "vec"), vector_queries(t).select("query_id", "qvec"), V.dot, k)
+    return exact(vectors(t).select("doc_id", "vec"), vector_queries(t).select("query_id", "qvec"), "ip", k)
 
 
 def l2_channel(t, k: int = DEPTH) -> DataFrame:
-    return exact(vectors(t).select("doc_id", "vec"), vector_queries(t).select("query_id", "qvec"), half_l2, k, higher=False)
+    return exact(halves(vectors(t).select("doc_id", "vec"), "vec"), halves(vector_queries(t).select("query_id", "qvec"), "qvec"), "l2", k)
 
 
 def ranked(t) -> DataFrame:
@@ -53,7 +53,7 @@ def graded(t) -> DataFrame:
     d = t("embeddings").select(F.col("vec_id").alias("doc_id"), "label")
     q = vector_queries(t).select("query_id", F.explode(F.array(F.struct(F.col("qlabel").alias("label"), F.lit(2).alias("gain")), F.struct(((F.col("qlabel") + 1) % 10).alias("label"), F.lit(1).alias("gain")))).alias("g"))
     q = q.select("query_id", "g.label", "g.gain")
-    return d.join(F.broadcast(q), "label").where("doc_id <> query_id").select("query_id", "doc_id", "gain")
+    return d.join(q, "label").where("doc_id <> query_id").select("query_id", "doc_id", "gain")
 
 
 def relevant(t) -> DataFrame:
@@ -61,7 +61,7 @@ def relevant(t) -> DataFrame:
 
 
 def lexical(t, k: int = DEPTH) -> DataFrame:
-    return top_k(bm25(docs(t).select("doc_id", "text"), benchmark(t)), k)
+    return top_k(bm25(docs(t).select("doc_id", "text"), benchmark(t), k=k), k)
 
 
 def judges(t) -> DataFrame:

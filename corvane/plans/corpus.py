@@ -136,7 +136,7 @@ def p11_judge_prompt(spark, t):
 
 
 @query("""SELECT event_id, CASE WHEN event_type = 'error' THEN -1 ELSE (props->>'k')::INTEGER % 3 END AS label,
-  CASE WHEN event_type = 'error' THEN 'UNPARSEABLE' ELSE event_type END AS reason FROM events""")
+  CASE WHEN event_type = 'error' THEN 'UNPARSEABLE: no answer' ELSE event_type END AS reason FROM events""")
 def p12_judge_reply(spark, t):
     k = F.get_json_object("props", "$.k").cast("int") % 3
     reply = F.when(F.col("event_type") == "error", "no answer").otherwise(F.concat(F.lit('Sure: {"label": '), k.cast("string"), F.lit(', "reason": "'), "event_type", F.lit('"} done')))
@@ -207,12 +207,12 @@ def d1_first_of_each_text(spark, t):
     return D.first_by(marks, ["m"], [F.col("doc_id")]).select("source", "doc_id")
 
 
-@query("""SELECT doc_id, label, priority FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY priority) AS n FROM (
+@query("""SELECT doc_id, label, priority FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY priority, label) AS n FROM (
   SELECT doc_id, quality AS label, 0 AS priority FROM labels WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, toxic, 1 FROM labels)) WHERE n = 1""")
 def d2_older_label_wins(spark, t):
     old = t("labels").where("doc_id % 3 = 0").select("doc_id", F.col("quality").alias("label"), F.lit(0).alias("priority"))
     new = t("labels").select("doc_id", F.col("toxic").alias("label"), F.lit(1).alias("priority"))
-    return D.first_by(old.unionByName(new), ["doc_id"], [F.col("priority")])
+    return D.first_by(old.unionByName(new), ["doc_id"], [F.col("priority"), F.col("label")])
 
 
 @query("""WITH f AS (SELECT user_id, event_type, min(event_id) AS pos FROM events GROUP BY ALL)

@@ -18,18 +18,13 @@ from corvane.sources.paged import PagedSearch
 from corvane.streaming import ingest
 
 
-@query()
+@query("""SELECT 'q0' AS query, i AS doc_id, 1.0::DOUBLE / (1 + i) AS score, (i + 1)::INTEGER AS rank, i::INTEGER AS position FROM range(40) r(i)
+UNION ALL SELECT 'q1', i, 1.0::DOUBLE / (1 + i), (i + 1)::INTEGER, i::INTEGER FROM range(7) r(i)""")
 def s8_s9_paged_search(spark, t):
-    """Cursor paging over a local file that stands for the remote service, duplicates across pages removed."""
-    import os
-    import tempfile
-
+    """Cursor paging over rows that stand for the remote service, duplicates across pages removed."""
     rows = {"q0": [{"doc_id": i % 40, "score": 1 / (1 + i)} for i in range(60)], "q1": [{"doc_id": i, "score": 1 / (1 + i)} for i in range(7)]}
-    path = os.path.join(tempfile.mkdtemp(prefix="corvane-"), "pages.json")
-    with open(path, "w") as f:
-        json.dump(rows, f)
     spark.dataSource.register(PagedSearch)
-    return spark.read.format("paged_search").options(queries=json.dumps(list(rows)), fetch="corvane.sources.paged:json_pages", file=path, size="25", target="50").load()
+    return spark.read.format("paged_search").options(queries=json.dumps(list(rows)), fetch="corvane.sources.paged:json_pages", rows=json.dumps(rows), size="25", target="50").load()
 
 
 @query("SELECT event_type, user_id, count(*) AS n FROM events WHERE event_type IN ('view', 'click') AND value >= 5 AND user_id NOT IN (1, 2, 3) GROUP BY ALL")
@@ -153,11 +148,10 @@ def l11_rank_band_export(spark, t):
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 20 = 0), d AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v FROM embeddings WHERE label >= 5),
 s AS (SELECT query_id, doc_id, round(list_dot_product(qv, v), 6) AS score FROM q, d WHERE query_id <> doc_id) SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10""")
 def l12_independent_pool(spark, t):
-    from corvane.functions import vector as V
     from corvane.operators.retrieval import exact
 
     fresh = B.vectors(t).where("label >= 5").select("doc_id", "vec")
-    return exact(fresh, B.vector_queries(t).select("query_id", "qvec"), V.dot, 10).select("query_id", "doc_id", "rank")
+    return exact(fresh, B.vector_queries(t).select("query_id", "qvec"), "ip", 10).select("query_id", "doc_id", "rank")
 
 
 @query(f"WITH {B.JUDGES}, m AS (SELECT a, (p >= 0.5)::BIGINT AS s FROM j) SELECT count(*) AS n, round(count(*) FILTER (a = s) / count(*), 6) AS accuracy, round((SELECT max(c) FROM (SELECT count(*) AS c FROM m GROUP BY a)) / count(*), 6) AS majority FROM m")

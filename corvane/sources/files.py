@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,12 +13,21 @@ RANKED_SCHEMA = "channel string, query_id long, doc_id long, score double, rank
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder named by spark.checkpoint.dir, which all executors share; a temporary one if unset."""
+    """A fresh path in the folder named by spark.checkpoint.dir, which all executors share. Where it is unset a temporary
+    one is set, in local mode only: on a cluster each executor would write to a disk of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^,]*(,\d+)?\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="corvane-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/corvane-scratch/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/corvane-scratch/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all that this application has written to the scratch folder. Results not yet written elsewhere are lost."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch(spark, "x")).getParent()
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -19,9 +19,12 @@ class Quota(Exception):
 
 
 def json_pages(query: str, cursor: str | None, size: int, options: dict) -> tuple[list[dict], str | None]:
-    """Pages of a file {query: [{doc_id, score}, ...]}."""
-    with open(options["file"]) as f:
-        rows = json.load(f).get(query, [])
+    """Pages of {query: [{doc_id, score}, ...]}, given as JSON text (`rows`) or in a file that every executor can open."""
+    if "rows" in options:
+        rows = json.loads(options["rows"]).get(query, [])
+    else:
+        with open(options["file"]) as f:
+            rows = json.load(f).get(query, [])
     at = int(cursor or 0)
     return rows[at : at + size], str(at + size) if at + size < len(rows) else None
 

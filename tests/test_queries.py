@@ -49,9 +49,9 @@ def test_query(spark, con, name):
 
 
 def test_whole_judgements_and_tiers(spark):
-    tiers = {r.tier for r in QUERIES["r2_bm25_all_tiers"](spark, SF).select("tier").distinct().collect()}
+    tiers = {r.tier for r in QUERIES["r2_bm25_by_tier"](spark, SF).select("tier").distinct().collect()}
     assert tiers == {r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").select("lang").distinct().collect()}
-    whole = QUERIES["e1_e4_binary_metrics_all_queries"](spark, SF).where("k = 100")
+    whole = QUERIES["e1_e4_binary_metrics"](spark, SF).where("k = 100")
     assert whole.where("query_id % 40 <> 0").agg({"recall": "max"}).first()[0] > 0
 
 
