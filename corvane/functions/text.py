@@ -38,6 +38,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
+def tokens_with_marks(text: Column) -> Column:
+    """Words, and each mark that stands between them as a token of its own."""
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD + r"|[^\s\p{L}\p{N}]"), F.lit(0))
+
+
 def word_count(text: Column) -> Column:
     trimmed = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
     return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, " "))).cast("long")

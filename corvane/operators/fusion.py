@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Sequence
+from itertools import product
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,6 +133,27 @@ def leaderboard(df: DataFrame, columns: Sequence[str], settings: Sequence[dict],
     return out.orderBy(F.desc("value"), "setting")
 
 
+def random_settings(space: dict[str, Sequence], n: int, seed: int = 0) -> list[dict]:
+    """n different settings drawn from the values of each parameter; all of them if there are no more."""
+    every = [dict(zip(space, values, strict=True)) for values in product(*space.values())]
+    return random.Random(seed).sample(every, min(n, len(every)))
+
+
+def pairwise_scores(features: DataFrame, pairs: DataFrame, columns: Sequence[str], reg: float = 0.01) -> DataFrame:
+    """Learn a linear scorer from (query_id, positive, negative) pairs and score every row of features (query_id, doc_id).
+
+    The loss is logistic in the difference of the pair's scores; each pair counts both ways round, so there is no bias.
+    """
+    of = lambda side: features.select("query_id", F.col("doc_id").alias(side), F.array(*[F.col(c).cast("double") for c in columns]).alias(f"{side}_x"))
+    both = pairs.join(of("positive"), ["query_id", "positive"]).join(of("negative"), ["query_id", "negative"])
+    gap = F.zip_with("positive_x", "negative_x", lambda a, b: a - b)
+    rows = both.select(F.explode(F.array(F.struct(gap.alias("x"), F.lit(1.0).alias("label")), F.struct(F.transform(gap, lambda v: -v).alias("x"), F.lit(0.0).alias("label")))).alias("r"))
+    rows = rows.select(array_to_vector("r.x").alias("features"), "r.label")
+    model = LogisticRegression(fitIntercept=False, regParam=reg, maxIter=50).fit(rows)
+    score = sum((F.col(c).cast("double") * float(w) for c, w in zip(columns, model.coefficients, strict=True)), F.lit(0.0))
+    return features.withColumn("score", score)
+
+
 def coefficients(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Logistic coefficients on standardised features, by absolute size."""
     ready = VectorAssembler(inputCols=list(columns), outputCol="raw").transform(balanced(df)).withColumn("label", F.col("label").cast("double"))

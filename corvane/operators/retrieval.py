@@ -68,13 +68,13 @@ def _counted():
     return run
 
 
-def vocabulary(docs: DataFrame, by: Sequence[str], epsilon: float, group: Column) -> DataFrame:
+def vocabulary(docs: DataFrame, by: Sequence[str], epsilon: float, group: Column, tokenize: Callable[[Column], Column]) -> DataFrame:
     """by, term, w: Okapi weights. A negative idf becomes epsilon times the mean idf over the vocabulary before that.
 
     Also n and avgdl of the group. Texts are tokenised once; what is shuffled is counts of terms, combined before.
     """
     kinds = dict(docs.dtypes)
-    words = docs.select(group.alias("_group"), *by, F.coalesce(T.tokens(F.col("text")), F.array().cast("array<string>")).alias("_words"))
+    words = docs.select(group.alias("_group"), *by, F.coalesce(tokenize(F.col("text")), F.array().cast("array<string>")).alias("_words"))
     terms = words.mapInArrow(_counted(), ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "term string, df long, dl long"]))
     terms = cached(docs.sparkSession, terms.groupBy(*by, "term").agg(F.sum("df").alias("df"), F.sum("dl").alias("dl")), "vocabulary")
     stats = terms.where("term is null").select(*by, F.col("df").cast("double").alias("n"), (F.col("dl") / F.col("df")).alias("avgdl"))
@@ -140,7 +140,7 @@ def _lexical(sent, k: int | None, share: float | None, k1: float, b: float):
     return run
 
 
-def bm25(docs: DataFrame, queries: DataFrame, by: Sequence[str] = (), k1: float = K1, b: float = B, epsilon: float = EPSILON, k: int | None = None, share: float | None = None) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, by: Sequence[str] = (), k1: float = K1, b: float = B, epsilon: float = EPSILON, k: int | None = None, share: float | None = None, tokenize: Callable[[Column], Column] = T.tokens) -> DataFrame:
     """Okapi BM25 of every (query, document) that share a term: by, query_id, doc_id, score rounded to 6 places.
 
     Documents without words count in N and the mean length. A negative idf becomes epsilon times the mean idf over the
@@ -148,6 +148,7 @@ def bm25(docs: DataFrame, queries: DataFrame, by: Sequence[str] = (), k1: float
 
     k: only pairs that can be among the k best of their query, which keeps what leaves a task bounded. share: adds the
     column `much`, and keeps, whatever k is, the pairs where the document holds this share of the query's distinct terms.
+    tokenize: text to an array of terms; T.tokens_with_marks counts punctuation as well.
 
     The corpus is not shuffled: terms are counted and scored where a document lies, against weights of the queries' terms
     that are broadcast in slices.
@@ -155,11 +156,11 @@ def bm25(docs: DataFrame, queries: DataFrame, by: Sequence[str] = (), k1: float
     by = list(by)
     spark = docs.sparkSession
     group = F.concat_ws("\x1e", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by]) if by else F.lit("")
-    words = vocabulary(docs, by, epsilon, group)
-    tokens = docs.where("doc_id is not null").select(group.alias("group"), F.col("doc_id").cast("long").alias("doc_id"), T.tokens(F.col("text")).alias("tokens"))
+    words = vocabulary(docs, by, epsilon, group, tokenize)
+    tokens = docs.where("doc_id is not null").select(group.alias("group"), F.col("doc_id").cast("long").alias("doc_id"), tokenize(F.col("text")).alias("tokens"))
     out = None
     for part in in_slices(queries, "query_id"):
-        asked = part.select(F.col("query_id").cast("long").alias("query_id"), F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+        asked = part.select(F.col("query_id").cast("long").alias("query_id"), F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
         size = {r["query_id"]: r["n"] for r in asked.groupBy("query_id").agg(F.count("*").alias("n")).collect()} if share is not None else {}
         asked = words.join(asked, "term").select(*by, group.alias("group"), "query_id", "term", "avgdl", (F.col("w") * F.col("qtf")).alias("w"))
         rows = asked.toArrow().combine_chunks().to_pandas().sort_values(["group", "term", "query_id"])

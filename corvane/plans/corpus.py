@@ -10,10 +10,18 @@ from corvane.operators import dedup as D
 from corvane.plans import base as B
 from corvane.plans.registry import query
 from corvane.sources import files as S
+from corvane.sources import workbook as W
 
 # ---- sources and sinks
 
 
+@query("SELECT item_id, text, length(text) AS chars FROM benchmark")
+def s1_workbook_round_trip(spark, t):
+    path = S.scratch(spark, "review") + ".xlsx"
+    W.write_workbook(t("benchmark").select("item_id", "text", F.length("text").alias("chars")), path)
+    return W.read_workbook(spark, path, "item_id long, text string, chars long")
+
+
 @query("SELECT doc_id, lang, source, n_chars, text FROM documents")
 def s2_csv_round_trip(spark, t):
     path = S.scratch(spark, "csv")
@@ -109,6 +117,11 @@ def p6_tokens(spark, t):
     return postings(t("documents"))
 
 
+@query(r"SELECT doc_id, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')) AS tokens FROM documents")
+def p6_tokens_with_marks(spark, t):
+    return t("documents").select("doc_id", F.size(T.tokens_with_marks(F.col("text"))).cast("long").alias("tokens"))
+
+
 @query(r"SELECT doc_id, len(regexp_extract_all(text, '[^ \t\n\r\f\x0B]+')) AS words FROM documents")
 def p7_word_count(spark, t):
     return t("documents").select("doc_id", T.word_count(F.col("text")).alias("words"))

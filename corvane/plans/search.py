@@ -249,12 +249,12 @@ def u7_fixed_logistic_score(spark, t):
 
 @query()
 def u7_logistic_group_cv(spark, t):
-    return U.cross_validated(_features(t), _COLUMNS, "logistic", 3).select("query_id", "doc_id", "label", "fold", "probability")
+    return U.cross_validated(cached(spark, _features(t), "features"), _COLUMNS, "logistic", 5).select("query_id", "doc_id", "label", "fold", "probability")
 
 
 @query()
 def u8_gbt_group_cv(spark, t):
-    return U.cross_validated(_features(t), _COLUMNS, "gbt", 2, iterations=5, depth=3).select("query_id", "doc_id", "label", "fold", "probability")
+    return U.cross_validated(cached(spark, _features(t), "features"), _COLUMNS, "gbt", 5).select("query_id", "doc_id", "label", "fold", "probability")
 
 
 @query("SELECT query_id, count(DISTINCT ('0x' || substr(md5('0:' || query_id), 1, 8))::BIGINT % 5) AS folds FROM (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 20 = 0) GROUP BY query_id")
@@ -267,12 +267,13 @@ def u9_group_folds(spark, t):
 @query()
 def u10_parameter_search(spark, t):
     value = lambda df: df.agg(F.round(1 - F.avg((F.col("probability") - F.col("label")) * (F.col("probability") - F.col("label"))), 4).alias("value"))
-    return U.leaderboard(_features(t), _COLUMNS, [{"reg": 0.01}, {"reg": 0.1}], value, folds=2)
+    space = {"reg": [0.0, 0.001, 0.003, 0.01, 0.03, 0.1, 0.3], "max_iter": [10, 20, 50, 100]}
+    return U.leaderboard(cached(spark, _features(t), "features"), _COLUMNS, U.random_settings(space, 10), value, folds=3)
 
 
 @query()
 def u11_neural_fusion(spark, t):
-    return U.cross_validated(_features(t), _COLUMNS, "mlp", 2, hidden=6, max_iter=20).select("query_id", "doc_id", "label", "fold", "probability")
+    return U.cross_validated(cached(spark, _features(t), "features"), _COLUMNS, "mlp", 5, max_iter=80).select("query_id", "doc_id", "label", "fold", "probability")
 
 
 @query(f"""WITH {B.DENSE}, l AS (SELECT query_id, doc_id, coalesce(gain, 0) AS gain FROM ip LEFT JOIN graded USING (query_id, doc_id)),
@@ -283,6 +284,14 @@ def u12_training_pairs(spark, t):
     return U.training_pairs(labelled, 3)
 
 
+@query(f"WITH {B.DENSE}, {_FEATURES} SELECT count(*) AS rows, count(*) AS scored FROM feat")
+def u12_pairwise_training(spark, t):
+    """A linear scorer trained on the pairs: that every row gets a finite score (what it learns is tested on made data)."""
+    f = cached(spark, _features(t), "features")
+    scored = U.pairwise_scores(f, u12_training_pairs(spark, t), _COLUMNS)
+    return scored.agg(F.count("*").alias("rows"), F.count(F.when(F.abs("score") < float("inf"), 1)).alias("scored"))
+
+
 @query()
 def u13_coefficients(spark, t):
     return U.coefficients(_features(t), _COLUMNS)

@@ -165,3 +165,57 @@ def test_rerank_keeps_recall_at_depth(spark):
     lists = ranked(spark, [("x", 1, d, 0.0, d) for d in range(1, 9)]).drop("channel")
     second = spark.createDataFrame([(1, d, float(d)) for d in range(1, 9)], "query_id long, doc_id long, second double")
     assert {r.doc_id for r in R.rerank_head(lists, second, 8).where("new_rank <= 8").collect()} == set(range(1, 9))
+
+
+@pytest.mark.parametrize(("kind", "params"), [("logistic", {}), ("gbt", {"iterations": 3, "depth": 3}), ("mlp", {"max_iter": 30, "hidden": 4})])
+def test_cross_validated_models(spark, kind, params):
+    import random
+
+    r = random.Random(4)
+    rows = [(q, d, float(y + r.gauss(0, 0.4)), r.random(), y) for q in range(12) for d in range(20) for y in [int(d < 7)]]
+    df = spark.createDataFrame(rows, "query_id long, doc_id long, a double, b double, label int").cache()
+    out = U.cross_validated(df, ["a", "b"], kind, 3, **params).collect()
+    assert len(out) == len(rows) and all(0 <= x.probability <= 1 for x in out)
+    assert all(len({x.fold for x in out if x.query_id == q}) == 1 for q in range(12))
+    good, bad = [x.probability for x in out if x.label == 1], [x.probability for x in out if x.label == 0]
+    assert sum(g > b for g in good for b in bad) >= 0.85 * len(good) * len(bad)
+
+
+def test_parameter_search_orders_settings(spark):
+    settings = U.random_settings({"reg": [0.01, 10.0], "max_iter": [20]}, 5)
+    assert len(settings) == 2 and U.random_settings({"x": range(100)}, 40, 1) == U.random_settings({"x": range(100)}, 40, 1)
+    df = spark.createDataFrame([(q, d, float(d % 2), d % 2) for q in range(6) for d in range(10)], "query_id long, doc_id long, a double, label int").cache()
+    value = lambda s: s.agg((1 - F.avg(F.abs(F.col("probability") - F.col("label")))).alias("value"))
+    board = U.leaderboard(df, ["a"], settings, value, folds=2).collect()
+    assert "0.01" in board[0].parameters and board[0].value > board[1].value
+
+
+def test_bpref_and_ndcg_keep_queries_without_results(spark):
+    lists = ranked(spark, [("x", 1, 1, 0.0, 1)])
+    judged = spark.createDataFrame([(1, 1, 1), (2, 5, 1), (2, 6, 0), (3, 7, 0)], "query_id long, doc_id long, relevant int")
+    assert {r.query_id: r.bpref for r in E.bpref(lists, judged).collect()} == {1: 1.0, 2: 0.0, 3: None}
+    gains = judged.select("query_id", "doc_id", F.col("relevant").alias("gain"))
+    assert {r.query_id: r.ndcg for r in E.graded_ndcg(lists, gains, (5,)).collect()} == {1: 1.0, 2: 0.0, 3: 0.0}
+
+
+def test_workbook_round_trip(spark, tmp_path):
+    from corvane.sources.workbook import read_workbook, write_workbook
+
+    rows = [(1, "a & <b>\n ü", 0.5), (2, None, None), (3, "", -1e-7), (None, " spaced ", 2.0)]
+    write_workbook(spark.createDataFrame(rows, "id long, text string, x double"), path := f"file://{tmp_path}/r.xlsx")
+    got = [tuple(r) for r in read_workbook(spark, path, "x double, text string, id long, none string").collect()]
+    assert got == [(x, t, i, None) for i, t, x in rows]
+    with pytest.raises(ValueError):
+        write_workbook(spark.range(5), path, rows=4)
+
+
+def test_pairwise_scores_put_pairs_in_order(spark):
+    import random
+
+    r = random.Random(9)
+    rows = [(q, d, (d < 5) + r.gauss(0, 0.2) + 10 * q, r.random()) for q in range(8) for d in range(15)]
+    df = spark.createDataFrame(rows, "query_id long, doc_id long, a double, b double")
+    pairs = spark.createDataFrame([(q, g, b) for q in range(8) for g in range(5) for b in range(5, 15)], "query_id long, positive long, negative long")
+    score = {(x.query_id, x.doc_id): x.score for x in U.pairwise_scores(df, pairs, ["a", "b"]).collect()}
+    assert len(score) == len(rows)
+    assert sum(score[q, g] > score[q, b] for q in range(8) for g in range(5) for b in range(5, 15)) >= 0.95 * 8 * 50
