@@ -275,7 +275,7 @@ def rerank_pool(pool: DataFrame, docs: DataFrame, queries: DataFrame, score: Cal
 
 def word_overlap(q: Column, d: Column) -> Column:
     """The share of a query's distinct words (an array) that the document's hold."""
-    return F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.array_intersect(q, d)) / F.greatest(F.size(q), F.lit(1)))
+    return F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.array_intersect(d, q)) / F.greatest(F.size(q), F.lit(1)))
 
 
 def lexical_overlap(query: Column, document: Column) -> Column:
