@@ -420,6 +420,7 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     near = written(spark, near, "jaccard-candidates")
     posted = scanned.where("heavy").select(F.col("a").alias("sig"), F.col("b").alias("sid"))
     lists = posted.groupBy("sig").agg(F.min("sid").alias("centre"), F.count("*").alias("len"), F.bit_xor(F.xxhash64("sid")).alias("who")).where("len > 1")
+    lists = written(spark, lists, "jaccard-heavy-lists")
     tied = posted.join(lists, "sig").where("sid <> centre").select(F.col("centre").alias("a"), F.col("sid").alias("b")).distinct()
     candidate = components(near.unionByName(tied), "a", "b").select(F.col("node").alias("sid"), F.col("component").alias("comp"))
     nodes = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("mult"))
