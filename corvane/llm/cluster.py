@@ -49,9 +49,14 @@ def _own(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/corvane-tables/{spark.sparkContext.applicationId}"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder. sweep() removes what is written there."""
+    return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors. sweep() removes it."""
-    path = f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 from corvane.llm.ann import nearest
 from corvane.llm.bpe import round_trip
 from corvane.llm.chat import CONTROLS, digests, formatted
+from corvane.llm.cluster import scratch
 from corvane.llm.jaccard import jaccard_components
 from corvane.llm.neardup import near_duplicates
 from corvane.llm.packing import packed
 from corvane.llm.pii import pii_spans
 from corvane.llm.quality import quality
+from corvane.llm.resampling import BUCKETS, MIN_WORDS, PERCENT, SEED, resampled
 from corvane.llm.sharding import BUCKET_ROWS, MULTIPLIER, sharded
 from corvane.llm.toxicity import toxicity
+from corvane.llm.warc import read_warc, resolved, write_warc
+from corvane.llm.whitening import whitened
 
 #: Scores from which a document counts as toxic, and as good.
 TOXIC_FROM, GOOD_FROM = 0.3, 0.5
@@ -85,8 +89,26 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "archives")
+    write_warc(table(spark, sf_dir, "pages"), path)
+    return resolved(read_warc(spark, path, with_payload=False))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_byte_bpe, op4_chat_formatting, op5_ngram_jaccard_join, op6_embedding_near_dedup, op7_jump_sharding, op8_pii, op9_quality_classifier, op10_nearest_neighbours)}
+    every = (
+        op1_toxicity, op2_best_fit_packing, op3_byte_bpe, op4_chat_formatting, op5_ngram_jaccard_join, op6_embedding_near_dedup, op7_jump_sharding, op8_pii, op9_quality_classifier, op10_nearest_neighbours,
+        op11_embedding_whitening, op12_importance_resampling, op13_warc_reassembly,
+    )
+    return {f.__name__: f for f in every}
 
 
 def _escaped_sql(column: str) -> str:
@@ -169,5 +191,48 @@ SELECT id AS vec_id, coalesce(n, 0)::BIGINT AS n_links, min(m) AS component_id,
 FROM reached LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY x) ON id = x GROUP BY id, n"""
 
 
+_CRC_TABLE = "crc_table AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS crcs FROM (SELECT unnest(range(256)) AS i))"
+
+
+def _crc_sql(text: str) -> str:
+    """crc32 of a string's UTF-8 bytes, with crc_table in reach."""
+    digits = f"regexp_extract_all(hex(encode({text})), '..')"
+    value = "(strpos('0123456789ABCDEF', h[1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2]) - 1"
+    codes = f"list_prepend(4294967295::BIGINT, list_transform({digits}, lambda h: {value}))"
+    return f"xor(list_reduce({codes}, lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_RESAMPLING_SQL = f"""
+WITH {_CRC_TABLE}, d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+dw AS (SELECT doc_id, unnest(w) AS word FROM d), bw AS (SELECT unnest({_WORDS}) AS word FROM benchmark),
+known AS (SELECT word, {_crc_sql("word")} % {BUCKETS} AS bucket FROM (SELECT word FROM dw UNION SELECT word FROM bw), crc_table),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN known USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM bw JOIN known USING (word) GROUP BY bucket),
+gain AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dw) + {BUCKETS})::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM bw) + {BUCKETS})::DOUBLE)))::BIGINT AS gain
+  FROM (SELECT DISTINCT bucket FROM known) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)
+), weighed AS (SELECT doc_id, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM dw JOIN known USING (word) JOIN gain USING (bucket) GROUP BY doc_id),
+hashed AS (SELECT doc_id, list_reduce(list_prepend(0::BIGINT, list_transform(regexp_extract_all(sha256('{SEED}:' || doc_id)[1:8], '.'), lambda c: strpos('0123456789abcdef', c)::BIGINT - 1)), lambda a, b: a * 16 + b) AS h FROM d),
+scored AS (
+  SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM d LEFT JOIN weighed USING (doc_id) JOIN hashed USING (doc_id)
+), ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= {MIN_WORDS})
+SELECT scored.*, rank FROM scored LEFT JOIN (SELECT * FROM ranked WHERE rank <= (SELECT count(*) FROM scored WHERE n_features >= {MIN_WORDS}) * {PERCENT} // 100) USING (doc_id)"""
+
+_WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+h AS (SELECT *, upper(sha1(payload)) AS h, min(page_id) OVER (PARTITION BY payload) AS first FROM p),
+part AS (SELECT *, list_transform(range(4), lambda k: list_reduce(list_prepend(0::BIGINT, list_transform(regexp_extract_all(h[10 * k + 1:10 * k + 10], '.'), lambda c: strpos('0123456789ABCDEF', c)::BIGINT - 1)), lambda a, b: a * 16 + b)) AS forty FROM h)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((forty[i // 8 + 1] >> (35 - 5 * (i % 8))) & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM part"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_ngram_jaccard_join": _JACCARD_SQL, "op6_embedding_near_dedup": _NEAR_SQL, "op4_chat_formatting": _CHAT_SQL, "op7_jump_sharding": _SHARD_SQL}
+    return {
+        "op5_ngram_jaccard_join": _JACCARD_SQL, "op6_embedding_near_dedup": _NEAR_SQL, "op4_chat_formatting": _CHAT_SQL, "op7_jump_sharding": _SHARD_SQL,
+        "op12_importance_resampling": _RESAMPLING_SQL, "op13_warc_reassembly": _WARC_SQL,
+    }
