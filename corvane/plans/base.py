@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.operators.retrieval import bm25, exact, top_k
+from corvane.operators.lexical_index import index_of, search
+from corvane.operators.retrieval import exact, top_k
 
 DEPTH = 100
 KS = (5, 10, 20, 50, 100)
@@ -60,8 +61,9 @@ def relevant(t) -> DataFrame:
     return graded(t).where("gain = 2").select("query_id", "doc_id")
 
 
-def lexical(t, k: int = DEPTH) -> DataFrame:
-    return top_k(bm25(docs(t).select("doc_id", "text"), benchmark(t), k=k), k)
+def lexical(t, k: int = DEPTH, share: float | None = None) -> DataFrame:
+    """What the stored index of the documents yields for the benchmark's texts; not yet cut to k."""
+    return search(index_of(docs(t).select("doc_id", "text")), benchmark(t), k, share)
 
 
 def judges(t) -> DataFrame:

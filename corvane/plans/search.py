@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions import vector as V
 from corvane.operators import evaluation as E
 from corvane.operators import fusion as U
+from corvane.operators import lexical_index as I
 from corvane.operators import retrieval as R
 from corvane.operators import stats as S
 from corvane.operators import trust as X
@@ -23,7 +24,7 @@ _KS = "[5, 10, 20, 50, 100]"
 
 @query(f"WITH {B.BM25}, {_BM_RANKED} SELECT query_id, doc_id, score, rank FROM bmr")
 def r1_bm25(spark, t):
-    return B.lexical(t)
+    return R.top_k(B.lexical(t), B.DEPTH).select("query_id", "doc_id", "score", "rank")
 
 
 _BM25_TIERS = r"""tok AS (SELECT lang AS tier, doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents),
@@ -40,7 +41,7 @@ bm AS (SELECT tier, query_id, doc_id, round(sum(w * qtf * tf * 2.5 / (tf + 1.5 *
 
 @query(f"WITH {_BM25_TIERS} SELECT tier, query_id, doc_id, score, row_number() OVER (PARTITION BY tier, query_id ORDER BY score DESC, doc_id) AS rank FROM bm QUALIFY rank <= 20")
 def r2_bm25_by_tier(spark, t):
-    by = R.bm25(t("documents").select(F.col("lang").alias("tier"), "doc_id", "text"), B.benchmark(t), by=["tier"], k=20)
+    by = I.search(I.index_of(t("documents").select(F.col("lang").alias("tier"), "doc_id", "text"), by=["tier"]), B.benchmark(t), 20)
     return R.top_k(by, 20, by=("tier", "query_id")).select("tier", "query_id", "doc_id", "score", "rank")
 
 
@@ -129,23 +130,16 @@ _LEX = r"""lex AS (SELECT query_id, doc_id, len(list_intersect(list_distinct(reg
   FROM bmr JOIN benchmark b ON b.item_id = query_id JOIN documents d USING (doc_id))"""
 
 
-def _second(t, ranked):
-    words = lambda df, key, out: df.select(key, F.array_distinct(R.T.tokens(F.col("text"))).alias(out))
-    met = t("documents").join(ranked.select("doc_id").distinct(), "doc_id", "left_semi")
-    # written, so that a document met by many queries is taken apart once
-    pairs = ranked.select("query_id", "doc_id").join(cached(met.sparkSession, words(met, "doc_id", "d"), "words"), "doc_id").join(words(B.benchmark(t), "query_id", "q"), "query_id")
-    return pairs.select("query_id", "doc_id", R.word_overlap(F.col("q"), F.col("d")).alias("second"))
-
-
 @query(f"WITH {B.BM25}, {_BM_RANKED}, {_LEX} SELECT query_id, doc_id, round(second, 9) AS second FROM lex")
 def r12_pair_scores(spark, t):
-    return _second(t, B.lexical(t)).withColumn("second", F.round("second", 9))
+    """The share of a query's distinct words that a document holds, which the index counts while it scores."""
+    return R.top_k(B.lexical(t), B.DEPTH).select("query_id", "doc_id", F.round("overlap", 9).alias("second"))
 
 
 @query(f"""WITH {B.BM25}, {_BM_RANKED}, {_LEX} SELECT query_id, doc_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank <= 50 THEN 0 ELSE 1 END, CASE WHEN rank <= 50 THEN second END DESC NULLS LAST, rank) AS new_rank FROM bmr JOIN lex USING (query_id, doc_id)""")
 def r13_rerank_head(spark, t):
-    ranked = cached(spark, B.lexical(t), "lexical")
-    return R.rerank_head(ranked, _second(t, ranked), 50).select("query_id", "doc_id", "rank", "new_rank")
+    ranked = cached(spark, R.top_k(B.lexical(t), B.DEPTH), "lexical")
+    return R.rerank_head(ranked.drop("overlap"), ranked.select("query_id", "doc_id", F.col("overlap").alias("second")), 50).select("query_id", "doc_id", "rank", "new_rank")
 
 
 @query(f"""WITH {B.DENSE}, pool AS (SELECT DISTINCT query_id, doc_id FROM ranked), s AS (SELECT query_id, doc_id, round(list_dot_product(qv, v), 6) AS score FROM pool JOIN q USING (query_id) JOIN d USING (doc_id))
@@ -548,15 +542,14 @@ cell AS (SELECT query_id, k, count(r.doc_id) AS hits FROM bmr LEFT JOIN rel r US
 m AS (SELECT b.query_id, ks.k, coalesce(hits, 0) / ks.k AS p, CASE WHEN n_rel > 0 THEN coalesce(hits, 0) / n_rel ELSE 0 END AS r FROM (SELECT item_id AS query_id FROM benchmark) b CROSS JOIN ks LEFT JOIN cell c ON c.query_id = b.query_id AND c.k = ks.k LEFT JOIN nr ON nr.query_id = b.query_id)
 SELECT k, round(avg(round(p, 6)), 6) AS precision, round(avg(round(r, 6)), 6) AS recall FROM m GROUP BY k""")
 def entry_bm25_evaluation(spark, t):
-    scored = cached(spark, R.bm25(t("documents").select("doc_id", "text"), B.benchmark(t), k=B.DEPTH, share=0.6), "lexical")
+    scored = cached(spark, B.lexical(t, share=0.6), "lexical")
     ranked = R.top_k(scored, B.DEPTH).select(F.lit("bm25").alias("channel"), "query_id", "doc_id", "rank")
     return E.macro(E.binary_metrics(ranked, scored.where("much").select("query_id", "doc_id"), B.benchmark(t), (5, 10, 100)), ["k"], ["precision", "recall"])
 
 
 @query(f"WITH {B.BM25}, f AS (SELECT query_id, doc_id, score FROM bm UNION ALL SELECT item_id, doc_id, 0 FROM benchmark, documents WHERE NOT EXISTS (SELECT 1 FROM bm WHERE bm.query_id = item_id AND bm.doc_id = documents.doc_id)) SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f QUALIFY rank <= 300")
 def r1_bm25_zero_filled(spark, t):
-    docs = t("documents").select("doc_id", "text")
-    return R.zero_filled(R.bm25(docs, B.benchmark(t)), docs, B.benchmark(t), 300)
+    return R.zero_filled(B.lexical(t, 300), t("documents").select("doc_id"), B.benchmark(t), 300)
 
 
 @query("SELECT source, doc_id, n_chars, rank() OVER (PARTITION BY source ORDER BY n_chars DESC) AS place, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM documents")

@@ -24,6 +24,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/corvane-scratch/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def fingerprint(df: DataFrame) -> int:
+    """What a table read from files is known by: its plan, and the names, sizes and times of its files."""
+    spark = df.sparkSession
+    seen = []
+    for name in sorted(df.inputFiles()):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+        seen.append((name, status.getLen(), status.getModificationTime()))
+    return hash((df.semanticHash(), tuple(seen)))
+
+
 def sweep(spark: SparkSession) -> None:
     """Delete all that this application has written to the scratch folder. Results not yet written elsewhere are lost."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch(spark, "x")).getParent()
