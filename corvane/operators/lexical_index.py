@@ -2,7 +2,7 @@
 
     postings   part, grp, term, chunk, top, docs, impacts: a row is a block, the postings of one term in one chunk of documents,
                with the highest impact in it; part is a hash of the term and a folder of its own
-    terms      by.., grp, term, df, w: Okapi weights;   stats   by.., grp, n, avgdl
+    terms      grp, term, df, w: Okapi weights;   stats   grp, by, n, avgdl
 
 An impact is what a posting adds to a score, but for the weight of its term. A search reads the folders its terms hash to,
 sends the blocks of its terms to their chunk, and walks through the chunks with the k-th best score so far: the sum of the
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.operators.retrieval import EPSILON, K1, B, in_slices
-from corvane.sources.files import fingerprint, scratch
+from corvane.sources.files import scratch, stored
 
 #: Documents and words in a chunk, at most; a longer document is a chunk of its own. Folders that terms are spread over.
 CHUNK_DOCS, CHUNK_WORDS, PARTS = 256, 1 << 20, 16
@@ -100,7 +100,7 @@ def build(docs: DataFrame, by: Sequence[str] = (), k1: float = K1, b: float = B,
     raw = spark.read.parquet(f"{path}/blocks")
     stats = raw.where("term is null").groupBy("grp").agg(F.sum("n").cast("double").alias("n"), (F.sum("words") / F.sum("n")).alias("avgdl"))
     if by:  # a group's own values, with their types
-        named = docs.select(group.alias("grp"), *by).dropDuplicates(["grp"])
+        named = docs.select(group.alias("grp"), F.struct(*by).alias("by")).dropDuplicates(["grp"])
         stats = stats.join(named, "grp")
     stats.coalesce(1).write.parquet(f"{path}/stats")
     stats = spark.read.parquet(f"{path}/stats")
@@ -123,16 +123,9 @@ def build(docs: DataFrame, by: Sequence[str] = (), k1: float = K1, b: float = B,
     return LexicalIndex(path, tuple(by))
 
 
-_BUILT: dict[tuple, LexicalIndex] = {}
-
-
 def index_of(docs: DataFrame, by: Sequence[str] = (), **options) -> LexicalIndex:
-    """The index of a corpus read from files, built when first asked for. It is known by the files' names, sizes and times and
-    by the plan that reads them, so a corpus that changes gets a new one; it lives as long as the application's scratch."""
-    key = (docs.sparkSession.sparkContext.applicationId, fingerprint(docs), tuple(by), str(sorted(options.items())))
-    if key not in _BUILT:
-        _BUILT[key] = build(docs, by, **options)
-    return _BUILT[key]
+    """The index of a corpus read from files, built when first asked for."""
+    return stored(docs, f"lexical {tuple(by)} {sorted(options.items())}", lambda: build(docs, by, **options))
 
 
 def _walking(sent, k: int | None, share: float | None):
@@ -167,28 +160,50 @@ def _walking(sent, k: int | None, share: float | None):
             n = heads[term + 1] - heads[term]
             spot = np.repeat(heads[term] - np.cumsum(n) + n, n) + np.arange(n.sum())
             block = np.repeat(np.arange(len(term)), n)
-            # what a query can reach in this chunk; rounding may lift a score by half of the last place
-            most = np.bincount(who[spot], weight[spot] * top[block], q_count) + 1e-6
-            open_ = (most >= floor) if safe and share is None and k is not None else np.ones(q_count, bool)
-            wanted = open_[who[spot]]
-            spot, block = spot[wanted], block[wanted]
-            used = np.unique(block)
+            # MaxScore. Of a query's blocks, from the least bound up, those whose bounds sum to less than its k-th score are
+            # not essential: a document in no other block cannot be among its k best. They are opened only for queries with
+            # documents that, with all these bounds added, still can be. Rounding may lift a score by half of the last place.
+            bound = weight[spot] * top[block]
+            order = np.lexsort((bound, who[spot]))
+            spot, block, bound = spot[order], block[order], bound[order]
+            q = who[spot]
+            total = np.cumsum(bound)
+            first = np.flatnonzero(np.diff(q, prepend=-1))
+            upto = total - np.repeat((total - bound)[first], np.diff(np.append(first, len(q))))
+            essential = upto + 1e-6 >= floor[q] if safe and share is None and k is not None else np.ones(len(q), bool)
+            sizes, start = np.diff(lists.offsets.to_numpy()), lists.offsets.to_numpy()[:-1]
+            docs, values = lists.values.to_numpy(), impacts.values.to_numpy()
+            here = np.unique(docs)
+
+            def opened(which):
+                m = sizes[block[which]]
+                at = np.repeat(start[block[which]] - np.cumsum(m) + m, m) + np.arange(m.sum())
+                return np.repeat(q[which], m) * len(here) + np.searchsorted(here, docs[at]), np.repeat(weight[spot[which]], m) * values[at]
+
+            where, value = opened(essential)
+            pair, at = np.unique(where, return_inverse=True)
+            score, shared = np.bincount(at, value, len(pair)), np.bincount(at, minlength=len(pair))
+            used = block[essential]
+            if len(pair) and not essential.all():
+                rest = np.bincount(q[~essential], bound[~essential], q_count)
+                can = score + rest[pair // len(here)] + 1e-6 >= floor[pair // len(here)]
+                pair, score, shared = pair[can], score[can], shared[can]
+                asking = np.zeros(q_count, bool)
+                asking[pair // len(here)] = True
+                others = ~essential & asking[q]
+                where, value = opened(others)
+                at = np.minimum(np.searchsorted(pair, where), max(0, len(pair) - 1))
+                ours = pair[at] == where if len(pair) else np.zeros(0, bool)
+                score = score + np.bincount(at[ours], value[ours], len(pair))
+                shared = shared + np.bincount(at[ours], minlength=len(pair))
+                used = np.append(used, block[others])
             met += len(term)
-            skipped += len(term) - len(used)
-            if not len(used):
+            skipped += len(term) - len(np.unique(used))
+            if not len(pair):
                 return None
-            sizes = np.diff(lists.offsets.to_numpy())
-            start = lists.offsets.to_numpy()[:-1]
-            docs, values = lists.values.to_numpy(), impacts.values.to_numpy()
-            m = sizes[block]
-            at = np.repeat(start[block] - np.cumsum(m) + m, m) + np.arange(m.sum())
-            ids, row = np.unique(docs[at], return_inverse=True)
-            pair, where = np.unique(np.repeat(who[spot], m) * len(ids) + row, return_inverse=True)
-            score = np.round(np.bincount(where, np.repeat(weight[spot], m) * values[at]), 6)
-            shared = np.bincount(where)
-            q = pair // len(ids)
+            q = pair // len(here)
             much = shared >= share * distinct[q] if share is not None else np.zeros(len(q), bool)
-            return [q, ids[pair % len(ids)], score, shared, much]
+            return [q, here[pair % len(here)], np.round(score, 6), shared, much]
 
         def finish(pieces):
             nonlocal held
@@ -237,7 +252,8 @@ def walked(index: LexicalIndex, queries: DataFrame, k: int | None, share: float
     spark = queries.sparkSession
     by = list(index.by)
     stats = index.table(spark, "stats")
-    parts = json.loads(spark.read.text(f"{index.path}/index").first()[0])["parts"]
+    made = json.loads(spark.read.text(f"{index.path}/index").first()[0])
+    parts = made["parts"]
     found = tally = None
     for some in in_slices(queries, "query_id"):
         asked = some.select(F.col("query_id").cast("long").alias("query_id"), F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
@@ -265,12 +281,11 @@ def walked(index: LexicalIndex, queries: DataFrame, k: int | None, share: float
         pairs = blocks.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_walking(sent, k, share), "q long, doc_id long, score double, shared long, much boolean")
         names = spark.createDataFrame(pa.Table.from_pandas(ids.assign(distinct=distinct), preserve_index=False))
         if by:
-            names = names.join(stats.select("grp", *by), "grp")
-        new = pairs.where("q >= 0").join(F.broadcast(names), "q").select(*by, "query_id", "doc_id", "score", (F.col("shared") / F.col("distinct")).alias("overlap"), "much")
+            names = names.join(stats.select("grp", "by"), "grp")
+        new = pairs.where("q >= 0").join(F.broadcast(names), "q").select(*(F.col(f"by.`{c}`") for c in by), "query_id", "doc_id", "score", (F.col("shared") / F.col("distinct")).alias("overlap"), "much")
         count = pairs.where("q < 0").select(F.col("doc_id").alias("met"), F.col("shared").alias("skipped"))
         found, tally = (new, count) if found is None else (found.unionByName(new), tally.unionByName(count))
     if found is None:
-        kinds = dict(stats.dtypes)
-        shape = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "query_id long, doc_id long, score double, overlap double, much boolean"])
+        shape = ", ".join([*(f"`{c}` {made['kinds'][c]}" for c in by), "query_id long, doc_id long, score double, overlap double, much boolean"])
         return spark.createDataFrame([], shape), spark.createDataFrame([], "met long, skipped long")
     return found, tally

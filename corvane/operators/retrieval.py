@@ -6,7 +6,6 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -291,40 +290,8 @@ def rerank_head(ranked: DataFrame, scores: DataFrame, head: int) -> DataFrame:
     return joined.withColumn("new_rank", F.row_number().over(w).cast("long"))
 
 
-def ivf_cells(docs: DataFrame, cells: int, seed: int = 11) -> tuple[DataFrame, DataFrame]:
-    """An inverted-file index: documents with their cell, and the cells' centroids (cell, centre)."""
-    vectors = docs.withColumn("features", array_to_vector(F.col("vec").cast("array<double>")))
-    model = KMeans(k=cells, seed=seed, maxIter=10).fit(vectors)
-    spark = docs.sparkSession
-    centres = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cell int, centre array<double>")
-    return model.transform(vectors).select("doc_id", "vec", F.col("prediction").alias("cell")), centres
-
-
-def ivf_search(index: DataFrame, centres: DataFrame, queries: DataFrame, probes: int, k: int, complete: bool = False) -> DataFrame:
-    """Search the `probes` cells nearest to a query by inner product; all cells give the exact result.
-
-    With `complete`, so do fewer: every other cell that its radius does not rule out, given the k-th score, is searched too.
-    """
-    pairs = queries.crossJoin(F.broadcast(centres))
-    near = top_k(pairs.select("query_id", "qvec", "cell", V.squared_l2(F.col("qvec"), F.col("centre")).alias("score")), probes, higher=False, key="cell").select("query_id", "qvec", "cell")
-
-    def scored(asked: DataFrame) -> DataFrame:
-        met = index.join(asked, "cell").where("doc_id <> query_id")
-        return met.select("query_id", "doc_id", F.round(V.dot(F.col("qvec"), F.col("vec")), 6).alias("score"))
-
-    first = top_k(scored(near), k)
-    if not complete:
-        return first
-    radius = index.join(F.broadcast(centres), "cell").groupBy("cell").agg(F.max(F.sqrt(V.squared_l2(F.col("vec"), F.col("centre")))).alias("radius"))
-    floor = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
-    rest = pairs.join(near.select("query_id", "cell"), ["query_id", "cell"], "left_anti").join(F.broadcast(radius), "cell").join(floor, "query_id", "left")
-    most = V.dot(F.col("qvec"), F.col("centre")) + F.sqrt(V.dot(F.col("qvec"), F.col("qvec"))) * F.col("radius")
-    rest = rest.where(F.col("floor").isNull() | (most >= F.col("floor") - 1e-5)).select("query_id", "qvec", "cell")
-    return top_k(first.select("query_id", "doc_id", "score").unionByName(scored(rest)), k)
-
-
 def lsh_search(docs: DataFrame, queries: DataFrame, k: int, radius: float = 1.6, bucket: float = 1.0, tables: int = 12, seed: int = 5) -> DataFrame:
-    """Graph indexes have no Spark form; random-projection hashing takes their place. Distances are Euclidean."""
+    """Candidates by random-projection hashing within a radius. Distances are Euclidean."""
     d = docs.withColumn("features", array_to_vector(F.col("vec").cast("array<double>")))
     q = queries.select(F.col("query_id"), array_to_vector(F.col("qvec").cast("array<double>")).alias("features"))
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(d)

@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corvane.functions import vector as V
+from corvane.functions import vector as W
 from corvane.operators import evaluation as E
 from corvane.operators import fusion as U
+from corvane.operators import graph_index as G
 from corvane.operators import lexical_index as I
 from corvane.operators import retrieval as R
 from corvane.operators import stats as S
 from corvane.operators import trust as X
+from corvane.operators import vector_index as V
 from corvane.plans import base as B
 from corvane.plans.registry import query
-from corvane.sources.files import cached
+from corvane.sources.files import cached, stored
 
 _BM_RANKED = f"bmr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm QUALIFY rank <= {B.DEPTH})"
 _KS = "[5, 10, 20, 50, 100]"
@@ -66,7 +68,7 @@ def r4_exact_inner_product(spark, t):
 @query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT *, sqrt(list_dot_product(v, v)) AS l FROM e)
 SELECT vec_id, round(v[1] / CASE WHEN l = 0 THEN 1 ELSE l END, 6) AS first, round(v[64] / CASE WHEN l = 0 THEN 1 ELSE l END, 6) AS last FROM n""")
 def r5_normalise(spark, t):
-    n = t("embeddings").select("vec_id", V.normalised(F.col("embedding")).alias("v"))
+    n = t("embeddings").select("vec_id", W.normalised(F.col("embedding")).alias("v"))
     return n.select("vec_id", F.round(F.col("v")[0], 6).alias("first"), F.round(F.col("v")[63], 6).alias("last"))
 
 
@@ -75,7 +77,7 @@ p AS (SELECT label, list(x ORDER BY i) AS v FROM e GROUP BY label), s AS (SELECT
 SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10""")
 def r6_mean_pooled_search(spark, t):
     pooled = R.mean_pooled(t("embeddings"), "label", "embedding").select(F.col("label").alias("query_id"), F.col("embedding").alias("qvec"))
-    scored = B.vectors(t).select("doc_id", "vec").crossJoin(pooled).select("query_id", "doc_id", F.round(V.dot(F.col("qvec"), F.col("vec")), 6).alias("score"))
+    scored = B.vectors(t).select("doc_id", "vec").crossJoin(pooled).select("query_id", "doc_id", F.round(W.dot(F.col("qvec"), F.col("vec")), 6).alias("score"))
     return R.top_k(scored, 10)
 
 
@@ -92,17 +94,97 @@ def r8_max_sim(spark, t):
     return R.exact(B.vectors(t).select("doc_id", "vec"), B.vector_queries(t).select("query_id", "qvec"), "max_sim", 20, width=16)
 
 
+_TOKENS = """tok AS (SELECT vec_id AS doc_id, p::BIGINT AS position, embedding[16 * p + 1:16 * p + 16]::DOUBLE[] AS v FROM embeddings, range(4) r(p) WHERE p <= vec_id % 4),
+m AS (SELECT q.doc_id AS query_id, d.doc_id, q.position, max(list_dot_product(q.v, d.v)) AS best FROM tok q, tok d WHERE q.doc_id % 20 = 3 AND q.doc_id <> d.doc_id GROUP BY ALL),
+ms AS (SELECT query_id, doc_id, round(sum(best), 6) AS score FROM m GROUP BY ALL)"""
+
+
+def _tokens(t):
+    """A token table of the embeddings: rows of 16 numbers, 1 to 4 of them by id, the rest masked."""
+    each = t("embeddings").select(F.col("vec_id").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("position"), "embedding")
+    return each.select("doc_id", F.col("position").cast("long").alias("position"), F.slice("embedding", F.col("position") * 16 + 1, 16).alias("vec"), (F.col("position") <= F.col("doc_id") % 4).alias("mask"))
+
+
+def _interaction(t):
+    tokens = _tokens(t)
+    index = stored(tokens, "tokens", lambda: V.build_tokens(tokens, 32))
+    return index, tokens.where("doc_id % 20 = 3").withColumnRenamed("doc_id", "query_id")
+
+
+@query(f"WITH {_TOKENS} SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ms QUALIFY rank <= 20")
+def r8_max_sim_tokens(spark, t):
+    """Late interaction over token tables of 1 to 4 tokens a document, exact."""
+    index, asked = _interaction(t)
+    return V.max_sim(index, asked, 20)
+
+
+@query("SELECT count(*) FILTER (vec_id % 20 = 3) AS queries, count(*) FILTER (vec_id % 20 = 3) * least(20, count(*) - 1) AS found, TRUE AS recall_reached, 0::BIGINT AS wrong_scores FROM embeddings")
+def r8_max_sim_candidates(spark, t):
+    """The same through the lists of 24 of 32 token centres: a recall of 0.9 at least, and every score that of the full scan."""
+    index, asked = _interaction(t)
+    true = V.max_sim(index, asked, 20).select("query_id", "doc_id", F.col("score").alias("true"))
+    found = V.max_sim(index, asked, 20, probes=24, depth=300).select("query_id", "doc_id", "score").join(true, ["query_id", "doc_id"], "left")
+    wrong = F.sum(F.when(F.abs(F.col("score") - F.col("true")) > 2e-6, 1).otherwise(0))
+    return found.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("found"), (F.count("true") >= 0.9 * F.count("*")).alias("recall_reached"), wrong.alias("wrong_scores"))
+
+
+def _cells(t, cells: int = 32):
+    vectors = B.vectors(t).select("doc_id", "vec")
+    return stored(vectors, f"cells {cells}", lambda: V.build_cells(vectors, cells))
+
+
+def _asked(t):
+    return B.vector_queries(t).select("query_id", "qvec")
+
+
 @query(f"WITH {B.DENSE} SELECT query_id, doc_id, score, rank FROM ip WHERE rank <= 20")
 def r9_ivf_search(spark, t):
-    """4 of 16 cells, then every other that its radius does not rule out: the exact result."""
-    index, centres = R.ivf_cells(B.vectors(t).select("doc_id", "vec"), 16)
-    return R.ivf_search(index, centres, B.vector_queries(t).select("query_id", "qvec"), 4, 20, complete=True)
+    """8 of 32 cells, then every other that its radius does not rule out: the exact result."""
+    return V.search_cells(_cells(t), _asked(t), 8, 20, complete=True)[0]
 
 
 @query(f"WITH {B.DENSE} SELECT query_id, doc_id, score, rank FROM ip WHERE rank <= 20")
 def r9_ivf_all_cells(spark, t):
-    index, centres = R.ivf_cells(B.vectors(t).select("doc_id", "vec"), 16)
-    return R.ivf_search(index, centres, B.vector_queries(t).select("query_id", "qvec"), 16, 20)
+    return V.search_cells(_cells(t), _asked(t), 32, 20)[0]
+
+
+@query(f"""WITH {B.DENSE}, n AS (SELECT count(*) AS n, count(*) FILTER (vec_id % 20 = 0) AS q FROM embeddings)
+SELECT unnest([1, 8, 32])::BIGINT AS probes, q AS queries, unnest([NULL, NULL, n * q])::BIGINT AS touched_by_all, unnest([NULL, NULL, 1.0::DOUBLE]) AS recall_of_all, unnest([TRUE, TRUE, TRUE]) AS touches_no_more FROM n""")
+def r9_probe_sweep(spark, t):
+    """Recall of the 20 nearest and vectors touched at 1, 8 and all of 32 cells; the SQL knows what all cells must give, and
+    that fewer cells touch no more."""
+    index, asked = _cells(t), _asked(t)
+    true = cached(spark, V.search_cells(index, asked, 32, 20)[0], "nearest").select("query_id", "doc_id")
+    rows = None
+    for probes in (1, 8, 32):
+        found, touched = V.search_cells(index, asked, probes, 20)
+        hit = found.join(true, ["query_id", "doc_id"], "left_semi").agg(F.count("*").alias("hits"))
+        row = touched.agg(F.sum("touched").alias("touched")).crossJoin(hit).select(F.lit(probes).cast("long").alias("probes"), "touched", "hits")
+        rows = row if rows is None else rows.unionByName(row)
+    of = true.agg(F.count("*").alias("of"), F.count_distinct("query_id").alias("queries")).crossJoin(B.vectors(t).agg(F.count("*").alias("n")))
+    last, w = F.col("probes") == 32, Window.orderBy("probes")
+    return rows.crossJoin(of).select(
+        "probes", "queries", F.when(last, F.col("touched")).alias("touched_by_all"), F.when(last, F.col("hits") / F.col("of")).alias("recall_of_all"),
+        (F.col("touched") >= F.lag("touched", 1, 0).over(w)).alias("touches_no_more"),
+    )
+
+
+@query("""WITH n AS (SELECT count(*) FILTER (vec_id % 20 = 0) AS q, least(10, count(*) - 1) AS k FROM embeddings)
+SELECT unnest([16, 64, 160])::BIGINT AS beam, q AS queries, q * k AS found, unnest([NULL, NULL, TRUE]) AS recall_reached, unnest([TRUE, TRUE, TRUE]) AS recall_rises FROM n""")
+def r10_graph_search(spark, t):
+    """The 10 nearest by a proximity graph over all vectors, at three widths of the beam: whether the widest has a recall of
+    0.9, and whether recall rises with the width."""
+    vectors, asked = B.vectors(t).select("doc_id", "vec"), _asked(t)
+    index = stored(vectors, "graph", lambda: G.knn_graph(vectors))
+    true = cached(spark, R.exact(vectors, asked, "l2", 10), "nearest").select("query_id", "doc_id")
+    rows = None
+    for beam in (16, 64, 160):
+        found, _ = G.graph_search(index, asked, 10, beam)
+        row = found.join(true.withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left").agg(F.count("*").alias("found"), F.count_distinct("query_id").alias("queries"), (F.sum("hit") / F.count("*")).alias("recall"))
+        row = row.withColumn("beam", F.lit(beam).cast("long"))
+        rows = row if rows is None else rows.unionByName(row)
+    rises = F.col("recall") >= F.lag("recall", 1, 0.0).over(Window.orderBy("beam"))
+    return rows.select("beam", "queries", "found", F.when(F.col("beam") == 160, F.col("recall") >= 0.9).alias("recall_reached"), rises.alias("recall_rises"))
 
 
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 20 = 0),
@@ -116,14 +198,14 @@ def r10_lsh_search(spark, t):
 
 @query("SELECT vec_id, round((embedding[1]::DOUBLE + embedding[17] + embedding[33] + embedding[49]) / 4, 6) AS mean_first, round(embedding[1]::DOUBLE, 6) AS cls_first, round(embedding[49]::DOUBLE, 6) AS last_first FROM embeddings")
 def r15_token_pooling(spark, t):
-    parts = V.chunks(F.col("embedding"), 16)
-    return t("embeddings").select("vec_id", *[F.round(V.pooled(parts, how)[0].cast("double"), 6).alias(f"{name}_first") for name, how in (("mean", "mean"), ("cls", "first"), ("last", "last"))])
+    parts = W.chunks(F.col("embedding"), 16)
+    return t("embeddings").select("vec_id", *[F.round(W.pooled(parts, how)[0].cast("double"), 6).alias(f"{name}_first") for name, how in (("mean", "mean"), ("cls", "first"), ("last", "last"))])
 
 
 @query(f"""WITH {B.DENSE}, s AS (SELECT query_id, doc_id, rank AS native_rank, round(list_dot_product(qv, v), 6) AS score FROM l2 JOIN q USING (query_id) JOIN d USING (doc_id))
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s""")
 def r11_rerank_pool_by_distance(spark, t):
-    return R.rerank_pool(B.l2_channel(t), B.vectors(t).select("doc_id", "vec"), B.vector_queries(t).select("query_id", "qvec"), V.dot)
+    return R.rerank_pool(B.l2_channel(t), B.vectors(t).select("doc_id", "vec"), B.vector_queries(t).select("query_id", "qvec"), W.dot)
 
 
 _LEX = r"""lex AS (SELECT query_id, doc_id, len(list_intersect(list_distinct(regexp_extract_all(lower(b.text), '[\p{L}\p{N}]+')), list_distinct(regexp_extract_all(lower(d.text), '[\p{L}\p{N}]+')))) / len(list_distinct(regexp_extract_all(lower(b.text), '[\p{L}\p{N}]+')))::DOUBLE AS second
@@ -146,7 +228,7 @@ def r13_rerank_head(spark, t):
 SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 50""")
 def r14_full_pool_rerank(spark, t):
     pool = U.union_pool(B.ranked(t), B.DEPTH).withColumn("rank", F.lit(0).cast("long"))
-    scored = R.rerank_pool(pool, B.vectors(t).select("doc_id", "vec"), B.vector_queries(t).select("query_id", "qvec"), V.dot)
+    scored = R.rerank_pool(pool, B.vectors(t).select("doc_id", "vec"), B.vector_queries(t).select("query_id", "qvec"), W.dot)
     return scored.where("rank <= 50").select("query_id", "doc_id", "score", "rank")
 
 
@@ -171,7 +253,7 @@ def r17_template_similarity(spark, t):
 
 @query("SELECT vec_id, round(list_cosine_similarity(embedding[1:32]::DOUBLE[], embedding[33:64]::DOUBLE[]), 6) AS alignment FROM embeddings")
 def r18_row_cosine(spark, t):
-    return t("embeddings").select("vec_id", F.round(V.cosine(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32)), 6).alias("alignment"))
+    return t("embeddings").select("vec_id", F.round(W.cosine(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32)), 6).alias("alignment"))
 
 
 @query("SELECT event_type AS query_id, event_id AS doc_id, value AS score, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS rank FROM events QUALIFY rank <= 7")

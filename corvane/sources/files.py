@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,10 +36,23 @@ def fingerprint(df: DataFrame) -> int:
     return hash((df.semanticHash(), tuple(seen)))
 
 
+_STORED: dict[tuple, object] = {}
+
+
+def stored(df: DataFrame, kind: str, build: Callable[[], object]) -> object:
+    """What `build` makes of a table read from files, made when first asked for in an application. A table whose files have
+    changed since gets a new one. It lives as long as the application's scratch folder."""
+    key = (df.sparkSession.sparkContext.applicationId, kind, fingerprint(df))
+    if key not in _STORED:
+        _STORED[key] = build()
+    return _STORED[key]
+
+
 def sweep(spark: SparkSession) -> None:
     """Delete all that this application has written to the scratch folder. Results not yet written elsewhere are lost."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch(spark, "x")).getParent()
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _STORED.clear()
 
 
 def write_csv(df: DataFrame, path: str) -> None:

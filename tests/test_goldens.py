@@ -144,23 +144,6 @@ def test_bm25_against_plain_python(spark):
                 assert (q, d) not in got
 
 
-def test_ivf_with_all_cells_is_exact(spark):
-    import random
-
-    random.seed(2)
-    rows = [(i, [random.gauss(0, 1) for _ in range(8)]) for i in range(120)]
-    docs = spark.createDataFrame(rows, "doc_id long, vec array<double>")
-    qs = spark.createDataFrame(rows[:5], "query_id long, qvec array<double>")
-    from corvane.functions import vector as V
-
-    index, centres = R.ivf_cells(docs, 6)
-    got = {tuple(r) for r in R.ivf_search(index, centres, qs, 6, 10).select("query_id", "doc_id", "rank").collect()}
-    want = {tuple(r) for r in R.exact(docs, qs, "ip", 10).select("query_id", "doc_id", "rank").collect()}
-    assert got == want
-    few = {tuple(r)[:2] for r in R.ivf_search(index, centres, qs, 2, 10).select("query_id", "doc_id").collect()}
-    assert len(few & {w[:2] for w in want}) >= 0.5 * len(want)
-
-
 def test_rerank_keeps_recall_at_depth(spark):
     lists = ranked(spark, [("x", 1, d, 0.0, d) for d in range(1, 9)]).drop("channel")
     second = spark.createDataFrame([(1, d, float(d)) for d in range(1, 9)], "query_id long, doc_id long, second double")
