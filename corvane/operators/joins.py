@@ -4,23 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.operators.retrieval import in_slices
+#: Lists of a facet's value are split into so many lanes by document.
+LANES = 16
 
 
-def prefilter(docs: DataFrame, queries: DataFrame, condition: Column, query_key: str, doc_key: str, least: int = 100) -> DataFrame:
-    """The documents that meet a query's structured condition; all of them where fewer than `least` do.
+def facet_lists(docs: DataFrame, doc_key: str, facets: Sequence[str]) -> DataFrame:
+    """The inverted lists of a corpus: facet, value, lane, doc; a row for each document and facet. A value that a third of
+    the corpus has is LANES keys, none of which gathers its list. Nulls are in no list."""
+    each = F.array(*[F.struct(F.lit(f).alias("facet"), F.col(f).cast("string").alias("value")) for f in facets])
+    lane = F.pmod(F.xxhash64(doc_key), F.lit(LANES)).cast("int")
+    return docs.select(F.col(doc_key).alias("doc"), lane.alias("lane"), F.inline(each)).where("value is not null")
 
-    Queries are a stated set; the condition is tested against them in slices of a bounded size that are broadcast.
+
+def prefilter(lists: DataFrame, asked: DataFrame, least: int = 100) -> tuple[DataFrame, DataFrame]:
+    """The documents that meet all of a query's conditions (query, facet, value); and the queries with how many they are
+    and whether that is fewer than `least`, so that they fall back to the whole corpus.
+
+    Conditions meet lists by an equality join on facet, value and lane; the documents of all of a query's lists are those
+    counted as often as it has conditions. The corpus is never paired with the queries, and the fallback is a flag: who
+    searches takes the whole corpus for such a query, as it lies. Several values of a facet in one query are alternatives.
+    Null values of a condition are met by nothing.
     """
-    hits = None
-    for part in in_slices(queries, query_key):
-        found = docs.join(F.broadcast(part), condition).select(query_key, doc_key)
-        hits = found if hits is None else hits.unionByName(found)
-    few = queries.join(hits.groupBy(query_key).agg(F.count("*").alias("_n")), query_key, "left").where(F.coalesce("_n", F.lit(0)) < least).select(query_key)
-    return hits.join(few, query_key, "left_anti").unionByName(few.crossJoin(docs.select(doc_key)))
+    conditions = asked.select("query", "facet", F.col("value").cast("string").alias("value")).distinct()
+    wanted = conditions.groupBy("query").agg(F.count_distinct("facet").alias("conditions"))
+    spread = conditions.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))))
+    met = lists.join(spread, ["facet", "value", "lane"]).groupBy("query", "doc").agg(F.count_distinct("facet").alias("met"))
+    hits = met.join(wanted, "query").where("met = conditions").select("query", "doc")
+    counts = wanted.join(hits.groupBy("query").agg(F.count("*").alias("n")), "query", "left").select("query", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    return hits, counts.withColumn("falls_back", F.col("n") < least)
 
 
 def compared(a: DataFrame, b: DataFrame, group: str, key: str) -> DataFrame:

@@ -202,13 +202,46 @@ def f4_tier_mask(spark, t):
     return tier.where("in_tier").select("doc_id", "source")
 
 
+_ASKED = """asked AS (SELECT lang AS query, 'lang' AS facet, lang AS value FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL) UNION ALL SELECT lang, 'source', 'src' || s FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL), unnest([1, 2]) r(s)
+  UNION ALL SELECT lang, 'size', '2' FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)),
+hit AS (SELECT q.lang AS query, d.doc_id FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL) q JOIN documents d ON d.lang = q.lang AND d.source IN ('src1', 'src2') AND floor(log10(greatest(d.n_chars, 1)))::BIGINT = 2)"""
+
+
+def _prefiltered(t):
+    from corvane.operators.joins import facet_lists, prefilter
+
+    docs = t("documents").withColumn("size", F.floor(F.log10(F.greatest("n_chars", F.lit(1)))).cast("long"))
+    condition = lambda facet, value: F.struct(F.lit(facet).alias("facet"), value.alias("value"))
+    each = F.array(condition("lang", F.col("lang")), condition("source", F.lit("src1")), condition("source", F.lit("src2")), condition("size", F.lit("2")))
+    asked = docs.where("lang is not null").select("lang").distinct().select(F.col("lang").alias("query"), F.inline(each))
+    return prefilter(facet_lists(docs, "doc_id", ["lang", "source", "size"]), asked, least=5)
+
+
+@query(f"WITH {_ASKED} SELECT query, doc_id AS doc FROM hit")
+def f5_facet_lists(spark, t):
+    """Documents of a language, one of two sources and a size band, by inverted lists of the three facets."""
+    return _prefiltered(t)[0]
+
+
+@query(f"WITH {_ASKED} SELECT query, count(doc_id) AS n, count(doc_id) < 5 AS falls_back FROM (SELECT DISTINCT query FROM asked) LEFT JOIN hit USING (query) GROUP BY query")
+def f5_fallback_flags(spark, t):
+    return _prefiltered(t)[1]
+
+
 @query("""SELECT asked AS asked_lang, doc_id FROM (SELECT DISTINCT lang AS asked FROM documents) a JOIN LATERAL (
   SELECT doc_id FROM documents d WHERE (d.lang = a.asked AND d.source = 'src1') OR (SELECT count(*) FROM documents e WHERE e.lang = a.asked AND e.source = 'src1') < 10) x ON TRUE""")
 def f5_prefilter_with_fallback(spark, t):
-    from corvane.operators.joins import prefilter
-
-    asked = t("documents").select(F.col("lang").alias("asked_lang")).distinct()
-    return prefilter(t("documents").select("doc_id", "lang", "source"), asked, (F.col("lang") == F.col("asked_lang")) & (F.col("source") == "src1"), "asked_lang", "doc_id", least=10).select("asked_lang", "doc_id")
+    """What a search would go through: a query's documents, or all of them, as they lie, for each flagged query."""
+    from corvane.operators.joins import facet_lists, prefilter
+
+    docs = t("documents")
+    condition = lambda facet, value: F.struct(F.lit(facet).alias("facet"), value.alias("value"))
+    asked = docs.select("lang").distinct().select(F.col("lang").alias("query"), F.inline(F.array(condition("lang", F.col("lang")), condition("source", F.lit("src1")))))
+    hits, flags = prefilter(facet_lists(docs, "doc_id", ["lang", "source"]), asked, least=10)
+    open_ = flags.where("falls_back").agg(F.collect_list("query").alias("open"))  # a stated set of queries, one row
+    whole = docs.select("doc_id").join(F.broadcast(open_)).select(F.explode("open").alias("asked_lang"), "doc_id")
+    narrow = hits.join(flags.where("not falls_back"), "query", "left_semi").select(F.col("query").alias("asked_lang"), F.col("doc").alias("doc_id"))
+    return narrow.unionByName(whole)
 
 
 # ---- deduplication, sets, sampling

@@ -546,21 +546,46 @@ def e22_disagreement_direction(spark, t):
 _PAIRED = "pd AS (SELECT query_id, max(n) FILTER (channel = 'ip') AS a, max(n) FILTER (channel = 'l2') AS b FROM (SELECT channel, query_id, count(r.doc_id)::DOUBLE AS n FROM ranked LEFT JOIN rel r USING (query_id, doc_id) GROUP BY ALL) GROUP BY query_id)"
 
 
+def _erf_sql() -> str:
+    out = "0"
+    for c in reversed(S._ERF):
+        out = f"({out} + ({c}::DOUBLE)) * k"
+    return out
+
+
 def _paired(t):
     n = B.ranked(t).join(B.relevant(t).withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left").groupBy("query_id").pivot("channel", ["ip", "l2"]).agg(F.count("hit"))
     return n.select("query_id", F.col("ip").cast("double").alias("a"), F.col("l2").cast("double").alias("b"))
 
 
-@query(f"""WITH {B.DENSE}, {_PAIRED}, df AS (SELECT a - b AS d, abs(a - b) AS s FROM pd WHERE a <> b), r AS (SELECT d, avg(n) OVER (PARTITION BY s) AS r FROM (SELECT d, s, row_number() OVER (ORDER BY s) AS n FROM df)),
-x AS (SELECT count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0) AS w_plus, coalesce(sum(r) FILTER (d < 0), 0) AS w_minus FROM r), ties AS (SELECT sum(c * c * c - c) AS t FROM (SELECT count(*) AS c FROM df GROUP BY s))
-SELECT n, w_plus, w_minus, least(w_plus, w_minus) AS statistic, round((least(w_plus, w_minus) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - t / 48.0), 6) AS z FROM x, ties""")
+@query(f"""WITH RECURSIVE {B.DENSE}, {_PAIRED}, df AS (SELECT a - b AS d, abs(a - b) AS s FROM pd WHERE a <> b), r AS (SELECT d, avg(n) OVER (PARTITION BY s) AS r FROM (SELECT d, s, row_number() OVER (ORDER BY s) AS n FROM df)),
+x AS (SELECT count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0) AS w_plus, coalesce(sum(r) FILTER (d < 0), 0) AS w_minus FROM r), ties AS (SELECT sum(c * c * c - c) AS t FROM (SELECT count(*) AS c FROM df GROUP BY s)),
+doubled AS (SELECT list((2 * r)::INTEGER) AS l, sum(2 * r)::INTEGER AS top FROM r),
+ways(i, w) AS (
+  SELECT 0, list_transform(range(top + 1), lambda s: CASE WHEN s = 0 THEN 1.0::DOUBLE ELSE 0 END) FROM doubled, x WHERE n <= {S.EXACT_UP_TO}
+  UNION ALL SELECT i + 1, list_transform(range(top + 1), lambda s: w[s + 1] + CASE WHEN s >= l[i + 1] THEN w[s - l[i + 1] + 1] ELSE 0 END) FROM ways, doubled WHERE i < len(l)
+), exact AS (SELECT least(1, 2 * list_sum(w[1:(2 * least(w_plus, w_minus))::INTEGER + 1]) / pow(2.0::DOUBLE, n)) AS p FROM ways, x WHERE i = n),
+z AS (SELECT *, least(w_plus, w_minus) AS statistic, least(w_plus, w_minus) - n * (n + 1) / 4 AS off, sqrt(n * (n + 1) * (2 * n + 1) / 24 - t / 48.0) AS spread FROM x, ties),
+e AS (SELECT *, abs(least(0, (off + 0.5) / spread)) / sqrt(2.0::DOUBLE) AS u FROM z), f AS (SELECT *, 1 / (1 + {S._ERF_P}::DOUBLE * u) AS k FROM e),
+g AS (SELECT *, ({_erf_sql()}) * exp(-u * u) AS normal FROM f)
+SELECT n, w_plus, w_minus, statistic, round(off / spread, 6) AS z, round(CASE WHEN n = 0 THEN 1 WHEN n <= {S.EXACT_UP_TO} THEN (SELECT p FROM exact) ELSE coalesce(normal, 1) END, 6) AS p FROM g""")
 def e23_wilcoxon(spark, t):
     return S.wilcoxon(_paired(t), "a", "b")
 
 
-@query()
+_WRAP = "18446744073709551616::UHUGEINT"
+_DRAWS = f"""h AS (SELECT a - b AS d, md5_number_upper('1:' || query_id) AS h FROM pd WHERE a - b IS NOT NULL),
+z0 AS (SELECT d, s, ((h::UHUGEINT + s::UHUGEINT * {S.GOLDEN}::UHUGEINT) % {_WRAP})::UBIGINT AS z FROM h, range(1, 10001) r(s)),
+z1 AS (SELECT d, s, ((xor(z, z >> 30)::UHUGEINT * {S.MIX_A}::UHUGEINT) % {_WRAP})::UBIGINT AS z FROM z0),
+z2 AS (SELECT d, s, ((xor(z, z >> 27)::UHUGEINT * {S.MIX_B}::UHUGEINT) % {_WRAP})::UBIGINT AS z FROM z1),
+u AS (SELECT d, s, ((xor(z, z >> 31) >> 12)::DOUBLE + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM z2),
+w AS (SELECT d, s, {" + ".join(f"(u >= {p!r}::DOUBLE)::BIGINT" for p in S.POISSON)} AS w FROM u),
+means AS (SELECT s, sum(w * d) / sum(w) AS m FROM w GROUP BY s)"""
+
+
+@query(f"WITH {B.DENSE}, {_PAIRED}, {_DRAWS} SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(avg(m), 6) AS mean FROM means")
 def e24_bootstrap(spark, t):
-    return S.bootstrap(_paired(t), "a", "b", "query_id", 1000)
+    return S.bootstrap(_paired(t), "a", "b", "query_id")
 
 
 @query(f"""WITH {B.DENSE}, pr AS (SELECT a.query_id, a.rank AS ra, b.rank AS rb FROM ip a JOIN l2 b USING (query_id, doc_id)), r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY ra) AS x, row_number() OVER (PARTITION BY query_id ORDER BY rb) AS y FROM pr)

@@ -65,6 +65,33 @@ def test_wilcoxon(spark):
     assert (out.n, out.w_plus, out.w_minus, out.statistic) == (4, 8, 2, 2)
 
 
+def signed_rank_p(d):
+    """By going through all signs."""
+    from itertools import product
+
+    sizes = sorted(map(abs, d))
+    rank = {s: sum(i for i, x in enumerate(sizes, 1) if x == s) / sizes.count(s) for s in sizes}
+    ranks = [rank[abs(x)] for x in d]
+    least = min(sum(r for r, x in zip(ranks, d, strict=True) if x > 0), sum(r for r, x in zip(ranks, d, strict=True) if x < 0))
+    return min(1.0, 2 * sum(sum(r for r, on in zip(ranks, signs, strict=True) if on) <= least for signs in product((0, 1), repeat=len(d))) / 2 ** len(d))
+
+
+@pytest.mark.parametrize("d", [[1, -2, 3, 4], [1, 1, 1, 1, 1, 1], [2, -2, 2, 2, -1, 3, 3, 5], [1, -1], [-4, -3, 7, 8, 9, 10, 11, 12, -2]])
+def test_exact_p_of_wilcoxon(spark, d):
+    df = spark.createDataFrame([(float(x), 0.0) for x in [*d, 0]], "a double, b double")
+    assert S.wilcoxon(df, "a", "b").first().p == round(signed_rank_p(d), 6)
+
+
+def test_normal_p_of_wilcoxon(spark):
+    import math
+
+    d = [(-1) ** (k % 3) * (k + 0.5) for k in range(80)]
+    out = S.wilcoxon(spark.createDataFrame([(x, 0.0) for x in d], "a double, b double"), "a", "b").first()
+    z = (out.statistic - 80 * 81 / 4 + 0.5) / math.sqrt(80 * 81 * 161 / 24)
+    assert abs(out.p - math.erfc(-z / math.sqrt(2))) < 2e-6
+    assert S.wilcoxon(spark.createDataFrame([(1.0, 1.0)], "a double, b double"), "a", "b").first().p == 1.0
+
+
 def test_bootstrap_holds_the_mean(spark):
     df = spark.range(400).select("id", (F.col("id") % 5).cast("double").alias("a"), F.lit(1.0).alias("b"))
     out = S.bootstrap(df, "a", "b", "id", 500).first()
