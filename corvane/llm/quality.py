@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm import shingling as S
 from corvane.llm.cluster import session_for_texts
+from corvane.llm.rows import fresh
 from corvane.llm.sampling import first_by_hash
 
 #: Documented bounds on what is fitted on only: trusted positives and unlabelled texts, the first by a hash of the id. The
@@ -200,6 +201,4 @@ def quality(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 def with_quality(documents: DataFrame, labels: DataFrame, score_col: str = "quality", **options) -> DataFrame:
     """All columns and rows of documents, and the score under a name that no column has yet (`_` is added until so)."""
     score = quality(documents, labels, **options)
-    while score_col in documents.columns:
-        score_col += "_"
-    return documents.withColumn(score_col, score(F.col(options.get("text_col", "text"))))
+    return documents.withColumn(fresh(score_col, documents.columns), score(F.col(options.get("text_col", "text"))))

@@ -159,7 +159,7 @@ crc_table AS (
   SELECT text, xor(list_reduce(b, lambda c, x: xor(c >> 8, crcs[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM bytes, crc_table
 ), placed AS (
   SELECT doc_id, size, text_crc32, shard, grown,
-    (((key * {MULTIPLIER}::UHUGEINT + 1) % {_WRAP}::UHUGEINT) // 4294967296::UHUGEINT) % greatest(1, ceil((SELECT count(*) FROM documents) / {BUCKET_ROWS * SHARDS}.0))::UHUGEINT AS bucket
+    (((xor(xor(key::UBIGINT, (text_crc32::UBIGINT << 21)), size::UBIGINT)::UHUGEINT * {MULTIPLIER}::UHUGEINT + 1) % {_WRAP}::UHUGEINT) // 4294967296::UHUGEINT) % greatest(1, ceil((SELECT count(*) FROM documents) / {BUCKET_ROWS * SHARDS}.0))::UHUGEINT AS bucket
   FROM sized JOIN ends ON key = k0 JOIN crc USING (text)
 )
 SELECT doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard,

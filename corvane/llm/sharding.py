@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.llm.rows import unrolled
+
 #: Multiplier of the sequence; fixed by the published method.
 MULTIPLIER = 2862933555777941757
 _HIGH, _LOW = MULTIPLIER >> 32, MULTIPLIER & 0xFFFFFFFF
@@ -71,12 +73,14 @@ def sharded(documents: DataFrame, shards: int, id_col: str = "doc_id", text_col:
     rows = rows.groupBy("id", "size", "crc").agg(F.count("*").alias("n"))
     total = documents.select(F.lit(1)).count()
     buckets = max(1, -(-total // (bucket_rows * shards)))
-    rows = rows.withColumn("to", jump_shards(F.col("id"), shards)).withColumn("bucket", (_advance(*_halves(F.col("id")))[0] % buckets).cast("long"))
+    # the shard goes by the id alone, the sub-bucket by the whole row: rows without an id do not meet in one window
+    row = F.coalesce("id", F.lit(0).cast("long")).bitwiseXOR(F.shiftleft("crc", 21)).bitwiseXOR(F.col("size"))
+    rows = rows.withColumn("to", jump_shards(F.col("id"), shards)).withColumn("bucket", (_advance(*_halves(row))[0] % buckets).cast("long"))
     rows = rows.select("id", "size", "crc", "n", F.col("to.shard").alias("shard"), F.col("to.grown").alias("grown_shard"), "bucket")
     counts = rows.groupBy("shard", "bucket").agg(F.sum("n").alias("of_bucket"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("shard", "bucket", F.coalesce(F.sum("of_bucket").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("shard", "bucket").orderBy("id", "size", "crc").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("upto", F.sum("n").over(within)).join(counts, ["shard", "bucket"])
-    slot = F.explode(F.sequence(F.col("base") + F.col("upto") - F.col("n"), F.col("base") + F.col("upto") - 1))
-    return placed.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("key").alias("law"), "shard", slot.alias("slot"), "grown_shard")
+    slot = F.col("base") + F.col("upto") - F.col("n") + F.col("copy")
+    return unrolled(placed, "n", "copy").select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("key").alias("law"), "shard", slot.alias("slot"), "grown_shard")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm import shingling as S
 from corvane.llm.cluster import session_for_texts
+from corvane.llm.rows import fresh
 from corvane.llm.sampling import first_by_hash
 
 BITS = 20
@@ -151,6 +152,4 @@ def toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def with_toxicity(documents: DataFrame, labels: DataFrame, score_col: str = "toxicity", **options) -> DataFrame:
     """All columns and rows of documents, and the score under a name that no column has yet (`_` is added until so)."""
     score = toxicity(documents, labels, **options)
-    while score_col in documents.columns:
-        score_col += "_"
-    return documents.withColumn(score_col, score(F.col(options.get("text_col", "text"))))
+    return documents.withColumn(fresh(score_col, documents.columns), score(F.col(options.get("text_col", "text"))))

@@ -250,3 +250,38 @@ def test_records_of_other_writers(spark, tmp_path):
     found = {r.record_id: r for r in warc.read_warc(spark, foreign(tmp_path, [plain, broken, wrong])).collect()}
     assert bytes(found["<a>"].payload) == b"ab" and found["<a>"].damage is None
     assert found["<b>"].damage == "head" and found["<c>"].damage == "digest"
+
+
+# ---- shared helpers
+
+
+def test_fresh_names_ignore_case(spark):
+    from corvane.llm.quality import with_quality
+    from corvane.llm.toxicity import with_toxicity
+
+    docs = spark.createDataFrame([(1, "good text", "a", "b"), (2, "bad text", "c", "d")], "doc_id long, text string, Toxicity string, QUALITY string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    for scored, name in ((with_toxicity(docs, labels), "toxicity_"), (with_quality(docs, labels), "quality_")):
+        assert scored.columns == [*docs.columns, name]
+        assert sorted((r.Toxicity, r.QUALITY) for r in scored.collect()) == [("a", "b"), ("c", "d")]
+
+
+def test_unrolled_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(rows, "UNROLL", 4)
+    df = spark.createDataFrame([("a", 9), ("b", 0), ("c", 4), ("d", 1)], "k string, n long")
+    assert sorted(map(tuple, rows.unrolled(df, "n", "at").select("k", "at").collect())) == [("a", i) for i in range(9)] + [("c", i) for i in range(4)] + [("d", 0)]
+
+
+def test_rows_without_an_id_are_spread_over_windows(spark):
+    from corvane.llm.sharding import sharded
+
+    docs = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    out = sharded(docs, 4, bucket_rows=100)
+    assert out.count() == 20_000 and {(r.lo, r.hi == r.n - 1) for r in out.groupBy("shard").agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"), F.count_distinct("slot").alias("n")).collect()} == {(0, True)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(shard" in plan and "bucket" in plan
+    row = F.coalesce("doc_id", F.lit(0).cast("long")).bitwiseXOR(F.shiftleft("text_crc32", 21)).bitwiseXOR(F.col("size"))
+    from corvane.llm.sharding import _advance, _halves
+
+    largest = out.groupBy("shard", (_advance(*_halves(row))[0] % 50).alias("b")).count().agg(F.max("count")).first()[0]
+    assert largest < 600  # half of all rows lie in one shard, in 50 windows of it
