@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.sources.files import cached
+
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Of each key the first row in the order."""
@@ -71,20 +73,32 @@ def sample_by_group(df: DataFrame, group: str, key: str, n: int, seed: int = 0)
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
+#: Leading hex digits by which hashes are counted.
+DIGITS = 5
+
+
 def nested_tiers(df: DataFrame, key: str, existing: Column, targets: dict[str, int], seed: int = 0) -> DataFrame:
     """One flag column for each target size: all existing rows and a prefix of one fixed shuffle of the others.
 
-    The prefix ends at a hash threshold found by a global top-n, so no task sorts the whole table.
+    The prefix ends at a hash threshold. Rows are counted by the hash's first digits, 16^DIGITS ranges at most; only the
+    one range that the threshold lies in is sorted.
     """
-    fresh = df.where(~existing).select(key, hash_order(key, seed=seed).alias("_h"))
+    shuffled = df.withColumn("_h", hash_order(key, seed=seed)).withColumn("_p", F.substring("_h", 1, DIGITS))
+    fresh = shuffled.where(~existing).select(key, "_h", "_p")
     n_existing = df.where(existing).count()
-    out = df.withColumn("_h", hash_order(key, seed=seed))
+    counts = cached(df.sparkSession, fresh.groupBy("_p").agg(F.count("*").alias("_c")), "hash-ranges")
+    starts = counts.withColumn("_to", F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)))
+    out = shuffled.drop("_p")
     for name, size in targets.items():
         room = max(0, size - n_existing)
-        last = fresh.orderBy("_h", key).limit(room).agg(F.max(F.struct("_h", key)).alias("last")) if room else None
-        if last is None:
+        at = starts.where(F.col("_to") >= room).orderBy("_p").first() if room else None
+        if not room:
             out = out.withColumn(name, existing)
+        elif at is None:
+            out = out.withColumn(name, F.lit(True))
         else:
+            inside = fresh.where(F.col("_p") == at["_p"]).orderBy("_h", key).limit(room - at["_to"] + at["_c"])
+            last = inside.agg(F.max(F.struct("_h", key)).alias("last"))
             out = out.crossJoin(F.broadcast(last)).withColumn(name, existing | F.coalesce(F.struct("_h", key) <= F.col("last"), F.lit(False))).drop("last")
     return out.drop("_h")
 

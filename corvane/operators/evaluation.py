@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.stats import percentiles
+
 #: What a metric is where nothing is relevant (A zero, B and C and D null) or nothing was returned, by dialect.
 DIALECTS = ("A", "B", "C", "D")
 
@@ -150,5 +152,6 @@ def latency_summary(df: DataFrame, value: str, order: str, skip: int = 5) -> Dat
     """Mean, exact percentiles (linear interpolation) and maximum; steady_mean leaves out the first `skip` by order."""
     rest = df.select(order).orderBy(order).limit(skip)
     steady = df.join(F.broadcast(rest), order, "left_anti").agg(F.round(F.avg(value), 6).alias("steady_mean"))
-    whole = df.agg(F.round(F.avg(value), 6).alias("mean"), *[F.round(F.percentile(value, F.lit(p / 100)), 6).alias(f"p{p}") for p in (50, 75, 95)], F.max(value).alias("max"))
-    return whole.crossJoin(F.broadcast(steady))
+    points = percentiles(df, value, {f"p{p}": p / 100 for p in (50, 75, 95)})
+    whole = df.agg(F.round(F.avg(value), 6).alias("mean"), F.max(value).alias("max")).crossJoin(F.broadcast(points))
+    return whole.select("mean", *[F.round(f"p{p}", 6).alias(f"p{p}") for p in (50, 75, 95)], "max").crossJoin(F.broadcast(steady))

@@ -39,20 +39,44 @@ def agreement(df: DataFrame, a: str, b: str, group: str) -> DataFrame:
     return df.rollup(group).agg(F.count("*").alias("n"), F.round(F.avg(same), 6).alias("agreement"), F.round(1 - F.avg(same), 6).alias("disagreement"))
 
 
+def _running(df: DataFrame, value: str) -> DataFrame:
+    """value, _c, _upto: how often each value occurs and how many rows are not above it.
+
+    Ranges of values lie in partitions of their own, written so that they stay as they are; each starts where the last
+    ended, so no task sorts all values.
+    """
+    counts = df.groupBy(value).agg(F.count("*").alias("_c"))
+    counts = cached(df.sparkSession, counts.repartitionByRange(F.col(value)).withColumn("_part", F.spark_partition_id()), "ranks")
+    starts = counts.groupBy("_part").agg(F.sum("_c").alias("_n"))  # as many rows as partitions
+    starts = starts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
+    w = Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    return counts.join(F.broadcast(starts), "_part").select(value, "_c", (F.col("_before") + F.sum("_c").over(w)).alias("_upto"))
+
+
 def average_rank(df: DataFrame, value: str, by: Sequence[str], out: str) -> DataFrame:
     """Ranks from 1, ties sharing the mean of theirs. Equal values are counted before they are ranked."""
     by = list(by)
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("_c"))
-    before = F.lit(0)
-    if not by:
-        # ranges of values in partitions of their own, written so that they stay as they are; each starts where the last ended
-        counts = cached(df.sparkSession, counts.repartitionByRange(F.col(value)).withColumn("_part", F.spark_partition_id()), "ranks")
-        starts = counts.groupBy("_part").agg(F.sum("_c").alias("_n"))  # as many rows as partitions
-        starts = starts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
-        counts, before = counts.join(F.broadcast(starts), "_part"), F.col("_before")
-    w = Window.partitionBy(*(by or ["_part"])).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn(out, before + F.sum("_c").over(w) - (F.col("_c") - 1) / 2.0).select(*by, value, out)
-    return df.join(counts, [*by, value])
+    if by:
+        counts = df.groupBy(*by, value).agg(F.count("*").alias("_c"))
+        counts = counts.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        counts = _running(df, value)
+    return df.join(counts.select(*by, value, (F.col("_upto") - (F.col("_c") - 1) / 2.0).alias(out)), [*by, value])
+
+
+def percentiles(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+    """One row: a column for each share between 0 and 1, the exact percentile with linear interpolation; null without
+    values. Nulls are left out. Values are counted in ranges, so nothing gathers them."""
+    placed = _running(df.where(F.col(value).isNotNull()), value)
+    total = df.agg(F.count(value).alias("_n"))
+    at = placed.crossJoin(F.broadcast(total))
+    holds = lambda i: F.max(F.when((F.col("_upto") - F.col("_c") <= i) & (i < F.col("_upto")), F.col(value).cast("double")))
+    cells = []
+    for name, share in shares.items():
+        spot = (F.col("_n") - 1) * share
+        cells += [holds(F.floor(spot)).alias(f"{name}_lo"), holds(F.ceil(spot)).alias(f"{name}_hi"), F.max(spot - F.floor(spot)).alias(f"{name}_part")]
+    row = at.agg(*cells)
+    return row.select(*[(F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * F.col(f"{n}_part")).alias(n) for n in shares])
 
 
 #: Up to so many differences the signed-rank distribution is counted out, above it is taken as normal.

@@ -184,9 +184,9 @@ def f1_rank_cutoff(spark, t):
     return B.ranked(t).where("rank <= 10").select("channel", "query_id", "doc_id", "rank")
 
 
-@query(f"WITH {B.DENSE} SELECT query_id, doc_id, score FROM ip WHERE score >= 0.75")
+@query(f"WITH {B.DENSE} SELECT query_id, doc_id, score FROM ip WHERE score >= 0.3")
 def f2_threshold_relevance(spark, t):
-    return B.ip_channel(t).where("score >= 0.75").select("query_id", "doc_id", "score")
+    return B.ip_channel(t).where("score >= 0.3").select("query_id", "doc_id", "score")
 
 
 @query(f"WITH {B.DENSE}, th AS (SELECT unnest([0.2, 0.3, 0.4, 0.5, 0.75, 0.9])::DOUBLE AS threshold) SELECT threshold, count(*) FILTER (score >= threshold) AS n, round(100 * avg(CASE WHEN score >= threshold THEN 1.0::DOUBLE ELSE 0 END), 6) AS pct FROM ip, th GROUP BY threshold")
