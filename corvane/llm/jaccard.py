@@ -45,7 +45,8 @@ SKETCH_BITS = 22
 SKETCH_BLOCKS = 128
 #: Bits of the bit set for each id it holds, and the bounds of its size as a power of 2 (at most 128 MB).
 BLOOM_PER_ID, BLOOM_LEAST, BLOOM_MOST = 16, 20, 30
-#: From this sketch level on (each level doubles the count) a shingle's postings are spread over all buckets.
+#: From this sketch level on (each level doubles the count) a shingle's postings are spread over all buckets, and so are
+#: those of a 2-subset of two such shingles.
 HOT_LEVEL = 5
 BUCKET_BYTES = 24 << 20
 #: A candidate component up to this many sets and elements is compared in one task.
@@ -146,12 +147,16 @@ POSTING = np.dtype([("sig", "<i8"), ("sid", "<i8"), ("k", "<i4")])
 
 
 def _postings(k: int, percent: int, levels_of, boundary: int, buckets: int):
-    """Packed postings by bucket. Signatures of hot shingles are spread over the buckets, and flagged as such."""
+    """Packed postings by bucket. Signatures of hot shingles, and of 2-subsets of them, are spread over the buckets by set id,
+    and flagged as such."""
     both_from = ceil(percent * (boundary + 1) / 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = levels_of()
 
+        def frequent(s: np.ndarray) -> np.ndarray:
+            return levels[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] >= HOT_LEVEL
+
         def packed(held: list[tuple[np.ndarray, int, int]], hot: bool) -> tuple[list, list]:
             lens = [len(sig) for sig, *_ in held]
             post = np.empty(sum(lens), POSTING)
@@ -176,11 +181,15 @@ def _postings(k: int, percent: int, levels_of, boundary: int, buckets: int):
                 if n <= boundary and need >= 2:
                     p = np.sort(_prefix(s, levels, n - need + 2))
                     x, y = np.triu_indices(len(p), 1)
-                    cool.append((S.mix(p[x] * np.uint64(3) + S.mix(p[y] + np.uint64(11))), sid, 1))
+                    pair, often = S.mix(p[x] * np.uint64(3) + S.mix(p[y] + np.uint64(11))), frequent(p)
+                    # a pair is at most as frequent as the rarer of its two
+                    both = often[x] & often[y]
+                    cool.append((pair[~both], sid, 1))
+                    hot.append((pair[both], sid, 1))
                 if n > boundary or need < 2 or n >= both_from:
                     least = min(shared_least(n), need)
                     p = _prefix(s, levels, n - need + least)
-                    warm = levels[(p >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] >= HOT_LEVEL
+                    warm = frequent(p)
                     cool.append((p[~warm], sid, least))
                     hot.append((p[warm], sid, least))
             for held, flag in ((cool, False), (hot, True)):

@@ -7,10 +7,12 @@ import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.llm import chat, packing, pii, resampling, shingling, warc
+from corvane.llm import chat, jaccard, packing, pii, resampling, shingling, warc
 from corvane.llm.bpe import decoded, encoded, round_trip
 from corvane.llm.jaccard import boundary_by_cost, jaccard_components
 from corvane.llm.quality import with_quality
@@ -107,6 +109,36 @@ def test_jaccard_joins_a_chain_of_near_copies(spark):
     assert got == want
 
 
+def forms(n):
+    """Form letters: twelve fixed words and one of their own, at the end or in the middle."""
+    words = [f"form{k}" for k in range(12)]
+    return [" ".join([*words, f"own{i}"] if i % 3 else [*words[:6], f"own{i}", *words[6:]]) for i in range(n)]
+
+
+def test_jaccard_spreads_frequent_pairs(spark):
+    texts = forms(400) + near_copies()[:40]
+    ids = list(range(len(texts)))
+    df, want = documents(spark, texts, ids), plain_components(ids, texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_components(df, count_links=True).collect()}
+    assert got == want
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(df).collect()}
+    assert got == {d: w[:2] for d, w in want.items()}
+
+
+def test_no_bucket_holds_the_postings_of_a_template():
+    batch = pa.RecordBatch.from_arrays([pa.array(forms(6000))], names=["text"])
+    counts = np.zeros(1 << jaccard.SKETCH_BITS, np.int64)
+    data, offs = shingling.text_buffer(batch.column(0))
+    for s in shingling.shingle_sets(data, offs, 5):
+        np.add.at(counts, (s >> np.uint64(64 - jaccard.SKETCH_BITS)).astype(np.int64), 1)
+    levels = np.where(counts > 4, np.floor(np.log2(np.maximum(counts, 1) / 4)) + 1, 0).clip(0, 255).astype(np.uint8)
+    held = np.zeros((2, 50), np.int64)
+    for out in jaccard._postings(5, 80, lambda: levels, 64, 50)([batch]):
+        for lane, hot, payload in zip(*(c.to_pylist() for c in out.columns), strict=True):
+            held[int(hot), lane] += len(payload) // jaccard.POSTING.itemsize
+    assert held.sum() > 6000 and (held.max(1) <= 2 * np.median(held, 1)).all()
+
+
 def test_jaccard_corners(spark):
     assert jaccard_components(documents(spark, ["x"]).limit(0)).count() == 0
     rows = jaccard_components(documents(spark, ["a b c d e f", "a b c d e f", "a b c d e f", None], [None, 7, 7, None]), count_links=True).collect()
