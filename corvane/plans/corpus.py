@@ -10,6 +10,7 @@ from corvane.operators import dedup as D
 from corvane.plans import base as B
 from corvane.plans.registry import query
 from corvane.sources import files as S
+from corvane.sources import matrix as M
 from corvane.sources import workbook as W
 
 # ---- sources and sinks
@@ -54,6 +55,28 @@ def s6_embedding_scan_masked(spark, t):
     return t("embeddings").where("label < 5").select("vec_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
 
 
+def _matrix(spark, t) -> str:
+    """Where the embeddings are stored as a matrix, made once for each state of the table."""
+
+    def build():
+        path = S.scratch(spark, "matrix")
+        M.write_matrix(t("embeddings").where("embedding is not null").select("vec_id", F.col("label").cast("long").alias("label"), "embedding"), path)
+        return path
+
+    return S.stored(t("embeddings"), "matrix", build)
+
+
+@query("SELECT vec_id, label::BIGINT AS label, embedding::DOUBLE[] AS embedding FROM embeddings WHERE embedding IS NOT NULL")
+def s6_matrix_round_trip(spark, t):
+    return M.read_matrix(spark, _matrix(spark, t)).withColumn("embedding", F.col("embedding").cast("array<double>"))
+
+
+@query("SELECT vec_id, embedding::DOUBLE[] AS embedding FROM embeddings WHERE embedding IS NOT NULL AND label < 5")
+def s6_matrix_masked(spark, t):
+    """The mask is a stored column: vectors of other rows are not read but for short gaps."""
+    return M.read_matrix(spark, _matrix(spark, t), ["vec_id", "embedding"], {"label": (None, 5)}).withColumn("embedding", F.col("embedding").cast("array<double>"))
+
+
 @query("SELECT source, count(*) AS n FROM documents GROUP BY source")
 def s7_cached_result(spark, t):
     return S.cached(spark, t("documents").groupBy("source").agg(F.count("*").alias("n")), "cache")

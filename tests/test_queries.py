@@ -11,7 +11,7 @@ from corvane.plans.catalogue import ORACLES, QUERIES
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Minutes of model fitting; test_goldens.py fits each kind on a small table.
-SLOW = {"u8_gbt_group_cv", "u10_parameter_search", "u11_neural_fusion"}
+SLOW = {"u8_gbt_group_cv"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 

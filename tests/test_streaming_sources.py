@@ -84,3 +84,64 @@ def test_csv_keeps_quotes_and_lines(spark, tmp_path):
 def test_profile(spark):
     out = {r.column: r for r in files.profile(spark.createDataFrame([(1, None), (1, "x")], "a long, b string")).collect()}
     assert (out["a"].nulls, out["a"].distinct_values, out["b"].nulls, out["b"].null_rate) == (0, 1, 1, 0.5)
+
+
+def matrix_rows(n=1000):
+    return [(i, i % 100, float(i) / 3, [float(i), float(-i), 0.5]) for i in range(n)]
+
+
+def test_matrix_round_trip(spark, tmp_path):
+    import numpy as np
+
+    from corvane.sources import matrix as M
+
+    path = f"file://{tmp_path}/m"
+    M.write_matrix(spark.createDataFrame(matrix_rows(), "id long, band int, x double, v array<float>").repartition(3), path)
+    assert sorted(tuple(r) for r in M.read_matrix(spark, path, rows=70).collect()) == matrix_rows()
+    some = M.read_matrix(spark, path, ["v", "id"], {"band": (20, 23), "id": (None, 500)}, rows=150)
+    assert some.columns == ["v", "id"]
+    assert sorted((r.id, r.v) for r in some.collect()) == [(i, v) for i, b, _, v in matrix_rows() if 20 <= b < 23 and i < 500]
+    # other programs can map the files
+    parts = M.manifest(path)["parts"]
+    mapped = np.concatenate([np.load(f"{tmp_path}/m/{p['name']}.v.npy", mmap_mode="r") for p in parts])
+    assert sorted(mapped[:, 0].tolist()) == [float(i) for i in range(1000)]
+    assert M.read_matrix(spark, path, ["id"], {"id": (5000, None)}).count() == 0
+
+
+def test_masked_matrix_read_opens_only_its_ranges(spark, tmp_path, monkeypatch):
+    from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
+
+    from corvane.sources import matrix as M
+
+    path, wide = f"file://{tmp_path}/m", [(i, i // 100, [float(i)] * 4096) for i in range(400)]
+    M.write_matrix(spark.createDataFrame(wide, "id long, band int, v array<float>").coalesce(1), path)
+    read = []
+    plain = M._Reader._read
+    monkeypatch.setattr(M._Reader, "_read", lambda self, store, root, part, column, rows: read.append((column, rows)) or plain(self, store, root, part, column, rows))
+    reader = M._Reader(path, StructType([StructField("v", ArrayType(FloatType()))]), {"id": (250, 253)}, 100)
+    got = [v[0] for p in reader.partitions() for b in reader.read(p) for v in b.column(0).to_pylist()]
+    assert got == [250.0, 251.0, 252.0]
+    assert [(c, rows) for c, rows in read if c == "v"] == [("v", [(250, 253)])]
+    assert all(c in ("v", "id") for c, _ in read)
+    assert reader.partitions()[0].part["rows"] == 400 and M._Reader(path, reader.schema, {"id": (400, None)}, 100).partitions()[0].part == {}
+
+
+def test_runs_join_over_short_gaps():
+    import numpy as np
+
+    from corvane.sources.matrix import runs
+
+    assert runs(np.array([0, 1, 4, 9]), 0) == [(0, 2), (4, 5), (9, 10)]
+    assert runs(np.array([0, 1, 4, 9]), 2) == [(0, 5), (9, 10)] and runs(np.zeros(0, int), 3) == []
+
+
+def test_matrix_refuses_what_it_cannot_hold(spark, tmp_path):
+    from corvane.sources import matrix as M
+
+    with pytest.raises(ValueError):
+        M._dtype("string")
+    for k, rows in enumerate(([(1, None)], [(1, [1.0]), (2, [1.0, 2.0])])):
+        with pytest.raises(Exception, match="matrix"):
+            M.write_matrix(spark.createDataFrame(rows, "id long, v array<float>").coalesce(1), f"file://{tmp_path}/bad{k}")
+    M.write_matrix(spark.createDataFrame([], "id long, v array<float>"), path := f"file://{tmp_path}/none")
+    assert M.read_matrix(spark, path).count() == 0
